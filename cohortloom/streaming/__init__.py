@@ -1,0 +1 @@
+"""Empty on purpose: every job here is a batch job, none keeps streaming state."""
