@@ -353,7 +353,7 @@ def attrition_funnel(
     rows = (
         manifest.join(flag(excluded, "sample_id", "_ex"), "sample_id", "left")
         .join(flag(splits.where(F.col("split") != "unlabelled"), "entity_id", "_sp"), "entity_id", "left")
-        .join(annotations.select("sample_id", "status"), "sample_id", "left")
+        .join(annotations.select("sample_id", F.col("status").alias("_state")), "sample_id", "left")
     )
     kept = F.lit(True)
     stages = []
@@ -361,8 +361,8 @@ def attrition_funnel(
         ("all", F.lit(True)),
         ("not_excluded", F.col("_ex").isNull()),
         ("in_split", F.col("_sp").isNotNull()),
-        ("annotated", F.col("status").isNotNull()),
-        ("status_ok", F.coalesce(F.col("status") == "ok", F.lit(False))),
+        ("annotated", F.col("_state").isNotNull()),
+        ("status_ok", F.coalesce(F.col("_state") == "ok", F.lit(False))),
     ):
         kept = kept & cond
         stages.append(F.count_if(kept).alias(name))
