@@ -2,10 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with `value` computed once per row, although `use` names it inside a lambda.
+
+    The optimiser puts a computed column back into the lambda that reads it, where it would run again
+    for every element; a lambda variable stays put.
+    """
+    return F.transform(F.array(value), lambda v: use(v))[0]
+
+
 def inverse_point(point: Column, transform: Column) -> Column:
     """Undo pad, scale and crop of one point; `transform` has crop_x, crop_y, scale, pad_x, pad_y."""
     return F.array(
@@ -64,20 +75,53 @@ def edges(polygon: Column) -> Column:
     )
 
 
-def covers(edge_list: Column, x: Column, y: Column) -> Column:
-    """Even-odd test for a cell, or the cell lies on an edge."""
-    on_edge = F.exists(
-        edge_list,
-        lambda e: ((e.x2 - e.x1) * (y - e.y1) == (e.y2 - e.y1) * (x - e.x1))
-        & x.between(F.least(e.x1, e.x2), F.greatest(e.x1, e.x2))
-        & y.between(F.least(e.y1, e.y2), F.greatest(e.y1, e.y2)),
-    )
-    crossings = F.filter(
-        edge_list,
-        lambda e: ((e.y1 > y) != (e.y2 > y))
-        & (x < e.x1 + (y - e.y1) * (e.x2 - e.x1) / F.when(e.y2 != e.y1, (e.y2 - e.y1).cast("double"))),
+def spans(edge_list: Column, y: Column) -> Column:
+    """Column intervals [l, r] a polygon with whole-number vertices covers on line `y`, edges included.
+
+    Edges that cross the line, ordered by where they do, pair up into the inside (even-odd rule); the
+    ends are exact integer quotients. Vertices and flat edges on the line are added on their own.
+    Work per line grows with the edges, not with edges times cells.
+    """
+
+    def cut(e: Column) -> Column:
+        run, rise = e.x2 - e.x1, e.y2 - e.y1
+        sign = F.when(rise < 0, -1).otherwise(1)
+        top = ((e.x1 * rise + (y - e.y1) * run) * sign).cast("long")
+        bottom = F.when(rise != 0, (rise * sign).cast("long"))
+        rest = F.pmod(top, bottom)
+        low = F.floor((top - rest) / bottom).cast("int")
+        return F.struct(
+            (top / bottom).alias("at"), low.alias("low"), (low + (rest > 0).cast("int")).alias("high")
+        )
+
+    def paired(cuts: Column) -> Column:
+        seconds = F.transform(
+            cuts,
+            lambda c, i: F.when(
+                i % 2 == 1, F.struct(F.get(cuts, i - 1)["high"].alias("l"), c["low"].alias("r"))
+            ),
+        )
+        return F.filter(seconds, lambda s: s.isNotNull())
+
+    crossing = F.filter(edge_list, lambda e: (e.y1 > y) != (e.y2 > y))
+    inside = bind(F.array_sort(F.transform(crossing, cut)), paired)
+    touching = F.transform(
+        F.filter(edge_list, lambda e: e.y1 == y),
+        lambda e: F.when(
+            e.y2 == y, F.struct(F.least(e.x1, e.x2).alias("l"), F.greatest(e.x1, e.x2).alias("r"))
+        ).otherwise(F.struct(e.x1.alias("l"), e.x1.alias("r"))),
     )
-    return on_edge | (F.size(crossings) % 2 == 1)
+    return F.filter(F.concat(inside, touching), lambda s: s["l"] <= s["r"])
+
+
+def columns_of(span_list: Column, width: Column) -> Column:
+    """Distinct cell columns of a span list inside a line of the given width."""
+
+    def cells(s: Column) -> Column:
+        left, right = F.greatest(s["l"], F.lit(0)), F.least(s["r"], width - 1)
+        return F.when(left <= right, F.sequence(left, right)).otherwise(F.array().cast("array<int>"))
+
+    return F.array_distinct(F.flatten(F.transform(span_list, cells)))
 
 
 def _signed_sums(polygon: Column) -> Column:

@@ -75,6 +75,11 @@ def average_ranks(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float]) -> DataFrame:
     """Linearly interpolated exact quantiles per group; `probs` maps output names to fractions."""
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"))
+    return quantiles_of_counts(counts, keys, value, probs)
+
+
+def quantiles_of_counts(counts: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float]) -> DataFrame:
+    """The same from counts `n` per distinct (keys, value)."""
     ranked = running_totals(counts, keys, value, ["n"])
 
     def at(position: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cohortloom.functions import geometry as G
 from cohortloom.functions.numeric import mean_of_present
-from cohortloom.operators.ranking import exact_quantiles
+from cohortloom.operators.ranking import quantiles_of_counts
 
 # Region and statistic names in output order.
 REGIONS = ("forehead", "left_eye", "right_eye", "nose", "left_cheek", "right_cheek")
@@ -42,9 +42,9 @@ def scale_polygons(polygons: DataFrame, shapes: DataFrame) -> DataFrame:
 def pixel_in_polygon(lines: DataFrame, polygons: DataFrame, truncate: bool = False) -> DataFrame:
     """(sample_id, region, y, x, v) for every cell a region covers, border cells included.
 
-    Scan lines outside a region's box are dropped by the join itself; inside it only the cells between
-    the box sides are tested and exploded. A sample has a handful of regions, so the join grows by that
-    factor at most, and the line side of a hot sample can be split.
+    Scan lines outside a region's box are dropped by the join itself; on the others only the covered
+    cells are listed and exploded. A sample has a handful of regions, so the join grows by that factor
+    at most, and the line side of a hot sample can be split.
     """
     prepared = polygons.where(F.size("polygon") > 0).select(
         "sample_id", "region", G.snap(F.col("polygon"), truncate).alias("_poly")
@@ -53,10 +53,7 @@ def pixel_in_polygon(lines: DataFrame, polygons: DataFrame, truncate: bool = Fal
         "sample_id", "region", G.edges(F.col("_poly")).alias("_edges"), G.outline(F.col("_poly")).alias("_box")
     )
     hit = lines.join(prepared, "sample_id").where(F.col("y").between(F.col("_box.y1"), F.col("_box.y2")))
-    left = F.greatest(F.col("_box.x1"), F.lit(0))
-    right = F.least(F.col("_box.x2"), F.size("temps") - 1)
-    columns = F.when(left <= right, F.sequence(left, right)).otherwise(F.array().cast("array<int>"))
-    inside = F.filter(columns, lambda x: G.covers(F.col("_edges"), x, F.col("y")))
+    inside = G.columns_of(G.spans(F.col("_edges"), F.col("y")), F.size("temps"))
     cells = F.transform(inside, lambda x: F.struct(x.alias("x"), F.get("temps", x).cast("double").alias("v")))
     return hit.select("sample_id", "region", "y", F.explode(cells).alias("c")).select(
         "sample_id", "region", "y", "c.x", "c.v"
@@ -66,26 +63,31 @@ def pixel_in_polygon(lines: DataFrame, polygons: DataFrame, truncate: bool = Fal
 def region_stats(cells: DataFrame) -> DataFrame:
     """Fourteen statistics per (sample_id, region); spread-based ones are 0 on a flat region."""
     keys = ["sample_id", "region"]
-    v = F.col("v")
-    moments = cells.groupBy(*keys).agg(
-        F.avg(v).alias("mean"),
-        F.stddev_pop(v).alias("std"),
-        F.min(v).alias("min"),
-        F.max(v).alias("max"),
-        F.skewness(v).alias("_skew"),
-        F.kurtosis(v).alias("_kurt"),
+    v, n = F.col("v"), F.col("n")
+    # Sensor values repeat, so counts per distinct value are a small stand-in for the cells: combined
+    # where the cells are, shuffled once, and every statistic below reads that one exchange.
+    counts = cells.groupBy(*keys, "v").agg(F.count("*").alias("n")).repartition(*keys, "v")
+    base = counts.groupBy(*keys).agg(
+        F.sum("n").alias("size"), (F.sum(n * v) / F.sum("n")).alias("mean"), F.min("v").alias("min"), F.max("v").alias("max")
     )
-    quantiles = exact_quantiles(
-        cells, keys, "v", {"p5": 0.05, "p25": 0.25, "median": 0.5, "p75": 0.75, "p95": 0.95}
+    d = v - F.col("mean")
+    central = counts.join(base, keys).groupBy(*keys).agg(
+        *[F.max(c).alias(c) for c in ("size", "mean", "min", "max")],
+        *[F.sum(n * F.pow(d, F.lit(k))).alias(f"_m{k}") for k in (2, 3, 4)],
     )
-    flat = F.col("std") < 1e-9
-    both = moments.join(quantiles, keys).withColumns(
+    size, var = F.col("size"), F.col("_m2") / F.col("size")
+    flat = F.sqrt(var) < 1e-9
+    quantiles = quantiles_of_counts(
+        counts, keys, "v", {"p5": 0.05, "p25": 0.25, "median": 0.5, "p75": 0.75, "p95": 0.95}
+    )
+    both = central.join(quantiles, keys).withColumns(
         {
+            "std": F.sqrt(var),
             "range": F.col("max") - F.col("min"),
             "iqr": F.col("p75") - F.col("p25"),
-            "cv": F.when(F.abs("mean") > 1e-9, F.col("std") / F.col("mean")),
-            "skew": F.when(flat, 0.0).otherwise(F.col("_skew")),
-            "kurtosis": F.when(flat, 0.0).otherwise(F.col("_kurt")),
+            "cv": F.when(F.abs("mean") > 1e-9, F.sqrt(var) / F.col("mean")),
+            "skew": F.when(flat, 0.0).otherwise(F.col("_m3") / size / F.pow(F.when(~flat, var), F.lit(1.5))),
+            "kurtosis": F.when(flat, 0.0).otherwise(F.col("_m4") / size / F.pow(F.when(~flat, var), F.lit(2.0)) - 3.0),
         }
     )
     return both.select(*keys, *STATS)
@@ -219,16 +221,18 @@ def attention_overlay(
         ]
     )
     rows = lines.join(shapes, "sample_id", "left")
+    covered = F.struct(*[G.spans(F.col(f"_{r}"), F.col("y")).alias(r) for r in weights])
 
-    def weight(x: Column) -> Column:
+    def weight(on_line: Column, x: Column) -> Column:
         parts = [
-            F.when(F.coalesce(G.covers(F.col(f"_{r}"), x, F.col("y")), F.lit(False)), F.lit(w)).otherwise(0.0)
+            F.when(F.coalesce(F.exists(on_line[r], lambda s: x.between(s["l"], s["r"])), F.lit(False)), F.lit(w)).otherwise(0.0)
             for r, w in weights.items()
         ]
         return F.greatest(*parts)
 
     cols = F.sequence(F.lit(0), F.size("temps") - 1)
-    return rows.select("sample_id", "y", F.transform(cols, weight).alias("weights"))
+    values = G.bind(covered, lambda on_line: F.transform(cols, lambda x: weight(on_line, x)))
+    return rows.select("sample_id", "y", values.alias("weights"))
 
 
 def minmax_uint8(lines: DataFrame) -> DataFrame:
