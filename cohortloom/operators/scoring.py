@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortloom.functions.distributions import chi2_pvalue, correlation_pvalue
-from cohortloom.functions.numeric import mean_of_present
+from cohortloom.functions.numeric import coerce_numeric, mean_of_present
 from cohortloom.operators.ranking import running_totals
+from cohortloom.session import materialise
 
 SCORE_ORDER = ("combined_score", "binary_corr_abs", "severity_spearman_abs")
 
@@ -22,24 +23,45 @@ def long_form(df: DataFrame, features: Sequence[str], ids: Sequence[str]) -> Dat
     return out.where(F.col("value").isNotNull() & ~F.isnan("value"))
 
 
-def _class_moments(long: DataFrame, label: str) -> DataFrame:
+def _weighted(rows: DataFrame) -> DataFrame:
+    """Long rows as cells with a count `n`: every row counts once unless it says otherwise."""
+    return rows if "n" in rows.columns else rows.withColumn("n", F.lit(1).cast("long"))
+
+
+def score_cells(long: DataFrame, label: str = "label", severity: str = "severity") -> DataFrame:
+    """Row counts per distinct (feature, value, label, severity): all that every score needs."""
+    return _weighted(long).groupBy("feature_name", "value", label, severity).agg(F.sum("n").alias("n"))
+
+
+def _class_moments(rows: DataFrame, label: str) -> DataFrame:
+    """Counts, class means and centred sums per feature, in two passes that shuffle partial sums only.
+
+    The per-feature means are broadcast: one row per column of the screened table.
+    """
+    rows = _weighted(rows).where(F.col(label).isNotNull())
+    n, v, y = F.col("n"), F.col("value"), F.col(label).cast("double")
     pos, neg = F.col(label) == 1, F.col(label) == 0
-    v = F.col("value")
-    return (
-        long.where(F.col(label).isNotNull())
+    base = rows.groupBy("feature_name").agg(
+        F.sum(n).alias("binary_n"),
+        F.sum(F.when(pos, n).otherwise(0)).alias("n_pos"),
+        F.sum(F.when(neg, n).otherwise(0)).alias("n_neg"),
+        (F.min(v) == F.max(v)).alias("constant"),
+        (F.sum(n * v) / F.sum(n)).alias("mean"),
+        (F.sum(n * y) / F.sum(n)).alias("label_mean"),
+        F.try_divide(F.sum(F.when(neg, n * v)), F.sum(F.when(neg, n)).cast("double")).alias("binary_mean_neg"),
+        F.try_divide(F.sum(F.when(pos, n * v)), F.sum(F.when(pos, n)).cast("double")).alias("binary_mean_pos"),
+    )
+    d, e = v - F.col("mean"), y - F.col("label_mean")
+    own = v - F.when(pos, F.col("binary_mean_pos")).when(neg, F.col("binary_mean_neg"))
+    sums = (
+        rows.join(F.broadcast(base), "feature_name")
         .groupBy("feature_name")
         .agg(
-            F.count("*").alias("binary_n"),
-            F.count_if(pos).alias("n_pos"),
-            F.count_if(neg).alias("n_neg"),
-            (F.min("value") == F.max("value")).alias("constant"),
-            F.corr("value", F.col(label).cast("double")).alias("r"),
-            F.avg(F.when(neg, v)).alias("binary_mean_neg"),
-            F.avg(F.when(pos, v)).alias("binary_mean_pos"),
-            F.var_samp(F.when(neg, v)).alias("var_neg"),
-            F.var_samp(F.when(pos, v)).alias("var_pos"),
+            F.sum(n * d * d).alias("sxx"), F.sum(n * e * e).alias("syy"), F.sum(n * d * e).alias("sxy"),
+            F.sum(n * own * own).alias("within"),
         )
     )
+    return base.join(F.broadcast(sums), "feature_name")
 
 
 def _usable() -> Column:
@@ -48,14 +70,13 @@ def _usable() -> Column:
 
 def pearson_binary(long: DataFrame, label: str = "label") -> DataFrame:
     """Pearson r with a 0/1 label, its p-value and the class means; r is NULL for unusable features."""
-    m = _class_moments(long, label)
-    return m.select(
+    spread = F.sqrt(F.col("sxx") * F.col("syy"))
+    r = F.when(_usable(), F.try_divide(F.col("sxy"), spread))
+    return _class_moments(long, label).select(
         "feature_name",
         "binary_n",
-        F.when(_usable(), F.col("r")).alias("binary_corr"),
-        correlation_pvalue(F.when(_usable(), F.col("r")), F.col("binary_n").cast("double")).alias(
-            "binary_corr_pvalue"
-        ),
+        r.alias("binary_corr"),
+        correlation_pvalue(r, F.col("binary_n").cast("double")).alias("binary_corr_pvalue"),
         "binary_mean_neg",
         "binary_mean_pos",
     )
@@ -63,21 +84,22 @@ def pearson_binary(long: DataFrame, label: str = "label") -> DataFrame:
 
 def cohens_d(long: DataFrame, label: str = "label") -> DataFrame:
     """Standardised mean difference; NULL below two rows per class or without spread."""
-    m = _class_moments(long, label)
-    pooled = ((F.col("n_neg") - 1) * F.col("var_neg") + (F.col("n_pos") - 1) * F.col("var_pos")) / F.greatest(
-        F.col("n_neg") + F.col("n_pos") - 2, F.lit(1)
-    )
+    pooled = F.col("within") / F.greatest(F.col("n_neg") + F.col("n_pos") - 2, F.lit(1))
     ok = _usable() & (F.col("n_neg") >= 2) & (F.col("n_pos") >= 2) & (pooled > 0)
-    d = (F.col("binary_mean_pos") - F.col("binary_mean_neg")) / F.sqrt(pooled)
-    return m.select("feature_name", F.when(ok, d).alias("binary_effect_size_d"))
+    d = (F.col("binary_mean_pos") - F.col("binary_mean_neg")) / F.when(ok, F.sqrt(pooled))
+    return _class_moments(long, label).select("feature_name", d.alias("binary_effect_size_d"))
 
 
 def feature_auc(long: DataFrame, label: str = "label") -> DataFrame:
     """ROC AUC of each single feature, ties counted half; NULL for one class or a constant feature."""
     counts = (
-        long.where(F.col(label).isNotNull())
+        _weighted(long)
+        .where(F.col(label).isNotNull())
         .groupBy("feature_name", "value")
-        .agg(F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg"))
+        .agg(
+            F.sum(F.when(F.col(label) == 1, F.col("n")).otherwise(0)).alias("pos"),
+            F.sum(F.when(F.col(label) == 0, F.col("n")).otherwise(0)).alias("neg"),
+        )
     )
     return auc_from_counts(counts, ["feature_name"], "value").select(
         "feature_name",
@@ -103,19 +125,25 @@ def auc_from_counts(counts: DataFrame, keys: Sequence[str], value: str) -> DataF
 def _severity_cells(long: DataFrame, severity: str) -> DataFrame:
     """Per (feature, value, grade): row count, average rank of the value and of the grade."""
     cells = (
-        long.where(F.col(severity).isNotNull())
+        _weighted(long)
+        .where(F.col(severity).isNotNull())
         .groupBy("feature_name", "value", F.col(severity).cast("double").alias("grade"))
-        .agg(F.count("*").alias("n"))
+        .agg(F.sum("n").alias("n"))
+    )
+    # The few grades of a value ride along in its row, so its rank needs no join back.
+    by_value = cells.groupBy("feature_name", "value").agg(
+        F.sum("n").alias("n"), F.collect_list(F.struct("grade", F.col("n").alias("n_grade"))).alias("grades")
     )
-    by_value = cells.groupBy("feature_name", "value").agg(F.sum("n").alias("n"))
-    value_rank = running_totals(by_value, ["feature_name"], "value", ["n"]).select(
-        "feature_name", "value", "n_total", (F.col("n_below") + (F.col("n") + 1) / 2.0).alias("value_rank")
+    ranked = running_totals(by_value, ["feature_name"], "value", ["n"]).select(
+        "feature_name", "n_total", (F.col("n_below") + (F.col("n") + 1) / 2.0).alias("value_rank"), F.explode("grades").alias("g")
     )
     by_grade = cells.groupBy("feature_name", "grade").agg(F.sum("n").alias("n"))
     grade_rank = running_totals(by_grade, ["feature_name"], "grade", ["n"]).select(
         "feature_name", "grade", (F.col("n_below") + (F.col("n") + 1) / 2.0).alias("grade_rank")
     )
-    return cells.join(value_rank, ["feature_name", "value"]).join(grade_rank, ["feature_name", "grade"])
+    return ranked.select(
+        "feature_name", "n_total", "value_rank", "g.grade", F.col("g.n_grade").alias("n")
+    ).join(grade_rank, ["feature_name", "grade"])
 
 
 def _severity_sums(long: DataFrame, severity: str) -> DataFrame:
@@ -150,8 +178,8 @@ def severity_association(long: DataFrame, severity: str = "severity") -> DataFra
         F.sum(F.col("sa") * F.col("sa") / F.col("n")).alias("between"),
     )
     ok = (F.col("grades") >= 2) & (F.col("severity_n") >= 3) & (F.col("saa") > 0)
-    rho = F.when(ok, F.col("sab") / F.sqrt(F.col("saa") * F.col("sbb")))
-    h = F.when(ok, (F.col("severity_n") - 1) * F.col("between") / F.col("saa"))
+    rho = F.when(ok, F.try_divide(F.col("sab"), F.sqrt(F.col("saa") * F.col("sbb"))))
+    h = F.when(ok, F.try_divide((F.col("severity_n") - 1) * F.col("between"), F.col("saa")))
     return m.select(
         "feature_name",
         "severity_n",
@@ -179,14 +207,15 @@ def feature_scores(
 ) -> DataFrame:
     """Full screening table: one row per feature, all parts left-joined onto the feature list."""
     data = df.select(F.col(label).alias("label"), F.col(severity).alias("severity"), *features)
-    long = long_form(data, features, ["label", "severity"])
+    # The table is read once: the counts are written, and every score below reads the small copy.
+    cells = materialise(score_cells(long_form(data, features, ["label", "severity"])), "score-cells")
     # Names come from the schema, so the list is as long as the table is wide; it never grows with rows.
     names = df.sparkSession.createDataFrame([(f,) for f in features], "feature_name string")
     table = (
-        names.join(pearson_binary(long), "feature_name", "left")
-        .join(feature_auc(long), "feature_name", "left")
-        .join(cohens_d(long), "feature_name", "left")
-        .join(severity_association(long), "feature_name", "left")
+        names.join(pearson_binary(cells), "feature_name", "left")
+        .join(feature_auc(cells), "feature_name", "left")
+        .join(cohens_d(cells), "feature_name", "left")
+        .join(severity_association(cells), "feature_name", "left")
     )
     table = table.withColumns(
         {
@@ -218,6 +247,4 @@ def numeric_features(
 
 
 def parseable_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    from cohortloom.functions.numeric import coerce_numeric
-
     return df.agg(*[F.count(coerce_numeric(F.col(c).cast("string"))).alias(c) for c in columns])

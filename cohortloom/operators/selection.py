@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from cohortloom.operators.ranking import running_totals
 from cohortloom.operators.scoring import SCORE_ORDER
+from cohortloom.session import materialise
 
 
 def rank_features(
@@ -68,7 +69,8 @@ def pair_spearman(df: DataFrame, features: Sequence[str]) -> DataFrame:
     present = cells.where(
         F.col("x").isNotNull() & F.col("y").isNotNull() & ~F.isnan("x") & ~F.isnan("y")
     )
-    cells = present.groupBy(*keys, "x", "y").agg(F.count("*").alias("n"))
+    # Written once: the cells and both rank tables below read the counts, not the table again.
+    cells = materialise(present.groupBy(*keys, "x", "y").agg(F.count("*").alias("n")), "pair-cells")
 
     def ranks(axis: str) -> DataFrame:
         sums = cells.groupBy(*keys, axis).agg(F.sum("n").alias("n"))
@@ -87,7 +89,7 @@ def pair_spearman(df: DataFrame, features: Sequence[str]) -> DataFrame:
         F.sum(n * a * b).alias("sab"),
     )
     spread = F.sqrt(F.col("saa") * F.col("sbb"))
-    return m.select(*keys, "n", F.when(spread > 0, F.col("sab") / spread).alias("rho"))
+    return m.select(*keys, "n", F.try_divide(F.col("sab"), spread).alias("rho"))
 
 
 def prune_correlated(ranked: Sequence[str], df: DataFrame, threshold: float) -> list[str]:
