@@ -1 +1,303 @@
-"""Pending."""
+"""Split, preparation, neighbour and model queries (inventory 2.8)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from cohortloom.operators import compare as C
+from cohortloom.operators import models as M
+from cohortloom.operators import split as S
+from cohortloom.operators.neighbours import knn_vote
+from cohortloom.operators.weights import sample_counts
+from cohortloom.plans import views as V
+from cohortloom.plans.registry import query, table
+from cohortloom.plans.views import with_
+from cohortloom.session import materialise
+
+# ---- splits ----------------------------------------------------------------------------------------
+
+# Positions inside each label by seeded md5; quotas by largest remainder of rounded-up totals.
+_QUOTA_SQL = (
+    "known AS (SELECT entity_id, label, row_number() OVER (PARTITION BY label ORDER BY md5('42:' || entity_id)) - 1 AS pos FROM outcomes"
+    " WHERE label IS NOT NULL), c AS (SELECT label, count(*) AS n, sum(count(*)) OVER () AS total FROM known GROUP BY label),"
+    " d1 AS (SELECT *, ceil((1.0::DOUBLE - 0.8::DOUBLE - 0.1::DOUBLE) * total) AS draws, n * ceil((1.0::DOUBLE - 0.8::DOUBLE - 0.1::DOUBLE) * total) / total::DOUBLE AS x FROM c),"
+    " q1 AS (SELECT label, n, total, draws, floor(x) + CASE WHEN row_number() OVER (ORDER BY x - floor(x) DESC, label) <= draws - sum(floor(x)) OVER () THEN 1 ELSE 0 END AS test FROM d1),"
+    " d2 AS (SELECT *, ceil(0.1::DOUBLE / (0.8::DOUBLE + 0.1::DOUBLE) * (total - draws)) AS draws2, (n - test) * ceil(0.1::DOUBLE / (0.8::DOUBLE + 0.1::DOUBLE) * (total - draws))"
+    " / (total - draws)::DOUBLE AS y FROM q1), q2 AS (SELECT label, test, floor(y) + CASE WHEN row_number() OVER (ORDER BY y - floor(y) DESC, label)"
+    " <= draws2 - sum(floor(y)) OVER () THEN 1 ELSE 0 END AS val FROM d2), made AS (SELECT entity_id, CASE WHEN pos < test THEN 'test' WHEN pos < test + val THEN 'val'"
+    " ELSE 'train' END AS split FROM known JOIN q2 USING (label) UNION ALL SELECT entity_id, 'unlabelled' FROM outcomes WHERE label IS NULL)"
+)
+
+
+@query("stratified_entity_split", with_("outcomes") + f", {_QUOTA_SQL} SELECT entity_id, split FROM made")
+def stratified_entity_split(spark, folder):
+    return S.stratified_entity_split(V.outcomes(spark, folder))
+
+
+@query(
+    "split_summary",
+    with_("samples", "outcomes") + f", {_QUOTA_SQL} SELECT split, count(*) AS n_entities, CAST(coalesce(sum(k), 0) AS BIGINT) AS n_samples,"
+    " count(*) FILTER (WHERE label = 1) AS n_positive, count(*) FILTER (WHERE label = 0) AS n_negative,"
+    " round(count(*) FILTER (WHERE label = 1)::DOUBLE / nullif(count(*) FILTER (WHERE label IS NOT NULL), 0), 4) AS positive_rate FROM made"
+    " JOIN outcomes USING (entity_id) LEFT JOIN (SELECT entity_id, count(*) AS k FROM samples GROUP BY 1) USING (entity_id) GROUP BY split",
+    rounded="positive_rate",
+)
+def split_summary(spark, folder):
+    entities = V.outcomes(spark, folder)
+    splits = S.stratified_entity_split(entities)
+    return S.split_summary(sample_counts(entities, V.samples(spark, folder)), splits)
+
+
+@query(
+    "apply_split",
+    with_("samples", "outcomes", "splits") + "SELECT entity_id, split, dense_rank() OVER (PARTITION BY split ORDER BY md5('0:' || entity_id)) - 1 AS group_index,"
+    " label, severity, price FROM samples JOIN outcomes USING (entity_id) JOIN splits USING (entity_id) WHERE label IS NOT NULL AND split <> 'unlabelled'",
+)
+def apply_split(spark, folder):
+    rows = V.samples(spark, folder).join(V.outcomes(spark, folder), "entity_id")
+    return S.apply_split(rows, V.splits(spark, folder), ["price"])
+
+
+_LAB = "WITH " + V.CTE["samples"] + ", " + V.CTE["outcomes"] + ", " + V.CTE["labelled"]
+
+
+@query(
+    "stratified_group_folds",
+    f"{_LAB}, e AS (SELECT entity_id, max(label) AS label FROM labelled GROUP BY 1), f AS (SELECT entity_id, CAST((row_number() OVER (PARTITION BY label"
+    " ORDER BY md5('42:' || entity_id)) - 1) % 5 AS INTEGER) AS fold FROM e) SELECT sample_id, entity_id, label, fold FROM labelled JOIN f USING (entity_id)",
+)
+def stratified_group_folds(spark, folder):
+    return S.stratified_group_folds(V.labelled(spark, folder), 5).select("sample_id", "entity_id", "label", "fold")
+
+
+@query(
+    "stratified_folds",
+    f"{_LAB} SELECT sample_id, label, CAST((row_number() OVER (PARTITION BY label ORDER BY md5('42:' || sample_id)) - 1) % 5 AS INTEGER) AS fold FROM labelled",
+)
+def stratified_folds(spark, folder):
+    return S.stratified_folds(V.labelled(spark, folder), 5).select("sample_id", "label", "fold")
+
+
+# ---- preparation: lineitem measures with holes -----------------------------------------------------
+
+_HOLES = {
+    "quantity": "case when l_linenumber = 3 then null else l_quantity end",
+    "price": "case when l_returnflag = 'A' and l_linenumber = 5 then null else l_extendedprice end",
+    "discount": "l_discount",
+}
+_HOLE_SQL = (
+    "m AS (SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_shipdate < TIMESTAMP '2000-01-01' AS train, CAST(l_returnflag = 'R' AS INTEGER) AS label, "
+    + ", ".join(f"{e} AS {n}" for n, e in _HOLES.items()) + " FROM lineitem)"
+)
+_COLS = tuple(_HOLES)
+
+
+def _measures(spark, folder):
+    return table(spark, folder, "lineitem").select(
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", (F.col("l_shipdate") < "2000-01-01").alias("train"),
+        (F.col("l_returnflag") == "R").cast("int").alias("label"), *[F.expr(e).alias(n) for n, e in _HOLES.items()],
+    )
+
+
+@query(
+    "median_impute",
+    f"WITH {_HOLE_SQL} SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, " + ", ".join(
+        f"coalesce({c}, (SELECT median({c}) FROM m WHERE train)) AS {c}" for c in _COLS) + " FROM m",
+)
+def median_impute(spark, folder):
+    rows = _measures(spark, folder)
+    keys = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
+    return S.median_impute(rows, rows.where("train"), _COLS).select(*keys, *_COLS)
+
+
+@query(
+    "standardize",
+    f"WITH {_HOLE_SQL} SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, " + ", ".join(
+        f"({c} - (SELECT avg({c}) FROM m WHERE train)) / (SELECT stddev_pop({c}) FROM m WHERE train) AS {c}" for c in _COLS) + " FROM m",
+    rounded=" ".join(_COLS),
+)
+def standardize(spark, folder):
+    rows = _measures(spark, folder)
+    return S.standardise(rows, rows.where("train"), _COLS).select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", *_COLS)
+
+
+@query(
+    "anova_select",
+    f"WITH {_HOLE_SQL}, long AS (" + " UNION ALL ".join(f"SELECT '{c}' AS feature_name, label, {c} AS v FROM m WHERE {c} IS NOT NULL" for c in _COLS)
+    + "), g AS (SELECT feature_name, label, count(*) AS n, avg(v) AS mu, var_pop(v) AS s FROM long GROUP BY 1, 2), t AS (SELECT feature_name, avg(v) AS mu, count(*) AS n"
+    " FROM long GROUP BY 1), f AS (SELECT g.feature_name, (sum(g.n * (g.mu - t.mu) * (g.mu - t.mu)) / (count(*) - 1)) / (sum(g.n * g.s) / (any_value(t.n) - count(*)))"
+    " AS f_value FROM g JOIN t USING (feature_name) GROUP BY g.feature_name) SELECT feature_name, f_value, f_value > (SELECT quantile_cont(f_value, 0.5) FROM f) AS kept FROM f",
+    rounded="f_value",
+)
+def anova_select(spark, folder):
+    table_f = S.anova_f(_measures(spark, folder), _COLS)
+    rows = {r.feature_name: r.f_value for r in table_f.collect()}
+    keep = [_COLS[i] for i in S.percentile_choice([rows.get(c) for c in _COLS], 50)]
+    return table_f.withColumn("kept", F.col("feature_name").isin(keep))
+
+
+# ---- neighbours: vectors ---------------------------------------------------------------------------
+
+
+def _vectors(spark, folder, name):
+    return table(spark, folder, "embeddings").select(
+        F.col("vec_id").alias(name), F.transform("embedding", lambda v: v.cast("double")).alias("vec"),
+        (F.col("label") < 3).cast("int").alias("label"),
+    )
+
+
+@query(
+    "knn_classify",
+    "WITH v AS (SELECT vec_id, list_transform(embedding, lambda z: z::DOUBLE) AS e, CAST(label < 3 AS INTEGER) AS label FROM embeddings),"
+    " d AS (SELECT q.vec_id AS query_id, t.vec_id, t.label, list_distance(q.e, t.e) AS dist FROM v q, v t)"
+    " SELECT query_id, avg(label) AS prob FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(dist, 12), vec_id) AS r FROM d)"
+    " WHERE r <= 9 GROUP BY query_id",
+    rounded="prob",
+)
+def knn_classify(spark, folder):
+    return knn_vote(_vectors(spark, folder, "query_id").drop("label"), _vectors(spark, folder, "train_id"), 9)
+
+
+_WIDTH = 64
+
+
+@query(
+    "vector_to_columns",
+    "SELECT vec_id, label, " + ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS dino_{i:03d}" for i in range(_WIDTH)) + " FROM embeddings",
+)
+def vector_to_columns(spark, folder):
+    wide = M.vector_columns(table(spark, folder, "embeddings"), "embedding", _WIDTH, "dino")
+    back = M.columns_vector(wide, "dino", "embedding")
+    return M.vector_columns(back, "embedding", _WIDTH, "dino")
+
+
+# ---- models: entity table with outcome, split and folds --------------------------------------------
+
+_A = ("balance", "nation")
+_B = ("n_orders", "mean_price", "max_price")
+
+
+def _model_table(spark, folder, name):
+    """Entities with two feature branches, split and folds, written once per query."""
+    orders = V.samples(spark, folder).groupBy("entity_id").agg(
+        F.count("*").cast("double").alias("n_orders"), F.avg("price").alias("mean_price"), F.max("price").alias("max_price")
+    )
+    rows = V.outcomes(spark, folder).where(F.col("label").isNotNull()).join(orders, "entity_id", "left")
+    # The balance decides the label, so the branch sees it blurred by the nation.
+    rows = rows.withColumn("balance", F.col("balance") + (F.col("nation") % 5) * 3000)
+    rows = rows.join(S.stratified_entity_split(V.outcomes(spark, folder)), "entity_id")
+    return materialise(S.stratified_group_folds(rows, 3), name)
+
+
+def _train(df):
+    return df.where(F.col("split") == "train")
+
+
+def _scores(fitted, df, features):
+    rows = M.predict_prob(fitted.model, df.where(F.col("split") != "train").select("entity_id", "split", "label", *features))
+    return rows.select("entity_id", "split", "label", "prob")
+
+
+def _fit_and_score(spark, folder, config, strategy="standard", search=False, features=_A + _B):
+    df = _model_table(spark, folder, config.name)
+    return _scores(M.fit_model(config, _train(df), features, strategy, search=search, folds=3), df, features)
+
+
+@query("logistic_l2", rounded="prob")
+def logistic_l2(spark, folder):
+    return _fit_and_score(spark, folder, M.ModelConfig("logistic", "logistic", select=False), "severity_weighted")
+
+
+@query("logistic_elasticnet", rounded="prob")
+def logistic_elasticnet(spark, folder):
+    config = M.ModelConfig("elasticnet", "logistic", defaults={"C": 1.0, "elasticNetParam": 0.5}, select=False)
+    return _fit_and_score(spark, folder, config)
+
+
+@query("random_forest", rounded="prob")
+def random_forest(spark, folder):
+    config = M.ModelConfig("forest", "forest", defaults={"numTrees": 30, "maxDepth": 5}, scale=False, select=False)
+    return _fit_and_score(spark, folder, config)
+
+
+@query("gradient_boosting", rounded="prob")
+def gradient_boosting(spark, folder):
+    config = M.ModelConfig("boosting", "boosting", defaults={"maxIter": 8}, scale=False, select=False, balanced=False)
+    return _fit_and_score(spark, folder, config)
+
+
+@query("gaussian_nb", rounded="prob")
+def gaussian_nb(spark, folder):
+    config = M.ModelConfig("bayes", "bayes", scale=False, select=False, takes_weights=False, balanced=False)
+    return _fit_and_score(spark, folder, config)
+
+
+_SMALL_GRID = M.ModelConfig("logistic", "logistic", {"percentile": [50, 70], "C": [0.1, 1.0]})
+
+
+@query("grid_search_cv", rounded="cv_auc_roc")
+def grid_search_cv(spark, folder):
+    df = _model_table(spark, folder, "grid")
+    fitted = M.fit_model(_SMALL_GRID, _train(df), _A + _B, folds=3)
+    row = [(M.params_text(fitted.params), fitted.cv_auc)]
+    return spark.createDataFrame(row, "best_params string, cv_auc_roc double")
+
+
+@query("predict_prob", rounded="prob")
+def predict_prob(spark, folder):
+    df = _model_table(spark, folder, "predict")
+    fitted = M.fit_model(M.ModelConfig("tree", "tree", select=False), _train(df), _A, search=False)
+    return _scores(fitted, df, _A)
+
+
+_PLAIN = M.ModelConfig("LogisticRegression", "logistic", select=False)
+_TREES = M.ModelConfig("RandomForest", "forest", defaults={"numTrees": 20, "maxDepth": 4}, scale=False, select=False)
+
+
+@query("late_fusion")
+def late_fusion(spark, folder):
+    return C.late_fusion(_model_table(spark, folder, "late"), (_TREES, _B), (_PLAIN, _A), search=False)
+
+
+def _branch_probs(spark, folder, name):
+    df = _model_table(spark, folder, name)
+    out = df.where(F.col("split") != "train")
+    for tag, config, features in (("a", _PLAIN, _A), ("b", _TREES, _B), ("c", _PLAIN, ("nation", "n_orders"))):
+        out = M.predict_prob(M.fit_model(config, _train(df), features, search=False).model, out, f"prob_{tag}")
+    return out.select("entity_id", "split", "label", "prob_a", "prob_b", "prob_c")
+
+
+@query("stack_logistic")
+def stack_logistic(spark, folder):
+    probs = materialise(_branch_probs(spark, folder, "stack"), "branch-probs")
+    two = C.stack_metrics(probs, ["prob_a", "prob_b"], "logistic")
+    return two.unionByName(C.stack_metrics(probs, ["prob_a", "prob_b", "prob_c"], "logistic"))
+
+
+@query("stack_tree")
+def stack_tree(spark, folder):
+    probs = materialise(_branch_probs(spark, folder, "stack"), "branch-probs")
+    return C.stack_metrics(probs, ["prob_a", "prob_b"], "tree")
+
+
+@query("fused_patient_eval")
+def fused_patient_eval(spark, folder):
+    splits = S.stratified_entity_split(V.outcomes(spark, folder))
+    samples = V.labelled(spark, folder).join(splits, "entity_id")
+    structured = V.outcomes(spark, folder).where(F.col("balance") > 0).select("entity_id", "severity", *_A)
+    return C.fused_entity_eval(samples, structured, list(_A), _PLAIN, late_year=2000)
+
+
+@query("compare_feature_sets")
+def compare_feature_sets(spark, folder):
+    df = _model_table(spark, folder, "compare")
+    return C.compare_feature_sets(df, {"a_only": _A, "fusion": _A + _B}, [_PLAIN, _TREES], search=False)
+
+
+@query("refined_search")
+def refined_search(spark, folder):
+    from cohortloom.operators.selection import nested_sets
+
+    df = _model_table(spark, folder, "refined")
+    sets = nested_sets(["balance", "mean_price", "nation", "n_orders", "max_price"], [2, "all"])
+    return C.refined_search(df, sets, [_PLAIN], search=False)
