@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cohortloom.functions.numeric import blend
@@ -16,36 +16,48 @@ from cohortloom.operators.evaluate import (
     alpha_search,
     best_alpha,
     binary_metrics,
-    confusion_metrics,
     threshold_grid,
     threshold_observed,
 )
 from cohortloom.operators.models import Fitted, ModelConfig, fit_model, params_text, predict_prob
+from cohortloom.operators.split import stratified_group_folds
 from cohortloom.operators.weights import class_weights
+from cohortloom.session import materialise
+
+
+METRICS = ("acc", "bal_acc", "f1", "precision", "recall", "auc_roc", "auc_pr")
 
 
 def _part(df: DataFrame, split: str) -> DataFrame:
     return df.where(F.col("split") == split)
 
 
-def _tag(df: DataFrame, **values) -> DataFrame:
-    return df.select(*[F.lit(v).alias(k) for k, v in values.items()], *df.columns)
+def _result_table(spark: SparkSession, rows: list[dict]) -> DataFrame:
+    """Result rows, one per fitted setting, as a table; absent entries are NULL."""
+    names = list(dict.fromkeys(k for r in rows for k in r))
+    kinds = {}
+    for name in names:
+        seen = next((r[name] for r in rows if r.get(name) is not None), None)
+        kinds[name] = "string" if isinstance(seen, str) else "int" if isinstance(seen, int) else "double"
+    schema = ", ".join(f"{n} {kinds[n]}" for n in names)
+    return spark.createDataFrame([tuple(r.get(n) for n in names) for r in rows], schema)
+
 
+def split_metrics(scored: DataFrame, prob: str = "prob", threshold: float = 0.5, tag: str = "") -> dict[str, float]:
+    """`val_<tag><metric>` and `test_<tag><metric>` of scored rows; only one row per split is collected."""
+    rows = binary_metrics(scored, "label", prob, threshold, keys=["split"]).collect()
+    return {f"{r.split}_{tag}{m}": r[m] for r in sorted(rows, key=lambda r: r.split, reverse=True) for m in METRICS}
 
-def _union(frames: Sequence[DataFrame]) -> DataFrame:
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f, allowMissingColumns=True)
-    return out
 
+def _scored(fitted: Fitted, df: DataFrame, features: Sequence[str], prob: str = "prob") -> DataFrame:
+    return predict_prob(fitted.model, df.where(F.col("split") != "train").select("entity_id", "split", "label", *features), prob)
 
-def score_model(fitted: Fitted, df: DataFrame, thresholds: dict[str, float] | None = None) -> DataFrame:
-    """Validation and test metrics of one model as a single wide row."""
-    keep = ["label", *[c for c in df.columns if c not in ("label",)]]
-    scored = predict_prob(fitted.model, df.where(F.col("split").isin("val", "test")).select(*keep))
-    val = binary_metrics(_part(scored, "val"), "label", "prob", prefix="val_")
-    test = binary_metrics(_part(scored, "test"), "label", "prob", prefix="test_")
-    return val.withColumns({c: test.select(c).scalar() for c in test.columns})
+
+def _settings(configs: Sequence[ModelConfig], strategies: Sequence[str]):
+    for config in configs:
+        for strategy in strategies:
+            if strategy == "standard" or config.takes_weights:
+                yield config, strategy
 
 
 def compare_feature_sets(
@@ -58,25 +70,21 @@ def compare_feature_sets(
 ) -> DataFrame:
     """Feature set x model x weighting to one tidy row each.
 
-    `df` has entity_id, split, label, severity, fold (train rows) and every feature. The driver only
-    loops over settings; each fit is a distributed Spark ML job.
+    `df` has entity_id, split, label, severity, fold and every feature. The driver only loops over the
+    settings; each fit and each scoring is a distributed job.
     """
     rows = []
-    train = _part(df, "train")
     for set_name, features in feature_sets.items():
-        for config in configs:
-            for strategy in strategies:
-                if strategy == "severity_weighted" and not config.takes_weights:
-                    continue
-                fitted = fit_model(config, train, features, strategy, search=search, folds=folds)
-                metrics = score_model(fitted, df.select("split", "label", *features))
-                rows.append(
-                    _tag(
-                        metrics, feature_set=set_name, model=config.name, strategy=strategy,
-                        best_params=params_text(fitted.params), cv_auc_roc=fitted.cv_auc,
-                    ).withColumn("cv_auc_roc", F.col("cv_auc_roc").cast("double"))
-                )
-    return _union(rows)
+        for config, strategy in _settings(configs, strategies):
+            fitted = fit_model(config, _part(df, "train"), features, strategy, search=search, folds=folds)
+            rows.append(
+                {
+                    "feature_set": set_name, "model": config.name, "strategy": strategy,
+                    "best_params": params_text(fitted.params), "cv_auc_roc": fitted.cv_auc,
+                }
+                | split_metrics(_scored(fitted, df, features))
+            )
+    return _result_table(df.sparkSession, rows)
 
 
 def refined_search(
@@ -91,29 +99,21 @@ def refined_search(
     """Nested feature sets with metrics at .5 and at a grid threshold tuned on validation rows."""
     rows = []
     for set_name, features in feature_sets.items():
-        for config in configs:
-            for strategy in strategies:
-                if strategy == "severity_weighted" and not config.takes_weights:
-                    continue
-                fitted = fit_model(config, _part(df, "train"), features, strategy, search=search, folds=folds)
-                scored = predict_prob(fitted.model, df.where(F.col("split") != "train").select("split", "label", *features))
-                val, test = _part(scored, "val"), _part(scored, "test")
-                tuned = threshold_grid(val, "label", "prob", metric).first()
-                wide = binary_metrics(val, "label", "prob", prefix="val_")
-                parts = [
-                    binary_metrics(test, "label", "prob", prefix="test_"),
-                    confusion_metrics(val, "label", "prob", tuned.threshold, prefix="val_tuned_"),
-                    confusion_metrics(test, "label", "prob", tuned.threshold, prefix="test_tuned_"),
-                ]
-                wide = wide.withColumns({c: p.select(c).scalar() for p in parts for c in p.columns})
-                rows.append(
-                    _tag(
-                        wide, feature_set=set_name, feature_count=len(features), feature_names=",".join(features),
-                        model=config.name, strategy=strategy, best_params=params_text(fitted.params),
-                        tuned_threshold=float(tuned.threshold),
-                    )
-                )
-    return _union(rows).orderBy(F.desc_nulls_last("test_auc_roc"), F.desc_nulls_last("test_tuned_f1"))
+        for config, strategy in _settings(configs, strategies):
+            fitted = fit_model(config, _part(df, "train"), features, strategy, search=search, folds=folds)
+            scored = _scored(fitted, df, features)
+            tuned = threshold_grid(_part(scored, "val"), "label", "prob", metric).first()
+            rows.append(
+                {
+                    "feature_set": set_name, "feature_count": len(features), "feature_names": ",".join(features),
+                    "model": config.name, "strategy": strategy, "best_params": params_text(fitted.params),
+                    "cv_auc_roc": fitted.cv_auc, "tuned_threshold": float(tuned.threshold),
+                }
+                | split_metrics(scored)
+                | split_metrics(scored, threshold=float(tuned.threshold), tag="tuned_")
+            )
+    table = _result_table(df.sparkSession, rows)
+    return table.orderBy(F.desc_nulls_last("test_auc_roc"), F.desc_nulls_last("test_tuned_f1"))
 
 
 def late_fusion(
@@ -125,17 +125,18 @@ def late_fusion(
 ) -> DataFrame:
     """Two branch models, blend weight tuned on validation, test metrics of both branches and the blend."""
     fits = [fit_model(c, _part(df, "train"), f, search=search, folds=folds) for c, f in (branch_a, branch_b)]
-    scored = df.where(F.col("split") != "train")
-    scored = predict_prob(fits[0].model, scored, "prob_a")
-    scored = predict_prob(fits[1].model, scored, "prob_b").select("entity_id", "split", "label", "prob_a", "prob_b")
-    scored = scored.persist()
-    best = best_alpha(alpha_search(_part(scored, "val"), "label", "prob_a", "prob_b")).first()
-    test = _part(scored, "test").withColumn("prob_f", blend(F.col("prob_a"), F.col("prob_b"), best.alpha))
+    both = predict_prob(fits[0].model, df.where(F.col("split") != "train"), "prob_a")
+    both = predict_prob(fits[1].model, both, "prob_b").select("split", "label", "prob_a", "prob_b")
+    both = materialise(both, "branch-probs")
+    best = best_alpha(alpha_search(_part(both, "val"), "label", "prob_a", "prob_b")).first()
+    blended = both.withColumn("prob_f", blend(F.col("prob_a"), F.col("prob_b"), best.alpha))
     rows = [
-        _tag(binary_metrics(test, "label", p, prefix="test_"), method=m, alpha=float(best.alpha))
-        for m, p in (("branch_a", "prob_a"), ("branch_b", "prob_b"), ("blend", "prob_f"))
+        {"method": method, "alpha": float(best.alpha), "cv_auc_roc": cv} | split_metrics(blended, prob)
+        for method, prob, cv in (
+            ("branch_a", "prob_a", fits[0].cv_auc), ("branch_b", "prob_b", fits[1].cv_auc), ("blend", "prob_f", None),
+        )
     ]
-    return _union(rows)
+    return _result_table(df.sparkSession, rows)
 
 
 def fit_stack(val: DataFrame, probs: Sequence[str], kind: str = "logistic", label: str = "label"):
@@ -156,10 +157,11 @@ def fit_stack(val: DataFrame, probs: Sequence[str], kind: str = "logistic", labe
 
 
 def stack_metrics(df: DataFrame, probs: Sequence[str], kind: str) -> DataFrame:
-    """Meta model from the validation rows, metrics on the test rows at .5."""
+    """Meta model from the validation rows, metrics on both parts at .5."""
     model = fit_stack(_part(df, "val"), probs, kind)
-    test = predict_prob(model, _part(df, "test"), "stacked")
-    return _tag(binary_metrics(test, "label", "stacked", prefix="test_"), method=f"{kind}_stacking_{len(probs)}way")
+    stacked = predict_prob(model, df.where(F.col("split") != "train").select("split", "label", *probs), "stacked")
+    row = {"method": f"{kind}_stacking_{len(probs)}way"} | split_metrics(stacked, "stacked")
+    return _result_table(df.sparkSession, [row])
 
 
 def fused_entity_eval(
@@ -177,31 +179,32 @@ def fused_entity_eval(
     `samples` has sample_id, entity_id, year, label, prob, split; `structured` entity_id, severity and the
     features. Thresholds come from validation rows by F1.
     """
-    pool = samples.join(structured.select("entity_id"), "entity_id", "left_semi")
+    pool = samples.join(structured.select("entity_id"), "entity_id", "left_semi").where(
+        F.col("split").isin("train", "val", "test")
+    )
 
-    def row(df: DataFrame, prob: str, method: str) -> DataFrame:
-        t = threshold_observed(_part(df, "val"), "label", prob).first().threshold
-        return _tag(binary_metrics(_part(df, "test"), "label", prob, t, prefix="test_"), method=method, threshold=float(t))
+    def row(df: DataFrame, prob: str, method: str, level: str) -> dict:
+        t = float(threshold_observed(_part(df, "val"), "label", prob).first().threshold)
+        parts = df.where(F.col("split") != "train")
+        return {"method": method, "level": level, "threshold": t} | split_metrics(parts, prob, t)
 
     entities = aggregate_entities(pool, strategy, late_year=late_year)
     splits = pool.groupBy("entity_id").agg(F.min("split").alias("split"))
     wide = entities.join(splits, "entity_id").join(structured.select("entity_id", "severity", *features), "entity_id")
     if search:
-        from cohortloom.operators.split import stratified_group_folds
-
         wide = stratified_group_folds(wide, folds)
-    wide = wide.persist()
+    # Written once: the fit, the stack and three evaluations read it.
+    wide = materialise(wide, "entity-probs")
     branch = fit_model(config, _part(wide, "train"), features, search=search, folds=folds)
     both = predict_prob(branch.model, wide.where(F.col("split") != "train"), "prob_b")
     stack = fit_stack(_part(both, "val"), ["prob", "prob_b"])
-    stacked = predict_prob(stack, both.select("entity_id", "split", "label", "prob", "prob_b"), "stacked")
-    return _union(
-        [
-            row(pool, "prob", "sample_level"),
-            row(wide, "prob", "entity_fusion"),
-            row(stacked, "stacked", "entity_plus_structured"),
-        ]
-    )
+    stacked = predict_prob(stack, both.select("split", "label", "prob", "prob_b"), "stacked")
+    rows = [
+        row(pool, "prob", "sample_level", "sample"),
+        row(wide, "prob", "entity_fusion", "entity"),
+        row(stacked, "stacked", "entity_plus_structured", "entity"),
+    ]
+    return _result_table(samples.sparkSession, rows)
 
 
 def best_per_group(results: DataFrame, group: Sequence[str], metric: str, tie: str) -> DataFrame:

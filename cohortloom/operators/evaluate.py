@@ -65,27 +65,38 @@ def roc_auc(df: DataFrame, label: str, prob: str, keys: Sequence[str] = ()) -> D
     return auc_from_counts(score_counts(df, label, prob, keys), keys, "score")
 
 
-def average_precision(df: DataFrame, label: str, prob: str, keys: Sequence[str] = ()) -> DataFrame:
-    """Step-wise sum of precision times recall gained, over distinct scores from the top."""
+def binary_metrics(
+    df: DataFrame, label: str, prob: str, threshold: float = 0.5, keys: Sequence[str] = (), prefix: str = ""
+) -> DataFrame:
+    """Point metrics at a threshold, ROC AUC and average precision, all from one pass over score counts.
+
+    Average precision is the step-wise sum of precision times recall gained over distinct scores from the
+    top. Both rank metrics are NULL when a class is missing.
+    """
     ranked = running_totals(score_counts(df, label, prob, keys), keys, "score", ["pos", "neg"])
-    tp = F.col("pos_total") - F.col("pos_below")
-    seen = tp + F.col("neg_total") - F.col("neg_below")
-    gain = F.try_divide(F.col("pos"), F.col("pos_total")) * F.try_divide(tp, seen)
-    both = (F.max("pos_total") > 0) & (F.max("neg_total") > 0)
-    return _group(ranked, keys).agg(F.when(both, F.sum(gain)).alias("average_precision"))
+    pos, neg, hit = F.col("pos"), F.col("neg"), F.col("score") >= threshold
+    above = F.col("pos_total") - F.col("pos_below")
+    seen = above + F.col("neg_total") - F.col("neg_below")
+    gain = F.try_divide(pos, F.col("pos_total")) * F.try_divide(above, seen)
+    m = _group(ranked, keys).agg(
+        F.sum(F.when(hit, pos).otherwise(0)).alias("tp"),
+        F.sum(F.when(hit, neg).otherwise(0)).alias("fp"),
+        F.sum(F.when(hit, 0).otherwise(pos)).alias("fn"),
+        F.sum(F.when(hit, 0).otherwise(neg)).alias("tn"),
+        F.sum((pos * (F.col("neg_below") + neg / 2.0)).cast("double")).alias("wins"),
+        F.sum(gain).alias("gain"),
+    )
+    tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
+    pairs = (tp + fn).cast("double") * (fp + tn)
+    rates = _rates(tp, fp, fn, tn) | {
+        "auc_roc": F.when(pairs > 0, F.try_divide(F.col("wins"), pairs)),
+        "auc_pr": F.when(pairs > 0, F.col("gain")),
+    }
+    return m.select(*keys, *[c.alias(prefix + n) for n, c in rates.items()])
 
 
-def binary_metrics(
-    df: DataFrame, label: str, prob: str, threshold: float | Column = 0.5, keys: Sequence[str] = (), prefix: str = ""
-) -> DataFrame:
-    """Point metrics at a threshold joined with ROC AUC and average precision."""
-    keys = list(keys)
-    point = confusion_metrics(df, label, prob, threshold, keys, prefix)
-    auc = roc_auc(df, label, prob, keys).select(*keys, F.col("auc").alias(f"{prefix}auc_roc"))
-    ap = average_precision(df, label, prob, keys).withColumnRenamed("average_precision", f"{prefix}auc_pr")
-    if keys:
-        return point.join(auc, keys, "left").join(ap, keys, "left")
-    return point.withColumns({f"{prefix}auc_roc": auc.scalar(), f"{prefix}auc_pr": ap.scalar()})
+def average_precision(df: DataFrame, label: str, prob: str, keys: Sequence[str] = ()) -> DataFrame:
+    return binary_metrics(df, label, prob, keys=keys).select(*keys, F.col("auc_pr").alias("average_precision"))
 
 
 def threshold_observed(
