@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cohortloom.functions.geometry import bind
+
 _PIVOTS = 32
 _CHUNK = 256
 
@@ -37,8 +39,12 @@ def knn_vote(
     def pivot_distances(vec: Column) -> Column:
         return F.transform(points, lambda p: _distance(vec, p))
 
-    near = train.withColumn("_d", pivot_distances(F.col("vec"))).withColumn("_radius", F.array_min("_d"))
-    near = near.withColumn("_cell", F.array_position("_d", F.col("_radius")).cast("int") - 1)
+    place = bind(
+        pivot_distances(F.col("vec")),
+        lambda d: F.struct(F.array_min(d).alias("radius"), (F.array_position(d, F.array_min(d)).cast("int") - 1).alias("cell")),
+    )
+    near = train.withColumn("_place", place)
+    near = near.select(*train.columns, F.col("_place.cell").alias("_cell"), F.col("_place.radius").alias("_radius"))
     stats = near.groupBy("_cell").agg(F.count("*").alias("n"), F.max("_radius").alias("radius"))
     cells = {r["_cell"]: (r["n"], r["radius"]) for r in stats.collect()}
 
@@ -47,26 +53,32 @@ def knn_vote(
         F.struct(F.lit(c).alias("cell"), F.lit(int(n)).alias("n"), F.lit(float(r)).alias("radius"))
         for c, (n, r) in sorted(cells.items())
     ])
-    reach = F.array_sort(
-        F.transform(sizes, lambda s: F.struct((F.get("_d", s["cell"]) + s["radius"]).alias("far"), s["n"].alias("n")))
-    )
-    bound = F.aggregate(
-        reach,
-        F.struct(F.lit(0).cast("long").alias("seen"), F.lit(0.0).alias("far")),
-        lambda acc, r: F.when(acc["seen"] >= k, acc).otherwise(
-            F.struct((acc["seen"] + r["n"]).alias("seen"), r["far"].alias("far"))
-        ),
-        lambda acc: acc["far"],
-    )
-    # A hair of slack keeps rounding from dropping a cell that touches the bound.
-    wanted = F.transform(
-        F.filter(sizes, lambda s: F.get("_d", s["cell"]) - s["radius"] <= F.col("_bound") * (1 + 1e-9) + 1e-12),
-        lambda s: s["cell"],
-    )
-    asked = (
-        queries.withColumn("_d", pivot_distances(F.col("vec")))
-        .withColumn("_bound", bound)
-        .select("query_id", "vec", F.explode(wanted).alias("_cell"))
+
+    def bound(d: Column) -> Column:
+        """Smallest reach of whole cells that together hold k rows: no k-th neighbour is farther."""
+        reach = F.array_sort(
+            F.transform(sizes, lambda s: F.struct((F.get(d, s["cell"]) + s["radius"]).alias("far"), s["n"].alias("n")))
+        )
+        return F.aggregate(
+            reach,
+            F.struct(F.lit(0).cast("long").alias("seen"), F.lit(0.0).alias("far")),
+            lambda acc, r: F.when(acc["seen"] >= k, acc).otherwise(
+                F.struct((acc["seen"] + r["n"]).alias("seen"), r["far"].alias("far"))
+            ),
+            lambda acc: acc["far"],
+        )
+
+    def wanted(d: Column) -> Column:
+        # A hair of slack keeps rounding from dropping a cell that touches the bound.
+        return bind(
+            bound(d),
+            lambda u: F.transform(
+                F.filter(sizes, lambda s: F.get(d, s["cell"]) - s["radius"] <= u * (1 + 1e-9) + 1e-12), lambda s: s["cell"]
+            ),
+        )
+
+    asked = queries.select(
+        "query_id", "vec", F.explode(bind(pivot_distances(F.col("vec")), wanted)).alias("_cell")
     )
     chunks = _packed(near.select("_cell", F.col("train_id").alias("id"), "vec", "label"), {c: n for c, (n, _) in cells.items()}, chunk, "t")
     sizes_asked = {r["_cell"]: r["count"] for r in asked.groupBy("_cell").count().collect()}

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortloom.functions.numeric import coerce_numeric
 from cohortloom.functions.text import READING_PROMPT, norm_text, reference_deviation, sequence_ratio, text_profile
 from cohortloom.operators.ranking import exact_quantiles
 
@@ -15,10 +16,10 @@ def sentence_rows(transcripts: DataFrame) -> DataFrame:
     ).select(
         "entity_id",
         F.col("s.text").alias("text"),
-        F.col("s.duration").alias("duration"),
-        F.col("s.raw_sentence.SpeechRate").alias("rate"),
-        F.col("s.raw_sentence.SilenceDuration").alias("silence"),
-        F.col("s.raw_sentence.EmotionValue").alias("emotion"),
+        coerce_numeric(F.col("s.duration")).alias("duration"),
+        coerce_numeric(F.col("s.raw_sentence.SpeechRate")).alias("rate"),
+        coerce_numeric(F.col("s.raw_sentence.SilenceDuration")).alias("silence"),
+        coerce_numeric(F.col("s.raw_sentence.EmotionValue")).alias("emotion"),
     )
 
 
