@@ -98,17 +98,13 @@ def read_exclusions(spark: SparkSession, path: str) -> DataFrame:
 
 def split_rows(documents: DataFrame) -> DataFrame:
     """Split documents with four id arrays to (entity_id, split) rows."""
-    names = ("train", "val", "test", "unlabelled")
-    tagged = F.concat(
-        *[
-            F.transform(
-                F.coalesce(f"{n}_patient_ids", F.array().cast("array<string>")),
-                lambda i, n=n: F.struct(i.alias("entity_id"), F.lit(n).alias("split")),
-            )
-            for n in names
-        ]
-    )
-    return documents.select(F.explode(tagged).alias("r")).select("r.*")
+
+    def tagged(name: str) -> Column:
+        ids = F.coalesce(f"{name}_patient_ids", F.array().cast("array<string>"))
+        return F.transform(ids, lambda i: F.struct(i.alias("entity_id"), F.lit(name).alias("split")))
+
+    rows = F.concat(*[tagged(n) for n in ("train", "val", "test", "unlabelled")])
+    return documents.select(F.explode(rows).alias("r")).select("r.*")
 
 
 def read_split(spark: SparkSession, path: str) -> DataFrame:
