@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortloom.session import ship_package
+from cohortloom.session import ship_package, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -41,3 +41,8 @@ def query(name: str, sql: str | None = None, rounded: str = "", digits: int = 6)
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def wide_table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
+    """Some columns of a table, spread over all cores before costly expressions run on them."""
+    return spread(table(spark, folder, name).select(*columns))

@@ -9,7 +9,7 @@ from cohortloom.functions import numeric as N
 from cohortloom.functions import text as X
 from cohortloom.operators.scoring import numeric_features, parseable_counts
 from cohortloom.operators.raster import minmax_uint8
-from cohortloom.plans.registry import query, table
+from cohortloom.plans.registry import query, table, wide_table
 from cohortloom.plans.views import CUSTOMER_KEY, outcomes, with_
 from cohortloom.sources.rasters import range_normalised
 
@@ -220,7 +220,7 @@ _PROFILE = (
 def text_profile(spark, folder):
     lines = F.size(F.split("text", "\n"))
     cols = X.text_profile(F.col("text"), lines, (F.length("text") * 60).cast("double"))
-    return table(spark, folder, "documents").select("doc_id", *[c.alias(n) for n, c in cols.items()])
+    return wide_table(spark, folder, "documents", "doc_id", "text").select("doc_id", *[c.alias(n) for n, c in cols.items()])
 
 
 @query(
@@ -255,12 +255,12 @@ def _reference(spark, folder):
 )
 def reference_deviation(spark, folder):
     cols = X.reference_deviation(F.col("text"), _reference(spark, folder))
-    return table(spark, folder, "documents").select("doc_id", *[c.alias(n) for n, c in cols.items()])
+    return wide_table(spark, folder, "documents", "doc_id", "text").select("doc_id", *[c.alias(n) for n, c in cols.items()])
 
 
 @query("sequence_ratio", rounded="sequence_ratio")
 def sequence_ratio(spark, folder):
-    return table(spark, folder, "documents").select(
+    return wide_table(spark, folder, "documents", "doc_id", "text").select(
         "doc_id", X.sequence_ratio(F.col("text"), _reference(spark, folder)).alias("sequence_ratio")
     )
 
@@ -309,7 +309,7 @@ _GRID_SQL = (
 
 def embedding_lines(spark, folder, value=None):
     """Each 64-float vector as an 8 x 8 raster of scan lines."""
-    rows = table(spark, folder, "embeddings").select(
+    rows = wide_table(spark, folder, "embeddings", "vec_id", "embedding").select(
         F.col("vec_id").alias("sample_id"), "embedding",
         F.explode(F.sequence(F.lit(0), F.lit(7))).alias("y"),
     )

@@ -10,7 +10,7 @@ from cohortloom.operators import scoring as S
 from cohortloom.operators import selection as L
 from cohortloom.operators.ranking import average_ranks
 from cohortloom.operators.transcript import sentence_stats as stats_of
-from cohortloom.plans.registry import query, table
+from cohortloom.plans.registry import query, table, wide_table
 from cohortloom.plans.scalars import _NORM, _PROFILE_SQL
 from cohortloom.session import materialise
 
@@ -64,7 +64,7 @@ _LONG_SQL = "long AS (" + " UNION ALL ".join(
 
 
 def _lines(spark, folder):
-    return table(spark, folder, "lineitem").select(
+    return wide_table(spark, folder, "lineitem", *_FEATURES, "l_returnflag", "l_linestatus").select(
         *_FEATURES, (F.col("l_returnflag") == "R").cast("int").alias("label"),
         (F.when(F.col("l_returnflag") == "R", 2).when(F.col("l_returnflag") == "A", 1).otherwise(0)
          + (F.col("l_linestatus") == "F").cast("int")).alias("severity"),
@@ -208,7 +208,7 @@ _SCORE_DOUBLES = (
 def _profiles(spark, folder):
     lines = F.size(F.split("text", "\n"))
     cols = X.text_profile(F.col("text"), lines, (F.length("text") * 60).cast("double"))
-    docs = table(spark, folder, "documents").select("doc_id", *[cols[f].alias(f) for f in _DOC_FEATURES])
+    docs = wide_table(spark, folder, "documents", "doc_id", "text").select("doc_id", *[cols[f].alias(f) for f in _DOC_FEATURES])
     labels = table(spark, folder, "labels").select(
         "doc_id", F.col("quality").alias("label"), (F.col("quality") + F.col("toxic")).alias("severity")
     )

@@ -8,7 +8,7 @@ from cohortloom.functions.text import id_from_filename
 from cohortloom.operators.transcript import sentence_rows
 from cohortloom.plans import views as V
 from cohortloom.plans.rasters import BOXES
-from cohortloom.plans.registry import query, table
+from cohortloom.plans.registry import query, table, wide_table
 from cohortloom.plans.views import with_
 from cohortloom.session import scratch_path
 from cohortloom.sources import rasters as W
@@ -50,7 +50,7 @@ def src_json_nested(spark, folder):
         ),
     )
     path = scratch_path(spark, "transcripts")
-    docs = table(spark, folder, "documents").select(
+    docs = wide_table(spark, folder, "documents", "doc_id", "text").select(
         "text", F.concat(F.col("doc_id").cast("string"), F.lit("_asr_v2.json")).alias("source_file"),
         sentences.alias("detailed_results"),
     )

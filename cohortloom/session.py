@@ -37,6 +37,16 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/cohortloom/{label}-{uuid.uuid4().hex}"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Repartition only when the scan has fewer splits than the cluster has cores.
+
+    Meant before CPU-heavy expressions on a few small files; a table of many splits is left as it is, so
+    nothing large is shuffled for it.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Cut lineage through a Parquet table in the shared folder, so a lost executor loses no rows."""
     path = scratch_path(df.sparkSession, label)
