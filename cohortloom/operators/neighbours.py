@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -12,6 +14,7 @@ from cohortloom.functions.geometry import bind
 
 _PIVOTS = 32
 _CHUNK = 256
+_LANE = 16
 
 
 def _distance(a: Column, b: Column) -> Column:
@@ -80,10 +83,16 @@ def knn_vote(
     asked = queries.select(
         "query_id", "vec", F.explode(bind(pivot_distances(F.col("vec")), wanted)).alias("_cell")
     )
-    chunks = _packed(near.select("_cell", F.col("train_id").alias("id"), "vec", "label"), {c: n for c, (n, _) in cells.items()}, chunk, "t")
-    sizes_asked = {r["_cell"]: r["count"] for r in asked.groupBy("_cell").count().collect()}
-    blocks = _packed(asked.select("_cell", F.col("query_id").alias("id"), "vec"), sizes_asked, chunk, "q")
-    met = blocks.join(chunks, "_cell").withColumn(
+    rows_in = {c: n for c, (n, _) in cells.items()}
+    asked_in = {r["_cell"]: r["count"] for r in asked.groupBy("_cell").count().collect()}
+    chunks = _packed(near.select("_cell", F.col("train_id").alias("id"), "vec", "label"), rows_in, chunk, "t")
+    blocks = _packed(asked.select("_cell", F.col("query_id").alias("id"), "vec"), asked_in, chunk, "q")
+    # Both sides of a crowded cell are cut in lanes of about 16 chunks and every pair of lanes is one key
+    # of the join: no task meets a whole cell.
+    q_lanes, t_lanes = (_per_cell(n, lambda k: -(-k // (chunk * _LANE))) for n in (asked_in, rows_in))
+    blocks = blocks.withColumn("_q", F.pmod("_part", q_lanes)).withColumn("_t", F.explode(F.sequence(F.lit(0), t_lanes - 1)))
+    chunks = chunks.withColumn("_t", F.pmod("_part", t_lanes)).withColumn("_q", F.explode(F.sequence(F.lit(0), q_lanes - 1)))
+    met = blocks.drop("_part").join(chunks.drop("_part"), ["_cell", "_q", "_t"]).withColumn(
         "hits", _nearest(F.col("q_rows.vec"), F.col("t_rows.vec"), F.lit(k))
     )
     hits = met.select("q_rows", "t_rows", F.explode("hits").alias("h")).select(
@@ -97,21 +106,23 @@ def knn_vote(
     return top.groupBy("query_id").agg(F.avg(F.col("label").cast("double")).alias("prob"))
 
 
-def _packed(rows: DataFrame, sizes: dict[int, int], chunk: int, side: str) -> DataFrame:
-    """Rows of a cell in chunks of about `chunk` by id hash, each one an array ordered by id.
-
-    `sizes` has one number per pivot at most.
-    """
-    parts = F.lit(1)
+def _per_cell(sizes: dict[int, int], parts: Callable[[int], int]) -> Column:
+    """parts(size) of the row's cell; `sizes` has one number per pivot at most."""
+    out = F.lit(1)
     for cell, n in sizes.items():
-        if n > chunk:
-            parts = F.when(F.col("_cell") == cell, F.lit(-(-n // chunk))).otherwise(parts)
+        if parts(n) > 1:
+            out = F.when(F.col("_cell") == cell, F.lit(parts(n))).otherwise(out)
+    return out
+
+
+def _packed(rows: DataFrame, sizes: dict[int, int], chunk: int, side: str) -> DataFrame:
+    """Rows of a cell in chunks of about `chunk` by id hash, each one an array ordered by id."""
     payload = [c for c in rows.columns if c != "_cell"]
+    part = F.pmod(F.xxhash64("id"), _per_cell(sizes, lambda n: -(-n // chunk)))
     return (
-        rows.withColumn("_part", F.pmod(F.xxhash64("id"), parts))
+        rows.withColumn("_part", part.cast("int"))
         .groupBy("_cell", "_part")
         .agg(F.array_sort(F.collect_list(F.struct(*payload))).alias(f"{side}_rows"))
-        .drop("_part")
     )
 
 

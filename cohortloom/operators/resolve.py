@@ -86,14 +86,24 @@ def known_ids(a: DataFrame, b: DataFrame) -> DataFrame:
 # ---- matching ---------------------------------------------------------------------------------
 
 
+def _spread_key(key: Column, columns: Sequence[str]) -> Column:
+    """The join key, or a value that matches nothing where it is absent.
+
+    Most rows have no corrected id and no name. As NULL or '' they would all hash to one partition of
+    the outer join; a row hash behind a control character spreads them.
+    """
+    return F.coalesce(key, F.concat(F.lit(chr(1)), F.xxhash64(*columns).cast("string")))
+
+
 def _attach(samples: DataFrame, known: DataFrame, on: str, prefix: str) -> DataFrame:
     side = known.select(
-        F.col("entity_id").alias(on),
+        F.col("entity_id").alias("_key"),
         F.lit(True).alias(f"{prefix}_hit"),
         F.col("in_a").alias(f"{prefix}_in_a"),
         F.col("in_b").alias(f"{prefix}_in_b"),
     )
-    return samples.join(side, on, "left")
+    keyed = samples.withColumn("_key", _spread_key(F.col(on), samples.columns))
+    return keyed.join(side, "_key", "left").drop("_key")
 
 
 def match_id(samples: DataFrame, known: DataFrame) -> DataFrame:
@@ -109,10 +119,15 @@ def match_ocr(samples: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def match_unique_name(samples: DataFrame, names: DataFrame, known: DataFrame) -> DataFrame:
-    """Samples (with candidate_name) plus the id of a name that stands for exactly one id."""
-    named = names.select(F.col("name").alias("candidate_name"), F.col("entity_id").alias("name_id"))
-    found = samples.join(named, "candidate_name", "left")
-    return _attach(found, known, "name_id", "name")
+    """Samples (with candidate_name) plus the id of a name that stands for exactly one id.
+
+    The availability flags are put on the names first, so the samples are joined once.
+    """
+    flags = known.select(F.col("entity_id").alias("name_id"), F.col("in_a").alias("name_in_a"), F.col("in_b").alias("name_in_b"))
+    named = names.select(F.col("name").alias("_key"), F.col("entity_id").alias("name_id")).join(flags, "name_id", "left")
+    present = F.when(F.col("candidate_name") != "", F.col("candidate_name"))
+    keyed = samples.withColumn("_key", _spread_key(present, samples.columns))
+    return keyed.join(named, "_key", "left").drop("_key")
 
 
 def resolve_identity(samples: DataFrame, known: DataFrame, names: DataFrame) -> DataFrame:
