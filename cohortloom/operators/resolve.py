@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortloom.functions.numeric import prefer
-from cohortloom.functions.text import digits_for_lookalikes, norm_id, norm_name
+from cohortloom.functions.text import digits_for_lookalikes, norm_id, norm_name, strip
 
 NO_MATCH = ("no_patient_info_match", "No entity info found by id or extracted name.")
 # Issue codes and their messages.
@@ -31,7 +31,7 @@ ISSUES = {
 
 def registry_last_wins(rows: DataFrame, id_col: str, order_col: str, columns: dict[str, str]) -> DataFrame:
     """Project, rename and trim; one row per normalised id, the last in source order wins."""
-    values = F.struct(*[F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))).alias(n) for c, n in columns.items()])
+    values = F.struct(*[strip(F.coalesce(F.col(c).cast("string"), F.lit(""))).alias(n) for c, n in columns.items()])
     keyed = rows.select(norm_id(F.col(id_col).cast("string")).alias("entity_id"), order_col, values.alias("v"))
     return (
         keyed.where(F.col("entity_id") != "")

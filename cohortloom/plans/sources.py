@@ -146,7 +146,7 @@ def _raster_documents(spark, folder, ragged: bool = False):
 )
 def src_raster(spark, folder):
     docs = _raster_documents(spark, folder, ragged=True)
-    sound, _ = W.check_rasters(docs, W.parse_rasters(docs))
+    sound, _ = W.parse_rasters(docs)
     total = F.aggregate("temps", F.lit(0.0), lambda a, v: a + v)
     return sound.select("sample_id", "y", F.size("temps").alias("width"), total.alias("total"))
 

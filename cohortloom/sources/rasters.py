@@ -7,44 +7,42 @@ from pyspark.sql import functions as F
 
 from cohortloom.functions.numeric import range_normalise
 from cohortloom.functions.text import file_stem
+from cohortloom.session import path_exists
 
 PREAMBLE_LINES = 4
 
 
-def parse_rasters(documents: DataFrame) -> DataFrame:
-    """(sample_id, y, temps) scan lines from (sample_id, content): four header lines, then `row,v1,...,vW,`.
+def _scanned(documents: DataFrame) -> DataFrame:
+    """(sample_id, scan, error): the whole raster of a document as array of lines, checked inside its row.
 
-    Lines without a row number or values are skipped, empty fields dropped.
+    Four header lines, then `row,v1,...,vW,`. Lines without a row number or values are skipped, empty
+    fields dropped. A document is one row, so no check needs a shuffle.
     """
     lines = F.split("content", "\r?\n")
-    body = F.filter(
-        F.transform(F.slice(lines, PREAMBLE_LINES + 1, F.greatest(F.size(lines) - PREAMBLE_LINES, F.lit(0))), lambda l: F.split(l, ",")),
-        lambda parts: (F.size(parts) > 1) & (parts[0] != ""),
+    body = F.slice(lines, PREAMBLE_LINES + 1, F.greatest(F.size(lines) - PREAMBLE_LINES, F.lit(0)))
+    fields = F.filter(
+        F.transform(body, lambda line: F.split(line, ",")), lambda parts: (F.size(parts) > 1) & (parts[0] != "")
     )
     values = F.transform(
-        body, lambda parts: F.filter(F.slice(parts, 2, F.size(parts) - 1), lambda v: v != "")
+        fields, lambda parts: F.filter(F.slice(parts, 2, F.size(parts) - 1), lambda v: v != "")
     )
     kept = F.filter(values, lambda v: F.size(v) > 0)
-    return documents.select("sample_id", F.posexplode(kept).alias("y", "raw")).select(
-        "sample_id", "y", F.transform("raw", lambda v: v.try_cast("double")).alias("temps")
+    numbers = F.transform(kept, lambda row: F.transform(row, lambda v: v.try_cast("double")))
+    parsed = documents.select("sample_id", numbers.alias("scan"))
+    widths = F.transform("scan", lambda row: F.size(row))
+    error = (
+        F.when(F.size("scan") == 0, "no rows")
+        .when(F.exists("scan", lambda row: F.exists(row, lambda v: v.isNull())), "not a number")
+        .when(F.array_min(widths) != F.array_max(widths), "inconsistent row widths")
     )
+    return parsed.withColumn("error", error)
 
 
-def check_rasters(documents: DataFrame, lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Scan lines of the sound rasters, and (sample_id, error) for the others."""
-    shape = lines.groupBy("sample_id").agg(
-        (F.min(F.size("temps")) != F.max(F.size("temps"))).alias("ragged"),
-        F.bool_or(F.exists("temps", lambda v: v.isNull())).alias("garbled"),
-        F.lit(True).alias("rows"),
-    )
-    marked = documents.select("sample_id").join(shape, "sample_id", "left")
-    error = (
-        F.when(F.col("rows").isNull(), "no rows")
-        .when(F.col("garbled"), "not a number")
-        .when(F.col("ragged"), "inconsistent row widths")
-    )
-    failures = marked.select("sample_id", error.alias("error")).where(F.col("error").isNotNull())
-    return lines.join(failures, "sample_id", "left_anti"), failures
+def parse_rasters(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Scan lines (sample_id, y, temps) of the sound rasters, and (sample_id, error) for the others."""
+    scanned = _scanned(documents)
+    sound = scanned.where(F.col("error").isNull()).select("sample_id", F.posexplode("scan").alias("y", "temps"))
+    return sound, scanned.where(F.col("error").isNotNull()).select("sample_id", "error")
 
 
 def read_rasters(spark: SparkSession, path: str) -> DataFrame:
@@ -60,18 +58,23 @@ def read_rasters(spark: SparkSession, path: str) -> DataFrame:
 def convert_rasters(documents: DataFrame, excluded: DataFrame, target: str) -> DataFrame:
     """Append the scan lines of rasters not excluded and not cached yet; counts by outcome.
 
-    The cache is Parquet partitioned by nothing and keyed by sample_id, so a rerun only reads ids.
+    The texts are parsed once, for the write; the counts come from ids alone.
     """
     spark = documents.sparkSession
-    probe = spark._jvm.org.apache.hadoop.fs.Path(target)
-    there = probe.getFileSystem(spark._jsc.hadoopConfiguration()).exists(probe)
+
+    def cached() -> DataFrame:
+        return spark.read.parquet(target).select("sample_id").distinct()
+
     wanted = documents.join(excluded.select("sample_id"), "sample_id", "left_anti")
-    done = spark.read.parquet(target).select("sample_id").distinct() if there else None
-    todo = wanted.join(done, "sample_id", "left_anti") if done is not None else wanted
-    sound, failures = check_rasters(todo, parse_rasters(todo))
-    total, pending, failed = wanted.count(), todo.count(), failures.count()
-    sound.write.mode("append").parquet(target)
-    outcome = [("success", pending - failed), ("skipped", total - pending), ("failed", failed)]
+    todo, before, skipped = wanted, 0, 0
+    if path_exists(spark, target):
+        done = cached()
+        before, skipped = done.count(), wanted.join(done, "sample_id", "left_semi").count()
+        todo = wanted.join(done, "sample_id", "left_anti")
+    parse_rasters(todo)[0].write.mode("append").parquet(target)
+    success = cached().count() - before
+    failed = wanted.count() - skipped - success
+    outcome = [("success", success), ("skipped", skipped), ("failed", failed)]
     return spark.createDataFrame(outcome, "outcome string, n long")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortloom.functions.text import file_stem, file_suffix, id_from_filename, parent_name
+from cohortloom.session import path_exists
 
 TRANSCRIPT_SCHEMA = """
   text string, source_file string,
@@ -90,8 +91,7 @@ def exclusion_ids(documents: DataFrame, column: str = "value") -> DataFrame:
 
 def read_exclusions(spark: SparkSession, path: str) -> DataFrame:
     """Exclusion file to ids; a missing file is an empty set."""
-    probe = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not probe.getFileSystem(spark._jsc.hadoopConfiguration()).exists(probe):
+    if not path_exists(spark, path):
         return spark.createDataFrame([], "sample_id string")
     return exclusion_ids(spark.read.text(path, wholetext=True))
 
@@ -190,11 +190,9 @@ def append_new(rows: DataFrame, path: str, key: str) -> DataFrame:
     The new part is written first and counted from the files, so both numbers describe what happened.
     """
     spark = rows.sparkSession
-    probe = spark._jvm.org.apache.hadoop.fs.Path(path)
-    there = probe.getFileSystem(spark._jsc.hadoopConfiguration()).exists(probe)
     fresh = rows
     before = 0
-    if there:
+    if path_exists(spark, path):
         target = spark.read.schema(rows.schema).parquet(path)
         before = target.count()
         fresh = rows.join(target.select(key), key, "left_anti").select(*rows.columns)

@@ -52,7 +52,7 @@ def test_rasters_from_files(spark, tmp_path):
     (tmp_path / "empty.csv").write_text(head, encoding="utf-8")
     (tmp_path / "text.csv").write_text(head + "1,x,2,\n", encoding="utf-8")
     docs = W.read_rasters(spark, str(tmp_path))
-    sound, failures = W.check_rasters(docs, W.parse_rasters(docs))
+    sound, failures = W.parse_rasters(docs)
     assert sorted((r.sample_id, r.y, r.temps) for r in sound.collect()) == [("good", 0, [1.5, 2.0]), ("good", 1, [3.0, 4.0])]
     assert {r.sample_id: r.error for r in failures.collect()} == {"ragged": "inconsistent row widths", "empty": "no rows", "text": "not a number"}
     none = spark.createDataFrame([], "sample_id string")
