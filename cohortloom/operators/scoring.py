@@ -16,6 +16,14 @@ from cohortloom.session import materialise
 SCORE_ORDER = ("combined_score", "binary_corr_abs", "severity_spearman_abs")
 
 
+def best_first(scores: Sequence[str]) -> list[Column]:
+    """Sort order by score columns, missing last, then by name.
+
+    Twelve digits decide: the last bits of a distributed sum depend on task order and must not.
+    """
+    return [*[F.round(F.col(c), 12).desc_nulls_last() for c in scores], F.col("feature_name")]
+
+
 def long_form(df: DataFrame, features: Sequence[str], ids: Sequence[str]) -> DataFrame:
     """(ids, feature_name, value) with NULL and NaN values removed."""
     ready = df.select(*ids, *[F.col(f).cast("double").alias(f) for f in features])
@@ -229,7 +237,7 @@ def feature_scores(
     )
     parts = ("binary_corr_abs", "severity_spearman_abs", "binary_auc_distance", "binary_effect_size_abs")
     table = table.withColumn("combined_score", mean_of_present(*[F.col(p) for p in parts]))
-    return table.orderBy(*[F.desc_nulls_last(c) for c in SCORE_ORDER], "feature_name")
+    return table.orderBy(*best_first(SCORE_ORDER))
 
 
 def numeric_features(

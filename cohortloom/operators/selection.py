@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortloom.operators.ranking import running_totals
-from cohortloom.operators.scoring import SCORE_ORDER
+from cohortloom.operators.scoring import SCORE_ORDER, best_first
 from cohortloom.session import materialise
 
 
@@ -23,15 +23,13 @@ def rank_features(
         # Two distinct values exist exactly when min and max differ: no distinct shuffle needed.
         spread = data.agg(*[(F.min(c) < F.max(c)).alias(c) for c in keep]).first()
         keep = [c for c in keep if spread[c]]
-    return scores.where(F.col("feature_name").isin(keep)).orderBy(
-        *[F.desc_nulls_last(c) for c in keys], "feature_name"
-    )
+    return scores.where(F.col("feature_name").isin(keep)).orderBy(*best_first(keys))
 
 
 def top_k(scores: DataFrame, k: int) -> DataFrame:
     """Best k by combined score among the selected rows (all rows when there is no flag)."""
     rows = scores.where(F.col("selected") == 1) if "selected" in scores.columns else scores
-    return rows.orderBy(F.desc_nulls_last("combined_score"), "feature_name").limit(k)
+    return rows.orderBy(*best_first(["combined_score"])).limit(k)
 
 
 def nested_sets(ranked: Sequence[str], sizes: Sequence[int | str]) -> dict[str, list[str]]:
