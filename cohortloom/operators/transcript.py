@@ -9,6 +9,7 @@ from cohortloom.functions.numeric import coerce_numeric
 from cohortloom.functions.text import READING_PROMPT, norm_text, reference_deviation, sequence_ratio, text_profile
 from cohortloom.operators.ranking import exact_quantiles
 
+
 def sentence_rows(transcripts: DataFrame) -> DataFrame:
     """(entity_id, text, duration, rate, silence, emotion), one row per sentence; none for an empty list."""
     return transcripts.select("entity_id", F.explode("detailed_results").alias("s")).where(

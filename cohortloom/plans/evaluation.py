@@ -8,7 +8,6 @@ from cohortloom.functions.numeric import blend as blend_of
 from cohortloom.operators import evaluate as E
 from cohortloom.plans import views as V
 from cohortloom.plans.registry import query, table
-from cohortloom.plans.views import with_
 
 _LAB = "WITH " + V.CTE["samples"] + ", " + V.CTE["outcomes"] + ", " + V.CTE["labelled"]
 # The late year of the stand-in data.
