@@ -71,3 +71,14 @@ def test_screening_job(spark):
     scores, subset, kept = J.screen(df, ("a", "b", "c"), ("id", "label"), top=3)
     assert kept == ["a", "c"] and subset.columns == ["id", "label", "a", "c"]
     assert {r.feature_name: r.selected for r in scores.collect()} == {"a": 1, "b": 0, "c": 1}
+
+
+def test_transcript_table_keeps_unmatched(spark):
+    from cohortloom.sources.tabular import TRANSCRIPT_SCHEMA
+
+    rows = [("QQ001", "北风和太阳", "f", []), ("QQ002", "", "f", [])]
+    docs = spark.createDataFrame(rows, f"entity_id string, {TRANSCRIPT_SCHEMA}")
+    registry = spark.createDataFrame([("QQ001", 1)], "entity_id string, label int")
+    out = {r.entity_id: r for r in J.transcript_table(docs, registry).collect()}
+    assert (out["QQ001"].match_status, out["QQ001"].label, out["QQ001"].norm_char_count) == ("matched", 1, 5)
+    assert (out["QQ002"].match_status, out["QQ002"].label, out["QQ002"].sequence_ratio) == ("unmatched", None, 0)
