@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zipfile
@@ -29,9 +30,16 @@ def build_session(app_name: str = "cohortloom", master: str | None = None, **ext
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """New path under the cluster's shared checkpoint folder (a temp folder only when none is set)."""
+    """New path under the shared folder of `spark.checkpoint.dir`.
+
+    Where that is unset, a session that runs in one process gets a temp folder of its own; on a cluster
+    each executor would write to its own disk there, so the setting is required.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all executors share (master {master})")
         base = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/cohortloom/{label}-{uuid.uuid4().hex}"
