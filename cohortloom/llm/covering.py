@@ -14,7 +14,7 @@ Linking works on distinct fingerprints and emits no pairs of a bucket:
    fingerprints share exactly when they are within the radius, so the work stays in proportion to members.
 
 Every step is exact, so the choice between them changes the work and not the links. Components are found
-by contraction to the smallest neighbour, one shuffle of the remaining edges per round.
+by contraction to a hashed first neighbour, one shuffle of the remaining edges per round.
 
 Defined cases: NULL, empty and blank texts have fingerprint zero and are linked like any other. Repeated
 rows stay and share a component. A component's id is its smallest non-NULL doc_id (NULL if it has none).
@@ -95,13 +95,19 @@ def _near(a: str, b: str, radius: int) -> Column:
 
 
 def contract(edges: DataFrame, label: str = "components") -> DataFrame:
-    """(node, root): the smallest node that each node of the edges (a, b) reaches; only moved nodes are listed."""
+    """(node, root): one node stands for each component of the edges (a, b); roots themselves are not listed.
+
+    Each round a node takes the name of the neighbour, or itself, that is first in an order hashed anew, so
+    the number of names falls by a share every round, also along chains; one shuffle of what is left.
+    """
     edges = materialise(edges.where("a <> b").select("a", "b").distinct(), label)
     maps = []
     while not edges.isEmpty():
         both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        moved = both.groupBy("a").agg(F.min("b").alias("m")).where("m < a")
-        moved = materialise(moved.select(F.col("a").alias("node"), F.col("m").alias("parent")), label)
+        rank = [F.xxhash64(F.lit(len(maps)), c) for c in ("a", "b")]
+        best = both.groupBy("a").agg(F.min(F.struct(rank[1].alias("h"), F.col("b").alias("to"))).alias("m"))
+        moved = best.where(F.col("m.h") < rank[0]).select(F.col("a").alias("node"), F.col("m.to").alias("parent"))
+        moved = materialise(moved, label)
         maps.append(moved)
         left = moved.select(F.col("node").alias("a"), F.col("parent").alias("pa"))
         right = moved.select(F.col("node").alias("b"), F.col("parent").alias("pb"))
@@ -114,7 +120,8 @@ def contract(edges: DataFrame, label: str = "components") -> DataFrame:
     for moved in reversed(maps[:-1]):
         later = done.select(F.col("node").alias("parent"), "root")
         earlier = moved.join(later, "parent", "left").select("node", F.coalesce("root", "parent").alias("root"))
-        done = materialise(earlier.unionByName(done), label)
+        kept = done.join(moved.select("node"), "node", "left_anti")
+        done = materialise(earlier.unionByName(kept), label)
     return done
 
 
