@@ -116,6 +116,11 @@ def _shape(word: str) -> str:
     return re.sub(r"[^\W\d_]+", "x", re.sub(r"[0-9]+", lambda m: f"<{min(20, len(m[0]))}>", word))[:24]
 
 
+def _outline(word: str) -> str:
+    """The shape without run lengths."""
+    return re.sub(r"<[0-9]+>", "9", _shape(word))
+
+
 def features(words: list[str]) -> np.ndarray:
     """Hashed feature numbers, a row per word."""
     shapes = [_shape(w) for w in words]
@@ -132,6 +137,7 @@ def features(words: list[str]) -> np.ndarray:
                 "bias", f"s={shapes[i]}", f"w={low[i]}", f"d={min(20, len(digits))}",
                 f"c={len(digits) >= 13 and luhn(digits)}", f"@={'@' in w}{'.' in w[1:-1]}", f"f={_shape(w[:1])}", f"l={_shape(w[-2:])}",
                 f"p={p1}", f"q={p2}", f"n={n1}", f"sp={s1}", f"sn={s2}", f"ss={s1}|{shapes[i]}", f"ps={p1}|{shapes[i]}",
+                f"g={_outline(w)}", f"sg={s2}|{_outline(w)}", f"pg={s1}|{_outline(w)}",
             )
         )
     return np.array([[zlib.crc32(f.encode()) % FEATURES for f in row] for row in rows], dtype=np.int32)
@@ -173,7 +179,7 @@ def _padded(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return out, lengths
 
 
-def train(sequences: list[tuple[list[str], list[str]]], rounds: int = 120, rate: float = 0.1, penalty: float = 0.02) -> Field:
+def train(sequences: list[tuple[list[str], list[str]]], rounds: int = 100, rate: float = 0.1, penalty: float = 0.02) -> Field:
     """Maximum conditional likelihood with an L2 penalty, by Adam on the whole batch."""
     x, lengths = _padded([features(words) for words, _ in sequences])
     count, width, _ = x.shape
@@ -362,7 +368,7 @@ def _value(kind: str, r: random.Random) -> str:
     }[kind]()
 
 
-def labelled_rows(count: int = 900, seed: int = 11) -> list[tuple[str, list[Span]]]:
+def labelled_rows(count: int = 1200, seed: int = 11) -> list[tuple[str, list[Span]]]:
     """Rows of the labelled table: frames filled in turn with values from a seeded generator."""
     r = random.Random(seed)
     rows = []
@@ -380,7 +386,7 @@ def labelled_rows(count: int = 900, seed: int = 11) -> list[tuple[str, list[Span
     return rows
 
 
-def labelled_table(spark: SparkSession, count: int = 900, seed: int = 11) -> DataFrame:
+def labelled_table(spark: SparkSession, count: int = 1200, seed: int = 11) -> DataFrame:
     """(text, spans) to train on."""
     rows = [(t, [{"kind": k, "start": a, "end": b} for k, a, b in s]) for t, s in labelled_rows(count, seed)]
     return spark.createDataFrame(rows, "text string, spans array<struct<kind:string,start:int,end:int>>")
