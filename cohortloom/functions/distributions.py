@@ -26,15 +26,23 @@ def _beta_fraction(a: float, b: float, x: float) -> float:
             c = c if abs(c) > tiny else tiny
             h *= d * c
         if abs(d * c - 1.0) < 1e-15:
-            break
-    return h
+            return h
+    raise ArithmeticError(f"no convergence of the beta fraction at a={a}, b={b}, x={x}")
+
+
+def _log_gamma_rise(a: float, b: float) -> float:
+    """log gamma(a + b) - log gamma(a); from a of 50 by the asymptotic series, whose terms do not cancel."""
+    if a < 50.0:
+        return math.lgamma(a + b) - math.lgamma(a)
+    series = lambda x: 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5)
+    return b * math.log(a) + (a + b - 0.5) * math.log1p(b / a) - b + series(a + b) - series(a)
 
 
 def incomplete_beta(a: float, b: float, x: float) -> float:
     if x <= 0.0 or x >= 1.0:
         return 0.0 if x <= 0.0 else 1.0
     front = math.exp(
-        math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)
+        _log_gamma_rise(max(a, b), min(a, b)) - math.lgamma(min(a, b)) + a * math.log(x) + b * math.log1p(-x)
     )
     if x < (a + 1.0) / (a + b + 2.0):
         return front * _beta_fraction(a, b, x) / a
@@ -53,6 +61,22 @@ def chi2_tail(stat: float, df: int) -> float:
     return min(tail, 1.0)
 
 
+def t_tail(rho: float, df: float) -> float:
+    """Two-sided tail of a correlation with df degrees of freedom: I_{1 - rho^2}(df / 2, 1 / 2).
+
+    From 1e6 degrees on, the expansion of Student's t around the normal law to 1 / df^2 is exact to
+    double precision, where the fraction would need ever more terms.
+    """
+    square = min(rho * rho, 1.0)
+    if df < 1e6 or square > 0.5:
+        return incomplete_beta(df / 2.0, 0.5, 1.0 - square)
+    t = math.sqrt(df * square / (1.0 - square))
+    density = math.exp(-t * t / 2.0) / math.sqrt(2.0 * math.pi)
+    first = t * (t * t + 1.0) / (4.0 * df)
+    second = t * (3.0 * t**6 - 7.0 * t**4 - 5.0 * t**2 - 3.0) / (96.0 * df * df)
+    return math.erfc(t / math.sqrt(2.0)) + 2.0 * density * (first + second)
+
+
 @F.pandas_udf(T.DoubleType())
 def correlation_pvalue(r: pd.Series, n: pd.Series) -> pd.Series:
     """Two-sided p-value of a correlation over n pairs, Student t with n - 2 degrees of freedom."""
@@ -60,8 +84,7 @@ def correlation_pvalue(r: pd.Series, n: pd.Series) -> pd.Series:
     def one(rho: float, size: float) -> float | None:
         if rho is None or math.isnan(rho) or size < 3:
             return None
-        # I_{1-r^2}((n-2)/2, 1/2) is the t tail without forming t, so |r| = 1 needs no special case.
-        return incomplete_beta((size - 2) / 2.0, 0.5, 1.0 - min(rho * rho, 1.0))
+        return t_tail(rho, size - 2)
 
     return pd.Series([one(a, b) for a, b in zip(r, n)], dtype="float64")
 

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 PAIRING_MODES = ("cross_year_all", "cross_year_first", "within_late_first2")
-_SALTS = 16
 
 
 def _named(df: DataFrame, side: str, entity: str, sample: str) -> DataFrame:
@@ -35,15 +34,10 @@ def build_pairs(
     rows = samples.select(entity, F.col(sample).cast("string").alias(sample), year)
     first, second = rows.where(F.col(year) == early), rows.where(F.col(year) == late)
     if mode == "cross_year_all":
-        # The pair list itself is the result, so its size is n_early * n_late per entity. Salting the
-        # early side and copying the late side per salt spreads one hot entity over many tasks.
-        a = _named(first, "a", entity, sample).withColumn(
-            "_salt", F.pmod(F.xxhash64("sample_id_a"), F.lit(_SALTS)).cast("int")
-        )
-        b = _named(second, "b", entity, sample).withColumn(
-            "_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1)))
-        )
-        return _with_id(a.join(b, ["entity_id", "_salt"]), mode)
+        # The pair list itself is the result, so its size is n_early * n_late per entity. A hot entity's
+        # partition is split by the adaptive skew join; nothing is copied for the others.
+        a, b = _named(first, "a", entity, sample), _named(second, "b", entity, sample)
+        return _with_id(a.join(b, "entity_id"), mode)
     if mode == "cross_year_first":
         ids = rows.groupBy(F.col(entity).alias("entity_id")).agg(
             F.min(F.when(F.col(year) == early, F.col(sample))).alias("sample_id_a"),

@@ -10,19 +10,19 @@ from pyspark.sql import functions as F
 from cohortloom.functions.numeric import prefer
 from cohortloom.functions.text import digits_for_lookalikes, norm_id, norm_name, strip
 
-NO_MATCH = ("no_patient_info_match", "No entity info found by id or extracted name.")
-# Issue codes and their messages.
+NO_MATCH = ("no_patient_info_match", "neither the id nor a unique name is in a registry")
+# The issue codes. What they mean is said in this package's words.
 ISSUES = {
-    "missing_sequence_1_image": "No first/front image was found.",
-    "multiple_sequence_1_images": "Multiple sequence 1 images found; first sorted file is used.",
-    "missing_temperature_csv": "Image has no matching temperature CSV.",
-    "unparseable_image_name": "Cannot parse entity id/view/sequence from image name.",
-    "missing_front_image": "No front image was found for this entity.",
-    "missing_front_sequence_1": "Front images exist, but no sequence 1 front image was found.",
-    "orphan_temperature_csv": "Temperature CSV has no matching image file.",
-    "missing_year_dir": "Year folder does not exist.",
-    "missing_photo_dir": "Photo folder does not exist.",
-    "missing_temperature_dir": "Temperature folder does not exist.",
+    "missing_sequence_1_image": "folder without a picture numbered 1",
+    "multiple_sequence_1_images": "several pictures numbered 1; the path that sorts first counts",
+    "missing_temperature_csv": "picture without a measurement of its stem",
+    "unparseable_image_name": "file name holds no id, view and number",
+    "missing_front_image": "entity without a front picture",
+    "missing_front_sequence_1": "front pictures, but none numbered 1",
+    "orphan_temperature_csv": "measurement without a picture of its stem",
+    "missing_year_dir": "folder of the year is absent",
+    "missing_photo_dir": "folder of the pictures is absent",
+    "missing_temperature_dir": "folder of the measurements is absent",
 }
 
 
@@ -195,8 +195,8 @@ def first_in_sorted(images: DataFrame, entity: str = "entity_id", path: str = "p
 
 
 def pair_artifacts(images: DataFrame, measures: DataFrame, on: str = "stem") -> tuple[DataFrame, DataFrame]:
-    """Images with their same-stem measurement, and the images without one."""
-    sides = measures.select(on, F.col("path").alias("measure_path")).dropDuplicates([on])
+    """Images with their same-stem measurement (of several the path that sorts first), and the images without one."""
+    sides = measures.groupBy(on).agg(F.min("path").alias("measure_path"))
     joined = images.join(sides, on, "left")
     return joined.where(F.col("measure_path").isNotNull()), joined.where(F.col("measure_path").isNull()).drop(
         "measure_path"

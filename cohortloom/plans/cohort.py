@@ -376,11 +376,10 @@ def attrition_funnel(spark, folder):
 
 @query(
     "fusion_left",
-    with_("samples", "outcomes") + "SELECT s.sample_id, s.entity_id, s.prob, o.balance, o.nation FROM samples s LEFT JOIN"
-    " (SELECT * FROM outcomes WHERE label = 1) o USING (entity_id)",
+    with_("samples", "outcomes") + "SELECT s.sample_id, s.entity_id, s.prob, o.balance, o.nation FROM samples s LEFT JOIN outcomes o USING (entity_id)",
 )
 def fusion_left(spark, folder):
-    entities = V.outcomes(spark, folder).where(F.col("label") == 1).withColumnRenamed("entity_id", "key")
+    entities = V.outcomes(spark, folder).withColumnRenamed("entity_id", "key")
     out = R.fusion_left(V.samples(spark, folder), entities, "entity_id", "key", ["balance", "nation"])
     return out.select("sample_id", "entity_id", "prob", "balance", "nation")
 

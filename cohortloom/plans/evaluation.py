@@ -139,7 +139,7 @@ _SECOND = "CAST(abs(balance) / 10000.0 AS DOUBLE)"
 
 
 def _structured(spark, folder):
-    return V.outcomes(spark, folder).where(F.col("balance") > 0).select(
+    return V.outcomes(spark, folder).select(
         "entity_id", F.expr("cast(abs(balance) / 10000.0 as double)").alias("prob_b"), "nation"
     )
 
@@ -148,7 +148,7 @@ def _pool(spark, folder):
     return V.splits(spark, folder).where(F.col("split") != "unlabelled")
 
 
-_POOL_SQL = ", pool AS (SELECT entity_id FROM splits WHERE split <> 'unlabelled'), st AS (SELECT entity_id, " + _SECOND + " AS prob_b, nation FROM outcomes WHERE balance > 0)"
+_POOL_SQL = ", pool AS (SELECT entity_id FROM splits WHERE split <> 'unlabelled'), st AS (SELECT entity_id, " + _SECOND + " AS prob_b, nation FROM outcomes)"
 
 
 @query(

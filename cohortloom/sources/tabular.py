@@ -187,7 +187,7 @@ def write_annotations(annotations: DataFrame, folder: str, regions: Sequence[str
 def append_new(rows: DataFrame, path: str, key: str) -> DataFrame:
     """Append the rows whose key is not in the Parquet target yet; (copied, skipped) counts as one row.
 
-    The new part is written first and counted from the files, so both numbers describe what happened.
+    Of several rows with a key the one that sorts first by its other columns is appended. The new part is written first and counted from the files, so both numbers describe what happened.
     """
     spark = rows.sparkSession
     fresh = rows
@@ -196,6 +196,8 @@ def append_new(rows: DataFrame, path: str, key: str) -> DataFrame:
         target = spark.read.schema(rows.schema).parquet(path)
         before = target.count()
         fresh = rows.join(target.select(key), key, "left_anti").select(*rows.columns)
+    whole = F.struct(*[F.col(c) for c in rows.columns])
+    fresh = fresh.groupBy(key).agg(F.min(whole).alias("_first")).select("_first.*")
     fresh.write.mode("append").parquet(path)
     copied = spark.read.schema(rows.schema).parquet(path).count() - before
     return rows.agg(F.count("*").alias("_n")).select(
