@@ -256,9 +256,12 @@ def predict_prob(model: PipelineModel, df: DataFrame, name: str = "prob") -> Dat
 
 
 def vector_columns(df: DataFrame, vector: str, width: int, prefix: str) -> DataFrame:
-    """array<float> to `<prefix>_000` columns for export; inside the library vectors stay arrays."""
+    """array<float> to `<prefix>_000` columns for export; a vector of another length fails, a NULL one gives NULLs."""
     rest = [c for c in df.columns if c != vector]
-    return df.select(*rest, *[F.get(vector, F.lit(i)).cast("double").alias(f"{prefix}_{i:03d}") for i in range(width)])
+    wrong = F.concat(F.lit(f"{vector}: not {width} but "), F.size(vector).cast("string"), F.lit(" values"))
+    checked = F.when(F.col(vector).isNotNull() & (F.size(vector) != width), F.raise_error(wrong)).otherwise(F.col(vector))
+    ready = df.select(*rest, checked.alias(vector))
+    return ready.select(*rest, *[F.get(vector, F.lit(i)).cast("double").alias(f"{prefix}_{i:03d}") for i in range(width)])
 
 
 def columns_vector(df: DataFrame, prefix: str, name: str = "vec") -> DataFrame:

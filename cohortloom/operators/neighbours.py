@@ -1,151 +1,65 @@
-"""Exact k-nearest-neighbour voting without comparing every query with every training row."""
+"""k-nearest-neighbour voting of any number of queries over a bounded table of labelled vectors."""
 
 from __future__ import annotations
 
-import json
-from collections.abc import Callable
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from pyspark.sql import DataFrame
 
-from cohortloom.functions.geometry import bind
+#: Labelled rows that a model may hold; they travel to every executor once.
+MAX_TRAIN = 50_000
+_BLOCK = 256
+_SPARE = 8
 
-_PIVOTS = 32
-_CHUNK = 256
-_LANE = 16
 
+def nearest(points: np.ndarray, ids: np.ndarray, block: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k nearest points of each query in `block`, by distance to 12 digits and then by id.
 
-def _distance(a: Column, b: Column) -> Column:
-    sq = F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v)
-    return F.sqrt(sq)
-
-
-def knn_vote(
-    queries: DataFrame, train: DataFrame, k: int, pivots: int = _PIVOTS, chunk: int = _CHUNK
-) -> DataFrame:
+    One matrix product ranks all points; the best k and a few more are measured again exactly. A query
+    whose reserve may hide a tie or a rounding error is measured against all points.
+    """
+    k = min(k, len(points))
+    rough = (points * points).sum(axis=1)[None, :] - 2.0 * block @ points.T + (block * block).sum(axis=1)[:, None]
+    m = min(k + _SPARE, len(points))
+    some = np.argpartition(rough, m - 1, axis=1)[:, :m]
+    reach = np.take_along_axis(rough, some, axis=1).max(axis=1)
+    exact = np.sqrt(((points[some] - block[:, None, :]) ** 2).sum(axis=2)).round(12)
+    order = np.lexsort((ids[some], exact), axis=1)[:, :k]
+    best = np.take_along_axis(some, order, axis=1)
+    last = np.take_along_axis(exact, order[:, -1:], axis=1)[:, 0]
+    scale = 1e-9 * (1.0 + (block * block).sum(axis=1) + (points * points).sum(axis=1).max())
+    for q in np.nonzero((last * last + scale >= reach) & (m < len(points)))[0]:
+        dist = np.sqrt(((points - block[q]) ** 2).sum(axis=1)).round(12)
+        best[q] = np.lexsort((ids, dist))[:k]
+    return best
+
+
+def knn_vote(queries: DataFrame, train: DataFrame, k: int, most: int = MAX_TRAIN) -> DataFrame:
     """(query_id, prob) with the mean label of the k nearest train rows, ties by train id.
 
-    `queries` has query_id and vec, `train` train_id, vec and label; vec is array<double>.
-
-    A few train rows act as pivots and every train row belongs to the cell of its nearest pivot. The
-    cell sizes and radii bound each query's k-th distance from above, and the triangle inequality then
-    rules out whole cells; a query is joined only to the cells left. Both sides of a cell are packed in
-    chunks of about 256 rows by id hash, so a crowded cell is many rows of the join; NumPy measures two
-    chunks at once and only each query's k best leave the task. The answer is exact for any pivots.
+    `queries` has query_id and vec, `train` train_id, vec and label; vec is array<double> of one length.
+    The train rows are the model: more than `most` are refused. Queries are never shuffled or paired; a
+    task measures blocks of them and keeps k places for each.
     """
-    # A fixed number of rows in hash order: the only data that reaches the driver.
-    chosen = train.orderBy(F.md5(F.col("train_id").cast("string")), "train_id").limit(pivots).select("vec").collect()
-    # As JSON text the pivots are one literal after constant folding, not thousands of expressions.
-    points = F.from_json(F.lit(json.dumps([[float(v) for v in r.vec] for r in chosen])), "array<array<double>>")
-
-    def pivot_distances(vec: Column) -> Column:
-        return F.transform(points, lambda p: _distance(vec, p))
-
-    place = bind(
-        pivot_distances(F.col("vec")),
-        lambda d: F.struct(F.array_min(d).alias("radius"), (F.array_position(d, F.array_min(d)).cast("int") - 1).alias("cell")),
-    )
-    near = train.withColumn("_place", place)
-    near = near.select(*train.columns, F.col("_place.cell").alias("_cell"), F.col("_place.radius").alias("_radius"))
-    stats = near.groupBy("_cell").agg(F.count("*").alias("n"), F.max("_radius").alias("radius"))
-    cells = {r["_cell"]: (r["n"], r["radius"]) for r in stats.collect()}
-
-    # One entry per pivot at most, so these literals have a fixed size.
-    sizes = F.array(*[
-        F.struct(F.lit(c).alias("cell"), F.lit(int(n)).alias("n"), F.lit(float(r)).alias("radius"))
-        for c, (n, r) in sorted(cells.items())
-    ])
-
-    def bound(d: Column) -> Column:
-        """Smallest reach of whole cells that together hold k rows: no k-th neighbour is farther."""
-        reach = F.array_sort(
-            F.transform(sizes, lambda s: F.struct((F.get(d, s["cell"]) + s["radius"]).alias("far"), s["n"].alias("n")))
-        )
-        return F.aggregate(
-            reach,
-            F.struct(F.lit(0).cast("long").alias("seen"), F.lit(0.0).alias("far")),
-            lambda acc, r: F.when(acc["seen"] >= k, acc).otherwise(
-                F.struct((acc["seen"] + r["n"]).alias("seen"), r["far"].alias("far"))
-            ),
-            lambda acc: acc["far"],
-        )
-
-    def wanted(d: Column) -> Column:
-        # A hair of slack keeps rounding from dropping a cell that touches the bound.
-        return bind(
-            bound(d),
-            lambda u: F.transform(
-                F.filter(sizes, lambda s: F.get(d, s["cell"]) - s["radius"] <= u * (1 + 1e-9) + 1e-12), lambda s: s["cell"]
-            ),
-        )
-
-    asked = queries.select(
-        "query_id", "vec", F.explode(bind(pivot_distances(F.col("vec")), wanted)).alias("_cell")
-    )
-    rows_in = {c: n for c, (n, _) in cells.items()}
-    asked_in = {r["_cell"]: r["count"] for r in asked.groupBy("_cell").count().collect()}
-    chunks = _packed(near.select("_cell", F.col("train_id").alias("id"), "vec", "label"), rows_in, chunk, "t")
-    blocks = _packed(asked.select("_cell", F.col("query_id").alias("id"), "vec"), asked_in, chunk, "q")
-    # Both sides of a crowded cell are cut in lanes of about 16 chunks and every pair of lanes is one key
-    # of the join: no task meets a whole cell.
-    q_lanes, t_lanes = (_per_cell(n, lambda k: -(-k // (chunk * _LANE))) for n in (asked_in, rows_in))
-    blocks = blocks.withColumn("_q", F.pmod("_part", q_lanes)).withColumn("_t", F.explode(F.sequence(F.lit(0), t_lanes - 1)))
-    chunks = chunks.withColumn("_t", F.pmod("_part", t_lanes)).withColumn("_q", F.explode(F.sequence(F.lit(0), q_lanes - 1)))
-    met = blocks.drop("_part").join(chunks.drop("_part"), ["_cell", "_q", "_t"]).withColumn(
-        "hits", _nearest(F.col("q_rows.vec"), F.col("t_rows.vec"), F.lit(k))
-    )
-    hits = met.select("q_rows", "t_rows", F.explode("hits").alias("h")).select(
-        F.get("q_rows", F.col("h.q"))["id"].alias("query_id"),
-        F.get("t_rows", F.col("h.t"))["id"].alias("train_id"),
-        F.get("t_rows", F.col("h.t"))["label"].alias("label"),
-        "h.dist",
-    )
-    order = Window.partitionBy("query_id").orderBy("dist", "train_id")
-    top = hits.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= k)
-    return top.groupBy("query_id").agg(F.avg(F.col("label").cast("double")).alias("prob"))
-
-
-def _per_cell(sizes: dict[int, int], parts: Callable[[int], int]) -> Column:
-    """parts(size) of the row's cell; `sizes` has one number per pivot at most."""
-    out = F.lit(1)
-    for cell, n in sizes.items():
-        if parts(n) > 1:
-            out = F.when(F.col("_cell") == cell, F.lit(parts(n))).otherwise(out)
-    return out
-
-
-def _packed(rows: DataFrame, sizes: dict[int, int], chunk: int, side: str) -> DataFrame:
-    """Rows of a cell in chunks of about `chunk` by id hash, each one an array ordered by id."""
-    payload = [c for c in rows.columns if c != "_cell"]
-    part = F.pmod(F.xxhash64("id"), _per_cell(sizes, lambda n: -(-n // chunk)))
-    return (
-        rows.withColumn("_part", part.cast("int"))
-        .groupBy("_cell", "_part")
-        .agg(F.array_sort(F.collect_list(F.struct(*payload))).alias(f"{side}_rows"))
-    )
-
-
-_HITS = T.ArrayType(
-    T.StructType(
-        [T.StructField("q", T.IntegerType()), T.StructField("t", T.IntegerType()), T.StructField("dist", T.DoubleType())]
+    rows = train.select("train_id", "vec", "label").limit(most + 1).toPandas()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} labelled vectors; fit on a sample of them")
+    kind = queries.schema["query_id"].dataType.simpleString()
+    schema = f"query_id {kind}, prob double"
+    if rows.empty:
+        return queries.limit(0).selectExpr("query_id", "cast(null as double) AS prob")
+    model = queries.sparkSession.sparkContext.broadcast(
+        (np.stack(rows["vec"].to_numpy()), rows["train_id"].to_numpy(), rows["label"].to_numpy(dtype=float))
     )
-)
 
+    def vote(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        points, ids, labels = model.value
+        for batch in batches:
+            for at in range(0, len(batch), _BLOCK):
+                part = batch.iloc[at : at + _BLOCK]
+                best = nearest(points, ids, np.stack(part["vec"].to_numpy()), k)
+                yield pd.DataFrame({"query_id": part["query_id"].to_numpy(), "prob": labels[best].mean(axis=1)})
 
-@F.pandas_udf(_HITS)
-def _nearest(queries: pd.Series, rows: pd.Series, k: pd.Series) -> pd.Series:
-    """Positions and distances of the k best rows of one chunk for every query of one block."""
-    out = []
-    for block, chunk, best in zip(queries, rows, k):
-        points = np.stack(chunk)
-        found = []
-        for q, vec in enumerate(block):
-            # Twelve decimals make equal distances equal, whatever the order of the sum.
-            dist = np.round(np.sqrt(((points - vec) ** 2).sum(axis=1)), 12)
-            for t in np.argsort(dist, kind="stable")[:best]:
-                found.append({"q": q, "t": int(t), "dist": float(dist[t])})
-        out.append(found)
-    return pd.Series(out)
+    return queries.select("query_id", "vec").mapInPandas(vote, schema)

@@ -140,8 +140,8 @@ def anova_select(spark, folder):
 # ---- neighbours: vectors ---------------------------------------------------------------------------
 
 
-def _vectors(spark, folder, name):
-    return table(spark, folder, "embeddings").select(
+def _vectors(rows, name):
+    return rows.select(
         F.col("vec_id").alias(name), F.transform("embedding", lambda v: v.cast("double")).alias("vec"),
         (F.col("label") < 3).cast("int").alias("label"),
     )
@@ -150,13 +150,17 @@ def _vectors(spark, folder, name):
 @query(
     "knn_classify",
     "WITH v AS (SELECT vec_id, list_transform(embedding, lambda z: z::DOUBLE) AS e, CAST(label < 3 AS INTEGER) AS label FROM embeddings),"
-    " d AS (SELECT q.vec_id AS query_id, t.vec_id, t.label, list_distance(q.e, t.e) AS dist FROM v q, v t)"
+    f" part AS (SELECT *, {V.split_expr('vec_id')} AS split FROM v),"
+    " d AS (SELECT q.vec_id AS query_id, t.vec_id, t.label, list_distance(q.e, t.e) AS dist FROM part q, part t WHERE q.split = 'test' AND t.split = 'train')"
     " SELECT query_id, avg(label) AS prob FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(dist, 12), vec_id) AS r FROM d)"
     " WHERE r <= 9 GROUP BY query_id",
     rounded="prob",
 )
 def knn_classify(spark, folder):
-    return knn_vote(_vectors(spark, folder, "query_id").drop("label"), _vectors(spark, folder, "train_id"), 9)
+    split = F.expr(V.split_expr("vec_id"))
+    rows = table(spark, folder, "embeddings").withColumn("split", split)
+    queries = _vectors(rows.where("split = 'test'"), "query_id").drop("label")
+    return knn_vote(queries, _vectors(rows.where("split = 'train'"), "train_id"), 9)
 
 
 _WIDTH = 64
@@ -167,7 +171,8 @@ _WIDTH = 64
     "SELECT vec_id, label, " + ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS dino_{i:03d}" for i in range(_WIDTH)) + " FROM embeddings",
 )
 def vector_to_columns(spark, folder):
-    wide = M.vector_columns(table(spark, folder, "embeddings"), "embedding", _WIDTH, "dino")
+    rows = table(spark, folder, "embeddings")
+    wide = M.vector_columns(rows, "embedding", _WIDTH, "dino")
     back = M.columns_vector(wide, "dino", "embedding")
     return M.vector_columns(back, "embedding", _WIDTH, "dino")
 
@@ -176,6 +181,7 @@ def vector_to_columns(spark, folder):
 
 _A = ("balance", "nation")
 _B = ("n_orders", "mean_price", "max_price")
+FOLDS = 5
 
 
 def _model_table(spark, folder, name):
@@ -187,7 +193,7 @@ def _model_table(spark, folder, name):
     # The balance decides the label, so the branch sees it blurred by the nation.
     rows = rows.withColumn("balance", F.col("balance") + (F.col("nation") % 5) * 3000)
     rows = rows.join(S.stratified_entity_split(V.outcomes(spark, folder)), "entity_id")
-    return materialise(S.stratified_group_folds(rows, 3), name)
+    return materialise(S.stratified_group_folds(rows, FOLDS), name)
 
 
 def _train(df):
@@ -201,7 +207,7 @@ def _scores(fitted, df, features):
 
 def _fit_and_score(spark, folder, config, strategy="standard", search=False, features=_A + _B):
     df = _model_table(spark, folder, config.name)
-    return _scores(M.fit_model(config, _train(df), features, strategy, search=search, folds=3), df, features)
+    return _scores(M.fit_model(config, _train(df), features, strategy, search=search, folds=FOLDS), df, features)
 
 
 @query("logistic_l2", rounded="prob")
@@ -217,29 +223,43 @@ def logistic_elasticnet(spark, folder):
 
 @query("random_forest", rounded="prob")
 def random_forest(spark, folder):
-    config = M.ModelConfig("forest", "forest", defaults={"numTrees": 30, "maxDepth": 5}, scale=False, select=False)
+    config = M.ModelConfig("forest", "forest", defaults={"numTrees": 100, "maxDepth": 10}, scale=False, select=False)
     return _fit_and_score(spark, folder, config)
 
 
 @query("gradient_boosting", rounded="prob")
 def gradient_boosting(spark, folder):
-    config = M.ModelConfig("boosting", "boosting", defaults={"maxIter": 8}, scale=False, select=False, balanced=False)
+    config = M.ModelConfig("boosting", "boosting", defaults={"maxIter": 100}, scale=False, select=False, balanced=False)
     return _fit_and_score(spark, folder, config)
 
 
-@query("gaussian_nb", rounded="prob")
+# Closed form: class shares, class means and population variances of the train part after median imputation, each
+# variance raised by 1e-9 of the largest variance of any feature.
+_FEATURES = _A + _B
+_NB_SQL = (
+    with_("samples", "outcomes") + f", {_QUOTA_SQL}, o AS (SELECT entity_id, CAST(count(*) AS DOUBLE) AS n_orders, avg(price) AS mean_price, max(price) AS max_price FROM samples GROUP BY 1),"
+    " raw AS (SELECT entity_id, split, label, CAST(balance + (nation % 5) * 3000 AS DOUBLE) AS balance, CAST(nation AS DOUBLE) AS nation, n_orders, mean_price, max_price"
+    " FROM outcomes JOIN made USING (entity_id) LEFT JOIN o USING (entity_id) WHERE label IS NOT NULL),"
+    " x AS (SELECT entity_id, split, label, " + ", ".join(f"coalesce({c}, (SELECT median({c}) FROM raw WHERE split = 'train')) AS {c}" for c in _FEATURES) + " FROM raw),"
+    " eps AS (SELECT 1e-9::DOUBLE * greatest(" + ", ".join(f"var_pop({c})" for c in _FEATURES) + ") AS e FROM x WHERE split = 'train'),"
+    " k AS (SELECT label AS class, count(*) / sum(count(*)) OVER () AS share, " + ", ".join(f"avg({c}) AS m_{c}, var_pop({c}) + any_value(e) AS v_{c}" for c in _FEATURES)
+    + " FROM x, eps WHERE split = 'train' GROUP BY label),"
+    " s AS (SELECT entity_id, split, label, class, ln(share) - 0.5 * (" + " + ".join(f"ln(v_{c}) + ({c} - m_{c}) * ({c} - m_{c}) / v_{c}" for c in _FEATURES)
+    + ") AS score FROM x, k WHERE split <> 'train')"
+    " SELECT a.entity_id, a.split, a.label, 1.0 / (1.0 + exp(a.score - b.score)) AS prob FROM s a JOIN s b ON a.entity_id = b.entity_id AND a.class = 0 AND b.class = 1"
+)
+
+
+@query("gaussian_nb", _NB_SQL, rounded="prob")
 def gaussian_nb(spark, folder):
     config = M.ModelConfig("bayes", "bayes", scale=False, select=False, takes_weights=False, balanced=False)
     return _fit_and_score(spark, folder, config)
 
 
-_SMALL_GRID = M.ModelConfig("logistic", "logistic", {"percentile": [50, 70], "C": [0.1, 1.0]})
-
-
 @query("grid_search_cv", rounded="cv_auc_roc")
 def grid_search_cv(spark, folder):
     df = _model_table(spark, folder, "grid")
-    fitted = M.fit_model(_SMALL_GRID, _train(df), _A + _B, folds=3)
+    fitted = M.fit_model(M.COMPARISON_MODELS[0], _train(df), _A + _B, folds=FOLDS, parallelism=4)
     row = [(M.params_text(fitted.params), fitted.cv_auc)]
     return spark.createDataFrame(row, "best_params string, cv_auc_roc double")
 
@@ -252,7 +272,7 @@ def predict_prob(spark, folder):
 
 
 _PLAIN = M.ModelConfig("LogisticRegression", "logistic", select=False)
-_TREES = M.ModelConfig("RandomForest", "forest", defaults={"numTrees": 20, "maxDepth": 4}, scale=False, select=False)
+_TREES = M.ModelConfig("RandomForest", "forest", defaults={"numTrees": 100, "maxDepth": 5}, scale=False, select=False)
 
 
 @query("late_fusion")
@@ -285,7 +305,7 @@ def stack_tree(spark, folder):
 def fused_patient_eval(spark, folder):
     splits = S.stratified_entity_split(V.outcomes(spark, folder))
     samples = V.labelled(spark, folder).join(splits, "entity_id")
-    structured = V.outcomes(spark, folder).where(F.col("balance") > 0).select("entity_id", "severity", *_A)
+    structured = V.outcomes(spark, folder).select("entity_id", "severity", *_A)
     return C.fused_entity_eval(samples, structured, list(_A), _PLAIN, late_year=2000)
 
 

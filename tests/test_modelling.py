@@ -99,7 +99,7 @@ def test_knn_matches_brute_force_in_a_crowded_cell(spark):
     query = np.vstack([rng.normal(0, 0.01, (30, 3)), rng.normal(0, 6, (30, 3))])
     t = spark.createDataFrame([(i, v.tolist(), int(label[i])) for i, v in enumerate(train)], "train_id int, vec array<double>, label int")
     q = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(query)], "query_id int, vec array<double>")
-    got = {r.query_id: r.prob for r in knn_vote(q, t, 5, pivots=8, chunk=4).collect()}
+    got = {r.query_id: r.prob for r in knn_vote(q, t, 5).collect()}
     for i, v in enumerate(query):
         best = np.argsort(np.sqrt(((train - v) ** 2).sum(axis=1)), kind="stable")[:5]
         assert got[i] == pytest.approx(label[best].mean())
