@@ -142,7 +142,9 @@ def link(weighted: DataFrame, radius: int = 4) -> DataFrame:
     keys = F.transform(
         F.lit(masks), lambda m, k: F.struct(k.alias("t"), F.col("fp").bitwiseAND(m).alias("bucket"))
     )
-    members = weighted.select("fp", "n", F.explode(keys).alias("k")).select("fp", "n", "k.t", "k.bucket")
+    # Each fingerprint becomes a row per table, so the few partitions of the small input are spread first.
+    parts = int(weighted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    members = weighted.repartition(parts, "fp").select("fp", "n", F.explode(keys).alias("k")).select("fp", "n", "k.t", "k.bucket")
     at = ["t", "bucket"]
     buckets = members.groupBy(*at).agg(
         F.count(F.lit(1)).alias("size"), F.max_by("fp", F.struct("n", "fp")).alias("pivot")
