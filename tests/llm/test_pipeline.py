@@ -38,7 +38,7 @@ def test_stages_against_plain_python(spark, docs_of):
     prints = {d: words_print(t) for d, t in texts.items()}
     left = {r["doc_id"] for r in one.collect()}
     for d in set(texts) - {23, 24}:
-        lower = [e for e in set(texts) - {23, 24} if e < d and (prints[d] ^ prints[e]).bit_count() <= 4]
+        lower = [e for e in set(texts) - {23, 24} if e < d and (prints[d] ^ prints[e]).bit_count() <= P.RADIUS]
         assert (d in left) == (not lower)
     assert 21 not in left and 22 not in left
     field = crf.fit(crf.labelled_table(spark))
