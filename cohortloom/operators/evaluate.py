@@ -61,6 +61,14 @@ def score_counts(df: DataFrame, label: str, prob: str, keys: Sequence[str] = ())
     )
 
 
+def roc_auc_with_total(df: DataFrame, label: str, prob: str, key: str, total: str = "all") -> DataFrame:
+    """ROC AUC per value of a text key and over all rows, from one scan: the counts are few when they are doubled."""
+    counts = score_counts(df, label, prob, [key])
+    both = counts.select(F.explode(F.array(F.col(key), F.lit(total))).alias(key), "score", "pos", "neg")
+    summed = both.groupBy(key, "score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    return auc_from_counts(summed, [key], "score")
+
+
 def roc_auc(df: DataFrame, label: str, prob: str, keys: Sequence[str] = ()) -> DataFrame:
     return auc_from_counts(score_counts(df, label, prob, keys), keys, "score")
 
@@ -153,12 +161,17 @@ def threshold_grid(
 def alpha_search(
     df: DataFrame, label: str, prob_a: str, prob_b: str, grid: Sequence[float] = ALPHA_GRID
 ) -> DataFrame:
-    """AUC of the blend for every weight; `best` marks the first weight with the highest AUC."""
+    """AUC of the blend for every weight; rows are reduced to class counts per pair of scores before the weights multiply them."""
     at = F.explode(F.array(*[F.struct(F.lit(i).alias("pos_in_grid"), F.lit(float(a)).alias("alpha")) for i, a in enumerate(grid)]))
-    blended = df.select(label, prob_a, prob_b, at.alias("g")).select(
-        label, "g.*", blend(F.col(prob_a), F.col(prob_b), F.col("g.alpha")).alias("score")
+    pairs = df.groupBy(prob_a, prob_b).agg(
+        F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg")
+    )
+    blended = pairs.select("*", at.alias("g")).select(
+        "pos", "neg", "g.*", blend(F.col(prob_a), F.col(prob_b), F.col("g.alpha")).cast("double").alias("score")
     )
-    return roc_auc(blended, label, "score", ["pos_in_grid", "alpha"]).select("pos_in_grid", "alpha", "auc")
+    keys = ["pos_in_grid", "alpha"]
+    counts = blended.groupBy(*keys, "score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    return auc_from_counts(counts, keys, "score").select("pos_in_grid", "alpha", "auc")
 
 
 def best_alpha(search: DataFrame) -> DataFrame:

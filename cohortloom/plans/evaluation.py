@@ -91,9 +91,7 @@ _RANKED = (
     rounded="auc",
 )
 def roc_auc(spark, folder):
-    rows = V.labelled(spark, folder)
-    groups = E.roc_auc(rows, "label", "prob", ["priority"]).select("priority", "auc")
-    return groups.unionByName(E.roc_auc(rows, "label", "prob").select(F.lit("all").alias("priority"), "auc"))
+    return E.roc_auc_with_total(V.labelled(spark, folder), "label", "prob", "priority").select("priority", "auc")
 
 
 @query(

@@ -11,7 +11,7 @@ from cohortloom.operators import selection as L
 from cohortloom.operators.ranking import average_ranks
 from cohortloom.operators.transcript import sentence_stats as stats_of
 from cohortloom.plans.registry import query, table, wide_table
-from cohortloom.plans.scalars import _NORM, _PROFILE_SQL
+from cohortloom.plans.scalars import _NORM, _PROFILE, _PROFILE_SQL
 from cohortloom.session import materialise
 
 # ---- transcripts: entity = conversation, sentence = turn -------------------------------------------
@@ -180,10 +180,7 @@ def avg_rank(spark, folder):
 
 # ---- the whole table: document profiles against quality labels --------------------------------------
 
-_DOC_FEATURES = (
-    "norm_char_count", "unique_char_count", "unique_char_ratio", "token_count", "repeat_count", "repeat_ratio", "chars_per_sentence_overall",
-    "filler_count",
-)
+_DOC_FEATURES = tuple(_PROFILE.split())
 _DOC_LONG = (
     f"prof AS ({_PROFILE_SQL}), joined AS (SELECT p.*, l.quality AS label, l.quality + l.toxic AS severity FROM prof p JOIN labels l USING (doc_id)),"
     " long AS (" + " UNION ALL ".join(
@@ -276,7 +273,19 @@ def pair_spearman(spark, folder):
     return L.pair_spearman(_profiles(spark, folder), _DOC_FEATURES)
 
 
-@query("prune_correlated")
+# The greedy walk as a recursion over the ranked names; `close` lists the names a name may not stand beside.
+_PRUNE_SQL = (
+    f"WITH RECURSIVE {_TABLE_SQL}{_RANK_SQL}, rho AS ({_PAIRS_SQL.replace('WITH ' + _DOC_LONG.split(', long AS (')[0] + ', ', 'WITH ')}),"
+    " close AS (SELECT a, list(b) AS close FROM (SELECT feature_a AS a, feature_b AS b FROM rho WHERE abs(rho) >= 0.85 UNION ALL"
+    " SELECT feature_b, feature_a FROM rho WHERE abs(rho) >= 0.85) GROUP BY a), r AS (SELECT place, feature_name, coalesce(close, []) AS close"
+    " FROM ranked_scores LEFT JOIN close ON a = feature_name), walk AS (SELECT CAST(0 AS BIGINT) AS place, CAST([] AS VARCHAR[]) AS kept UNION ALL"
+    " SELECT r.place, CASE WHEN len(list_intersect(kept, close)) = 0 THEN list_append(kept, feature_name) ELSE kept END"
+    " FROM walk JOIN r ON r.place = walk.place + 1), done AS (SELECT kept FROM walk ORDER BY place DESC LIMIT 1)"
+    " SELECT feature_name, CAST(list_contains(kept, feature_name) AS INTEGER) AS selected FROM scores, done"
+)
+
+
+@query("prune_correlated", _PRUNE_SQL)
 def prune_correlated(spark, folder):
     data = _profiles(spark, folder)
     scores = S.feature_scores(data, _DOC_FEATURES)
