@@ -53,4 +53,4 @@ def gapless(df: DataFrame, keys: Sequence[str], block: str, order: Sequence[str]
     counts = counts.select(*at, F.coalesce(F.sum(total).over(earlier), F.lit(0)).alias(before))
     inside = F.row_number().over(Window.partitionBy(*at).orderBy(*order)) - 1
     ranked = df.withColumn(local, inside).join(counts, at)
-    return ranked.withColumn(out, (F.col(before) + F.col(local)).cast("long")).drop(before, local)
+    return ranked.select(*df.columns, (F.col(before) + F.col(local)).cast("long").alias(out))
