@@ -73,7 +73,7 @@ def test_find_and_mask(spark, docs_of, field):
     assert (20, 1, 1, "email:10:16,ip:17:25") in rows and (1, 0, 0, "") in rows
     assert C.find(docs, field).count() == docs.count()
     masked = C.mask(docs, field)
-    assert masked.schema == docs.schema and masked.where("doc_id = 20").collect()[0]["text"] == "reach me: [EMAIL] [IP]"
+    assert masked.dtypes == docs.dtypes and masked.where("doc_id = 20").collect()[0]["text"] == "reach me: [EMAIL] [IP]"
     assert masked.where("doc_id = 20").collect()[0]["n_chars"] == 22
     assert C.mask(docs.limit(0), field).count() == 0
     with pytest.raises(ValueError, match="labelled"):
