@@ -4,7 +4,9 @@ Units are the lines of a text and the whole text. A unit is normalised to lower-
 digits in single spaces, cut into words, and compared as a set of word bigrams. Two sets of sizes a and b
 have a Dice coefficient of at most 2 min(a, b) / (a + b), so only templates with
 a t / (2 - t) <= b <= a (2 - t) / t can reach the threshold t; units outside all bounds are dropped by
-their word count before any bigram is made. The templates are a literal of the plan (their number and
+their word count before any bigram is made. The bounds also give the least number of shared bigrams, and
+with it a few bigrams of which a matching unit must hold one; texts and lines without the words of any are
+skipped. The templates are a literal of the plan (their number and
 length are fixed), so nothing is joined or shuffled.
 
 Defined cases: NULL, empty and blank texts, and units of fewer than two words, have no bigrams and match
@@ -14,6 +16,7 @@ reported, `best` marks the highest (ties: the first name). Repeated rows give re
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Mapping
 
@@ -59,6 +62,16 @@ def size_bounds(size: int, threshold: float) -> tuple[int, int]:
     return low, high
 
 
+def sure_pairs(grams: list[str], low: int, threshold: float) -> set[str]:
+    """Bigrams of a template of which every unit that reaches the threshold holds at least one.
+
+    Such a unit shares at least threshold * (low + size) / 2 of the template's bigrams, so it misses fewer
+    than are taken here; long ones are taken, since they are rare in other texts.
+    """
+    shared = math.ceil(threshold * (low + len(grams)) / 2 - 1e-9)
+    return set(sorted(grams, key=lambda g: (-len(g), g))[: len(grams) - shared + 1])
+
+
 def unit_words(unit: Column) -> Column:
     plain = F.lower(F.btrim(F.regexp_replace(unit, "[^A-Za-z0-9]+", " ")))
     return F.filter(F.split(plain, " "), lambda w: w != "")
@@ -79,12 +92,26 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", templates: Ma
         known[name] = (grams, *size_bounds(len(grams), threshold))
     fewest = min(low for _, low, _ in known.values())
     most = max(high for _, _, high in known.values())
+    sure = sorted(set().union(*[sure_pairs(own, low, threshold) for own, low, _ in known.values()]))
+
+    def may_match(of: Column) -> Column:
+        """Whether both words of one of the sure bigrams occur at all; plain substring searches rule out most texts and lines."""
+
+        def any_of(low_case: Column) -> Column:
+            found = F.lit(False)
+            for first, second in map(str.split, sure):
+                found = found | (F.contains(low_case, F.lit(first)) & F.contains(low_case, F.lit(second)))
+            return found
+
+        return let(F.lower(of), any_of)
+
+    docs = docs.where(may_match(F.col(text)))
     lines = F.split(F.col(text), "\\n")
     numbered = F.transform(lines, lambda x, i: F.struct((i + 1).alias("line"), x.alias("unit")))
     whole = F.when(F.size(lines) > 1, F.array(F.struct(F.lit(0).alias("line"), F.col(text).alias("unit"))))
     units = docs.select(F.col(key).alias("key"), F.explode(F.concat(numbered, F.coalesce(whole, F.array().cast("array<struct<line:int,unit:string>>")))).alias("u"))
     # A set of `fewest` bigrams needs as many words and one more; each word and the gap after it takes two characters.
-    units = units.where(F.length("u.unit") >= 2 * fewest + 1)
+    units = units.where((F.length("u.unit") >= 2 * fewest + 1) & may_match(F.col("u.unit")))
     def pairs(words: Column) -> Column:
         return F.array_distinct(
             F.transform(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), lambda w, i: F.concat_ws(" ", w, F.get(words, i + 1)))
