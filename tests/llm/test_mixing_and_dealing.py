@@ -118,3 +118,11 @@ def test_size_bounds_are_tight():
         for a in range(1, 40):
             low, high = L.size_bounds(a, t)
             assert [b for b in range(1, 200) if 2 * min(a, b) >= t * (a + b)] == list(range(low, high + 1))
+
+
+def test_every_near_notice_holds_a_sure_pair():
+    for name, notice in L.TEMPLATES.items():
+        grams = L.bigrams(L.normal_words(notice))
+        low, high = L.size_bounds(len(grams), 0.8)
+        free = len(grams) - len(L.sure_pairs(grams, low, 0.8))
+        assert all(2 * min(free, a) < 0.8 * (a + len(grams)) for a in range(low, high + 1)), name
