@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _BUCKETS_PER_OCTAVE = 1024
+#: Distinct values from which a bucket is cut again, into as many even steps between its ends.
+CROWDED = 65_536
 
 
 def magnitude_bucket(value: Column) -> Column:
@@ -36,27 +38,42 @@ def magnitude_bucket(value: Column) -> Column:
     )
 
 
+def ordered_buckets(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """`df` with `_bucket` and `_step`: ordered cells of a group's values, none of which is crowded.
+
+    Values with a large common offset (seconds since an epoch, ids) share one magnitude bucket. Such a
+    bucket is cut evenly between its smallest and largest value. Few buckets are crowded (at most one per
+    CROWDED rows); where none is, the join meets an empty side.
+    """
+    at = [*keys, "_bucket"]
+    # coalesce makes the bucket non-nullable: otherwise the join adds a null filter on one side only and
+    # the two reads of the counts no longer share one exchange.
+    cut = df.withColumn("_bucket", F.coalesce(magnitude_bucket(F.col(value)), F.lit(0)))
+    crowds = cut.groupBy(*at).agg(F.count("*").alias("_n"), F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+    crowds = crowds.where((F.col("_n") > CROWDED) & (F.col("_lo") < F.col("_hi"))).drop("_n")
+    place = F.floor((F.col(value) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * CROWDED)
+    return cut.join(crowds, at, "left").withColumn("_step", F.coalesce(place, F.lit(0))).drop("_lo", "_hi")
+
+
 def running_totals(df: DataFrame, keys: Sequence[str], value: str, counts: Sequence[str]) -> DataFrame:
     """Add `<count>_below` (sum over smaller values) and `<count>_total` for each count column.
 
     `df` must hold one row per (keys, value); values must be non-NULL doubles.
     """
     keys = list(keys)
-    # coalesce makes the bucket non-nullable: otherwise the join adds a null filter on one side only and
-    # the two reads of the counts no longer share one exchange.
-    cut = df.withColumn("_bucket", F.coalesce(magnitude_bucket(F.col(value)), F.lit(0)))
-    totals = cut.groupBy(*keys, "_bucket").agg(*[F.sum(c).alias(c) for c in counts])
+    cells = [*keys, "_bucket", "_step"]
+    cut = ordered_buckets(df, keys, value)
+    totals = cut.groupBy(*cells).agg(*[F.sum(c).alias(c) for c in counts])
     # Windows over bucket totals: bounded by the number of buckets, not by rows.
-    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*keys).orderBy("_bucket", "_step").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*keys)
     offsets = totals.select(
-        *keys,
-        "_bucket",
+        *cells,
         *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_{c}_offset") for c in counts],
         *[F.sum(c).over(whole).alias(f"{c}_total") for c in counts],
     )
-    inside = Window.partitionBy(*keys, "_bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    out = cut.join(offsets, keys + ["_bucket"])
+    inside = Window.partitionBy(*cells).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    out = cut.join(offsets, cells)
     return out.select(
         *df.columns,
         *[(F.col(f"_{c}_offset") + F.coalesce(F.sum(c).over(inside), F.lit(0))).alias(f"{c}_below") for c in counts],
@@ -107,12 +124,12 @@ def quantiles_of_counts(counts: DataFrame, keys: Sequence[str], value: str, prob
 def hash_ordinals(df: DataFrame, keys: Sequence[str], id_col: str, seed: int, name: str) -> DataFrame:
     """Add a 0-based position of each row inside its group, in md5(seed:id) order.
 
-    The order is reproducible in any engine and uniform, so its first three hex digits cut each group
-    into 4,096 even buckets; `id_col` must be unique inside a group.
+    The order is reproducible in any engine and uniform, so its first four hex digits cut each group
+    into 65,536 even buckets; `id_col` must be unique inside a group.
     """
     keys = list(keys)
     hashed = df.withColumn("_h", F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string"))))
-    hashed = hashed.withColumn("_b", F.substring("_h", 1, 3))
+    hashed = hashed.withColumn("_b", F.substring("_h", 1, 4))
     before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         hashed.groupBy(*keys, "_b")

@@ -4,6 +4,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
+from cohortloom.operators import ranking
 from cohortloom.operators.ranking import average_ranks, exact_quantiles, hash_ordinals, magnitude_bucket
 
 
@@ -40,3 +41,12 @@ def test_hash_ordinals_are_the_global_order(spark):
     got = {r.id: r.pos for r in hash_ordinals(df, ["k"], "id", 7, "pos").collect()}
     order = sorted(range(500), key=lambda i: hashlib.md5(f"7:{i}".encode()).hexdigest())
     assert got == {i: p for p, i in enumerate(order)}
+
+
+def test_a_large_common_offset_is_cut_again(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "CROWDED", 50)
+    rows = spark.range(4000).select(F.lit("g").alias("k"), (1.7e9 + F.col("id") * 7 % 4001).cast("double").alias("v"), F.lit(1).cast("long").alias("n"))
+    cells = ranking.ordered_buckets(rows, ["k"], "v").groupBy("_bucket", "_step").count().agg(F.max("count"), F.count("*")).first()
+    assert cells[0] <= 2 * 4001 / 50 and cells[1] >= 50
+    found = [(r["v"], r["n_below"]) for r in ranking.running_totals(rows, ["k"], "v", ["n"]).collect()]
+    assert [b for _, b in sorted(found)] == list(range(4000))
