@@ -189,6 +189,16 @@ def issue_counts(issues: DataFrame) -> DataFrame:
     return issues.groupBy("code").count().withColumnRenamed("count", "n").orderBy(F.desc("n"), "code")
 
 
+def issues_per_entity(issues: DataFrame) -> DataFrame:
+    """Issues per year, entity and code with the first and the last of their paths.
+
+    The paths themselves stay rows of the log: an entity may have any number of them.
+    """
+    return issues.groupBy("year", "entity_id", "code").agg(
+        F.count("*").alias("n"), F.min("path").alias("first_path"), F.max("path").alias("last_path")
+    )
+
+
 def first_in_sorted(images: DataFrame, entity: str = "entity_id", path: str = "path") -> DataFrame:
     """First path of each entity and whether there were several (no window: min and count combine)."""
     return images.groupBy(entity).agg(F.min(path).alias(path), (F.count("*") > 1).alias("several"))

@@ -190,24 +190,43 @@ def front_view_gate(spark, folder):
     )
 
 
-@query(
-    "issue_log",
+_LOGGED_SQL = (
     f"WITH {_IMAGES_SQL},{_GATE}, first AS (SELECT entity_id, min(path) AS path, count(*) > 1 AS several FROM images"
     " WHERE sequence = 1 GROUP BY entity_id), logged AS ("
-    " SELECT 'missing_sequence_1_image' AS code FROM (SELECT entity_id FROM images GROUP BY 1 HAVING NOT bool_or(sequence = 1))"
-    " UNION ALL SELECT 'multiple_sequence_1_images' FROM first WHERE several"
-    " UNION ALL SELECT 'missing_temperature_csv' FROM first f JOIN images i USING (entity_id, path) WHERE i.stem NOT IN (SELECT stem FROM measures)"
-    " UNION ALL SELECT CASE WHEN fr THEN 'missing_front_sequence_1' ELSE 'missing_front_image' END FROM gate WHERE NOT fi"
-    " UNION ALL SELECT 'missing_temperature_csv' FROM images i JOIN gate g USING (entity_id) WHERE i.view = '正' AND g.fi"
+    " SELECT 'missing_sequence_1_image' AS code, '2024' AS year, entity_id, '' AS path FROM (SELECT entity_id FROM images GROUP BY 1 HAVING NOT bool_or(sequence = 1))"
+    " UNION ALL SELECT 'multiple_sequence_1_images', '2024', entity_id, path FROM first WHERE several"
+    " UNION ALL SELECT 'missing_temperature_csv', '2024', entity_id, path FROM first f JOIN images i USING (entity_id, path) WHERE i.stem NOT IN (SELECT stem FROM measures)"
+    " UNION ALL SELECT CASE WHEN fr THEN 'missing_front_sequence_1' ELSE 'missing_front_image' END, '2025', entity_id, '' FROM gate WHERE NOT fi"
+    " UNION ALL SELECT 'missing_temperature_csv', '2025', i.entity_id, i.path FROM images i JOIN gate g USING (entity_id) WHERE i.view = '正' AND g.fi"
     " AND i.stem NOT IN (SELECT stem FROM measures)"
-    " UNION ALL SELECT 'orphan_temperature_csv' FROM measures WHERE stem NOT IN (SELECT stem FROM images))"
-    " SELECT code, count(*) AS n FROM logged GROUP BY code",
+    " UNION ALL SELECT 'orphan_temperature_csv', '2025', '', path FROM measures WHERE stem NOT IN (SELECT stem FROM images))"
 )
-def issue_log(spark, folder):
+
+
+def _issues(spark, folder):
     images, measures = _images(spark, folder), _measures(spark, folder)
     _, flat = R.source_samples_flat(images, measures, "2024")
     _, views = R.source_samples_views(images, measures, "2025", "正")
-    return R.issue_counts(flat.unionByName(views))
+    return flat.unionByName(views)
+
+
+@query("issue_log", f"{_LOGGED_SQL} SELECT code, year, entity_id, path FROM logged")
+def issue_log(spark, folder):
+    """Every issue with its year, entity and path; a row each, nothing is counted away."""
+    return _issues(spark, folder).select("code", "year", "entity_id", "path")
+
+
+@query("issue_counts", f"{_LOGGED_SQL} SELECT code, count(*) AS n FROM logged GROUP BY code")
+def issue_counts(spark, folder):
+    return R.issue_counts(_issues(spark, folder))
+
+
+@query(
+    "issues_per_entity",
+    f"{_LOGGED_SQL} SELECT year, entity_id, code, count(*) AS n, min(path) AS first_path, max(path) AS last_path FROM logged GROUP BY ALL",
+)
+def issues_per_entity(spark, folder):
+    return R.issues_per_entity(_issues(spark, folder))
 
 
 # ---- roll-ups -----------------------------------------------------------------------------------
@@ -245,6 +264,16 @@ def quality_distributions(spark, folder):
     return R.quality_distributions(included, R.excluded_rows(resolved), R.entity_summary(included, _YEARS), _YEARS)
 
 
+@query(
+    "excluded_rollup",
+    with_(*RESOLVED) + "SELECT raw_id, count(*) AS n, string_agg(DISTINCT CAST(year AS VARCHAR), ',' ORDER BY CAST(year AS VARCHAR)) AS years,"
+    " 'no_patient_info_match' AS reasons, max(CASE WHEN candidate_name <> '' THEN candidate_name END) AS candidate_name FROM resolved"
+    " WHERE entity_id IS NULL GROUP BY raw_id",
+)
+def excluded_rollup(spark, folder):
+    return R.excluded_rollup(R.excluded_rows(_resolved(spark, folder)))
+
+
 _PREFERRED_A = {"balance": "case c_nationkey % 5 when 0 then '' when 1 then 'missing' else cast(c_acctbal as string) end"}
 
 
@@ -530,6 +559,16 @@ def balance_weight(spark, folder):
     return W.balance_weight(V.samples(spark, folder)).select("sample_id", "entity_id", "weight")
 
 
+@query(
+    "pair_weights",
+    with_("samples") + "SELECT entity_id, a * b AS n_pairs, 1.0 / (a * b) AS pair_weight FROM (SELECT entity_id, count(*) FILTER (WHERE year = 1999) AS a,"
+    " count(*) FILTER (WHERE year = 2000) AS b FROM samples GROUP BY 1) WHERE a * b > 0",
+    rounded="pair_weight",
+)
+def pair_weights(spark, folder):
+    return P.pair_counts(V.samples(spark, folder), *_YEARS).select("entity_id", "n_pairs", "pair_weight")
+
+
 @query(
     "sample_counts",
     with_("outcomes") + "SELECT entity_id, label, severity, sample_count FROM outcomes LEFT JOIN (SELECT o_custkey AS entity_id,"

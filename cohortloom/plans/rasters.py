@@ -296,14 +296,15 @@ def bilateral_assign(spark, folder):
     return R.bilateral_assign(_detections(spark, folder), _det_boxes(spark, folder))
 
 
-@query(
-    "missing_regions",
+_MISSING_SQL = (
     f"WITH {_DET_SQL}, found AS (SELECT sample_id, 'left_eye' AS region FROM det WHERE class = 'Eye' AND confidence > 200 UNION SELECT sample_id, 'nose' FROM det"
     " WHERE class = 'Nose' AND confidence > 200), st AS (SELECT sample_id, CASE WHEN sample_id % 10 = 3 THEN 'no_face' ELSE 'ok' END AS status FROM face)"
     " SELECT sample_id, status, CASE WHEN status = 'ok' THEN concat_ws(',', CASE WHEN sample_id NOT IN (SELECT sample_id FROM found WHERE region = 'left_eye')"
-    " THEN 'left_eye' END, CASE WHEN sample_id NOT IN (SELECT sample_id FROM found WHERE region = 'nose') THEN 'nose' END) ELSE '' END AS missing_regions FROM st",
+    " THEN 'left_eye' END, CASE WHEN sample_id NOT IN (SELECT sample_id FROM found WHERE region = 'nose') THEN 'nose' END) ELSE '' END AS missing_regions FROM st"
 )
-def missing_regions(spark, folder):
+
+
+def _missing(spark, folder):
     det = _detections(spark, folder)
     strong = F.col("confidence") > 200
     found = det.where((F.col("class") == "Eye") & strong).select("sample_id", F.lit("left_eye").alias("region")).unionByName(
@@ -313,3 +314,17 @@ def missing_regions(spark, folder):
         "sample_id", F.when(F.col("sample_id") % 10 == 3, "no_face").otherwise("ok").alias("status")
     )
     return R.missing_regions(states, found, ["left_eye", "nose"])
+
+
+@query("missing_regions", _MISSING_SQL)
+def missing_regions(spark, folder):
+    return _missing(spark, folder)
+
+
+@query(
+    "status_counts",
+    f"SELECT count(*) AS total, count(*) FILTER (WHERE status = 'ok' AND missing_regions = '') AS ok_complete,"
+    f" count(*) FILTER (WHERE status = 'ok' AND missing_regions <> '') AS ok_missing, count(*) FILTER (WHERE status <> 'ok') AS errors FROM ({_MISSING_SQL})",
+)
+def status_counts(spark, folder):
+    return R.status_counts(_missing(spark, folder))
