@@ -19,7 +19,7 @@ from cohortloom.operators.evaluate import (
     threshold_grid,
     threshold_observed,
 )
-from cohortloom.operators.models import Fitted, ModelConfig, fit_model, params_text, predict_prob
+from cohortloom.operators.models import Fitted, MAX_ITERATIONS, ModelConfig, fit_model, params_text, predict_prob, whole_fit
 from cohortloom.operators.split import stratified_group_folds
 from cohortloom.operators.weights import class_weights
 from cohortloom.session import materialise
@@ -152,8 +152,8 @@ def fit_stack(val: DataFrame, probs: Sequence[str], kind: str = "logistic", labe
     rows = rows.withColumn("weight", F.when(F.col(label) == 1, cw.weight_pos).otherwise(cw.weight_neg))
     # Balanced weights add up to the row count, so C = 1 is a penalty of 1 / rows.
     n = max(cw.n_neg + cw.n_pos, 1)
-    lr = LogisticRegression(maxIter=200, regParam=1.0 / n, standardization=False, labelCol=label, weightCol="weight")
-    return Pipeline(stages=[assembler, lr]).fit(rows)
+    lr = LogisticRegression(maxIter=MAX_ITERATIONS, regParam=1.0 / n, standardization=False, labelCol=label, weightCol="weight")
+    return whole_fit(Pipeline(stages=[assembler, lr]).fit(rows))
 
 
 def stack_metrics(df: DataFrame, probs: Sequence[str], kind: str) -> DataFrame:

@@ -11,7 +11,9 @@ from pyspark.ml.classification import (
     DecisionTreeClassifier,
     GBTClassifier,
     LogisticRegression,
+    LogisticRegressionModel,
     NaiveBayes,
+    RandomForestClassificationModel,
     RandomForestClassifier,
 )
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
@@ -26,7 +28,10 @@ from pyspark.sql import functions as F
 from cohortloom.operators.split import percentile_choice, train_medians, train_moments
 from cohortloom.operators.weights import balanced_label_weights, severity_weights
 
+#: Deepest tree that the engine grows; `None` in a grid means this, and a tree that gets there is an error.
 _TREE_DEPTH_LIMIT = 30
+#: Bound of the logistic iterations; a fit that needs all of them is an error.
+MAX_ITERATIONS = 6000
 
 
 class TablePreparer(Estimator):
@@ -141,7 +146,7 @@ def _classifier(kind: str, label: str, weight: str | None, seed: int):
     if weight:
         common["weightCol"] = weight
     if kind == "logistic":
-        return LogisticRegression(maxIter=200, standardization=False, elasticNetParam=0.0, **common)
+        return LogisticRegression(maxIter=MAX_ITERATIONS, standardization=False, elasticNetParam=0.0, **common)
     if kind == "forest":
         return RandomForestClassifier(numTrees=100, maxDepth=10, seed=seed, **common)
     if kind == "boosting":
@@ -192,6 +197,17 @@ def with_training_weight(
     return train.withColumn("weight", F.lit(1.0))
 
 
+def whole_fit(model: PipelineModel) -> PipelineModel:
+    """The fitted pipeline, once its classifier is known to have stopped by itself and not at a limit."""
+    last = model.stages[-1]
+    if isinstance(last, LogisticRegressionModel) and last.hasSummary and last.summary.totalIterations >= MAX_ITERATIONS:
+        raise ArithmeticError(f"no convergence in {MAX_ITERATIONS} iterations")
+    if isinstance(last, RandomForestClassificationModel) and last.getMaxDepth() == _TREE_DEPTH_LIMIT:
+        if max(t.depth for t in last.trees) == _TREE_DEPTH_LIMIT:
+            raise ArithmeticError(f"a tree without a depth limit reached the engine's limit of {_TREE_DEPTH_LIMIT}")
+    return model
+
+
 def fit_model(
     config: ModelConfig,
     train: DataFrame,
@@ -223,7 +239,7 @@ def fit_model(
             spark_name, v = _param_value(name, value, weight_sum)
             clf.set(clf.getParam(spark_name), v)
         if not search or not config.grid:
-            return Fitted(pipe.fit(rows), {}, None)
+            return Fitted(whole_fit(pipe.fit(rows)), {}, None)
         share = (folds - 1) / folds
         builder = ParamGridBuilder()
         for name, values in config.grid.items():
@@ -241,7 +257,7 @@ def fit_model(
         fitted = cv.fit(rows)
         best = max(range(len(fitted.avgMetrics)), key=lambda i: fitted.avgMetrics[i])
         chosen = {p.name: str(v) for p, v in builder.build()[best].items()}
-        return Fitted(fitted.bestModel, chosen, float(fitted.avgMetrics[best]))
+        return Fitted(whole_fit(fitted.bestModel), chosen, float(fitted.avgMetrics[best]))
     finally:
         rows.unpersist()
 

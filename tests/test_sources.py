@@ -78,3 +78,6 @@ def test_append_new_is_idempotent(spark, tmp_path):
     assert tuple(T.append_new(rows, path, "id").first()) == (6, 4)
     assert tuple(T.append_new(rows, path, "id").first()) == (0, 10)
     assert spark.read.parquet(path).count() == 10
+    twice = str(tmp_path / "twice")
+    assert tuple(T.append_new(rows.unionByName(rows), twice, "id").first()) == (10, 10)
+    assert spark.read.parquet(twice).count() == 10
