@@ -126,10 +126,14 @@ def contract(edges: DataFrame, label: str = "components") -> DataFrame:
 
 
 def _balls(fps: DataFrame, radius: int) -> DataFrame:
-    """Edges between fingerprints that share a point at half the radius (rounded up) around both, checked."""
-    flips = [_signed(sum(1 << i for i in c)) for r in range((radius + 1) // 2 + 1) for c in itertools.combinations(range(BITS), r)]
-    around = fps.select("fp", F.explode(F.lit(flips)).alias("flip"))
-    points = around.select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("point"))
+    """Edges between fingerprints that share a point within half the radius of both."""
+    # No flip, or one of the bits; later flips never go back, so a set of bits is made once.
+    bits = F.lit([0, *[_signed(1 << k) for k in range(BITS)]])
+    points = fps.select("fp", F.col("fp").alias("point"), F.lit(1).alias("at"))
+    for _ in range(radius // 2):
+        points = points.select("fp", "point", "at", F.posexplode(F.slice(bits, F.col("at"), F.lit(BITS + 1))).alias("more", "bit"))
+        points = points.select("fp", F.col("point").bitwiseXOR(F.col("bit")).alias("point"), (F.col("at") + F.col("more")).alias("at"))
+    points = points.select("fp", "point")
     shared = points.groupBy("point").agg(F.min("fp").alias("first"), F.max("fp").alias("last")).where("first < last")
     return points.join(shared, "point").select(F.col("fp").alias("a"), F.col("first").alias("b")).where("a <> b").distinct()
 
