@@ -117,7 +117,9 @@ def src_mixed_exclusions(spark, folder):
     plain = F.concat(F.lit('{"excluded_samples": ["'), key, F.lit('", ""]}'))
     nested = F.concat(F.lit('{"excluded_samples": [{"sample_id": "'), key, F.lit('", "reason": "x"}, {"reason": "none"}]}'))
     docs = table(spark, folder, "events").select(F.when(F.col("event_id") % 2 == 0, plain).otherwise(nested).alias("value"))
-    return T.exclusion_ids(docs)
+    path = scratch_path(spark, "exclusions")
+    docs.write.text(path)
+    return T.read_exclusions(spark, path, multi_line=False)
 
 
 def _raster_documents(spark, folder, ragged: bool = False):
@@ -183,14 +185,16 @@ def src_file_listing(spark, folder):
 
 @query("src_split_config", with_("splits") + "SELECT CAST(entity_id AS VARCHAR) AS entity_id, split FROM splits")
 def src_split_config(spark, folder):
-    """Split documents of four id arrays to rows, through the split table and back."""
+    """JSON split documents of four id arrays, read to rows, through the split table and back."""
     rows = V.splits(spark, folder)
     arrays = [
         F.when(F.col("split") == s, F.array(F.col("entity_id").cast("string"))).otherwise(F.array().cast("array<string>")).alias(f"{s}_patient_ids")
         for s in ("train", "val", "test", "unlabelled")
     ]
     path = scratch_path(spark, "split")
-    T.write_split(T.split_rows(rows.select(*arrays)), path)
+    documents = scratch_path(spark, "split-documents")
+    rows.select(*arrays).write.json(documents)
+    T.write_split(T.read_split(spark, documents, multi_line=False), path)
     return spark.read.schema("entity_id string, split string").parquet(path).select("entity_id", "split")
 
 

@@ -89,11 +89,11 @@ def exclusion_ids(documents: DataFrame, column: str = "value") -> DataFrame:
     )
 
 
-def read_exclusions(spark: SparkSession, path: str) -> DataFrame:
-    """Exclusion file to ids; a missing file is an empty set."""
+def read_exclusions(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Exclusion files to ids, one document a file or a line; a missing file is an empty set."""
     if not path_exists(spark, path):
         return spark.createDataFrame([], "sample_id string")
-    return exclusion_ids(spark.read.text(path, wholetext=True))
+    return exclusion_ids(spark.read.text(path, wholetext=multi_line))
 
 
 def split_rows(documents: DataFrame) -> DataFrame:
@@ -107,9 +107,10 @@ def split_rows(documents: DataFrame) -> DataFrame:
     return documents.select(F.explode(rows).alias("r")).select("r.*")
 
 
-def read_split(spark: SparkSession, path: str) -> DataFrame:
+def read_split(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Split documents (one a file or a line) to (entity_id, split) rows."""
     schema = ", ".join(f"{n}_patient_ids array<string>" for n in ("train", "val", "test", "unlabelled"))
-    return split_rows(spark.read.schema(schema).json(path, multiLine=True))
+    return split_rows(spark.read.schema(schema).json(path, multiLine=multi_line))
 
 
 def write_split(splits: DataFrame, path: str) -> None:
