@@ -125,7 +125,7 @@ def oracle_sql() -> dict[str, str]:
     """SQL of the operators that DuckDB can express."""
     import corpus_pipeline
 
-    found = {"op2_licences": licences.oracle(), "op3_ledger": OP3_SQL, "op9_mixture": mixture.oracle()}
+    found = {"op2_licences": licences.oracle(), "op3_ledger": OP3_SQL, "op7_warc": warc.oracle(), "op9_mixture": mixture.oracle()}
     if corpus_pipeline.ORACLE_SQL:
         found["pipeline"] = corpus_pipeline.ORACLE_SQL
     return found

@@ -220,3 +220,12 @@ def round_trip(pages: DataFrame, key: str = "page_id", url: str = "url", payload
     """Write the pages to new archives of the shared folder and read them back."""
     folder = scratch_path(pages.sparkSession, "warc")
     return read_archives(write_archives(pages, folder, key, url, payload, least), folder, key)
+
+
+def oracle(least: int = LEAST) -> str:
+    """What `round_trip` of `pages` reads back, in DuckDB SQL."""
+    return f"""
+    WITH p AS (SELECT page_id, sha1(coalesce(html, '')) AS digest, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS bytes FROM pages),
+    m AS (SELECT *, CASE WHEN bytes >= {least} THEN max(page_id) OVER (PARTITION BY digest) END AS top FROM p)
+    SELECT page_id, bytes AS payload_bytes, digest AS payload_digest, CASE WHEN page_id <> top THEN 'revisit' ELSE 'response' END AS record_type,
+      CASE WHEN page_id <> top THEN top END AS refers_to FROM m"""
