@@ -55,7 +55,7 @@ def test_stages_against_plain_python(spark, docs_of):
 
 
 @pytest.mark.skipif(not os.path.isdir(SMALL), reason="no test tables")
-@pytest.mark.parametrize("name", ["op2_licences", "op3_ledger", "op9_mixture"])
+@pytest.mark.parametrize("name", ["op2_licences", "op3_ledger", "op7_warc", "op9_mixture"])
 def test_against_the_oracle(spark, name):
     import check
 
