@@ -57,5 +57,5 @@ def test_ablation_counts_from_masks(spark, docs_of):
 def test_clashing_columns_and_empty_tables(spark):
     docs = spark.createDataFrame([(1, "a b", 99, 5)], "doc_id bigint, text string, n_words int, failures string")
     row = L.build_ledger(docs).collect()[0]
-    assert row["n_words"] == 2 and row["failures"] == 1
+    assert row["n_words"] == 2 and row["failures"] == 1 + 64  # few and short words
     assert L.build_ledger(docs.limit(0)).count() == 0
