@@ -1,8 +1,8 @@
 """I-Match fingerprints over randomised lexicon subsets, in DataFrame functions only.
 
 Terms are the distinct lower-case runs of letters and digits of a text, known by their 64-bit hash. The
-lexicon keeps terms whose inverse document frequency, log(documents / documents with the term), lies in a
-band. It is divided by hash into SUBSETS random subsets, and each of those is thinned by powers of two;
+lexicon keeps terms whose inverse document frequency, log(texts / texts with the term) over distinct texts,
+lies in a band. It is divided by hash into SUBSETS random subsets, and each of those is thinned by powers of two;
 a text reads two neighbouring thinnings, chosen by its number of distinct terms so that a subset holds
 about one or two of its terms. Each subset's terms are sorted and hashed. The fingerprint is
 
@@ -35,7 +35,7 @@ _PLACE_BITS = 4
 
 @dataclass(frozen=True)
 class Band:
-    """Kept terms: at least `rare` documents hold them, and at most the share `common` of all."""
+    """Kept terms: at least `rare` distinct texts hold them, and at most the share `common` of all."""
 
     rare: int = 2
     common: float = 0.1
@@ -62,8 +62,14 @@ def _kept(term: Column, at: Column) -> Column:
 
 
 def document_frequencies(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(term, df) over all rows."""
-    return docs.select(F.explode(terms(F.col(text))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    """(term, df) over distinct texts, so copies of a text do not make its terms common."""
+    once = docs.select(F.coalesce(F.col(text), F.lit("")).alias(text)).distinct()
+    return once.select(F.explode(terms(F.col(text))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+
+
+def distinct_texts(docs: DataFrame, text: str = "text") -> int:
+    """Number of distinct texts, by their 64-bit hash."""
+    return docs.select(F.xxhash64(F.coalesce(F.col(text), F.lit("")))).distinct().count()
 
 
 def lexicon(frequencies: DataFrame, documents: int, band: Band) -> DataFrame:
@@ -161,8 +167,7 @@ def text_hash(text: Column) -> Column:
 
 def imatch(docs: DataFrame, key: str = "doc_id", text: str = "text", band: Band = Band()) -> DataFrame:
     """(key, print, fingerprint) of every row; `key` must be unique and not NULL."""
-    n = docs.count()
-    known = lexicon(document_frequencies(docs, text), n, band)
+    known = lexicon(document_frequencies(docs, text), distinct_texts(docs, text), band)
     rows = docs.select(
         key, candidate_terms(F.col(text)).alias("c"), text_hash(F.col(text)).alias("whole")
     ).select(key, "c.at", F.col("c.terms").alias("kept"), "whole")
@@ -227,7 +232,7 @@ def edited_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 
 def edit_likeness(docs: DataFrame, key: str = "doc_id", text: str = "text", band: Band = Band()) -> DataFrame:
     """Fingerprint of every row's text and edited text, and their likeness to each other and to the next row's."""
-    known = lexicon(document_frequencies(docs, text), docs.count(), band)
+    known = lexicon(document_frequencies(docs, text), distinct_texts(docs, text), band)
     texts = edited_texts(docs, key, text)
     cands = texts.select(
         key, "place", "next_place", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),

@@ -112,3 +112,12 @@ def test_empty_and_single_tables(docs_of):
     assert I.edit_likeness(docs.limit(0)).count() == 0
     row = I.edit_likeness(docs).collect()[0]
     assert row["near_next"] == 1.0 and row["edited_sha256"] == hashlib.sha256(b"alone hal").hexdigest() or row["n_chars"] == 10
+
+
+def test_a_large_group_of_copies_keeps_its_terms(docs_of):
+    hot = [f"h{k}x" for k in range(200)]
+    others = [" ".join(hot[5 * k : 5 * k + 5] + [f"o{k}y{j}" for j in range(40)]) for k in range(40)]
+    rows = [(k, " ".join(hot)) for k in range(20)] + [(100 + k, t) for k, t in enumerate(others)]
+    got = {r["doc_id"]: r for r in I.edit_likeness(docs_of(rows)).collect()}
+    assert not any(got[k]["fingerprint"].startswith("text:") for k in range(20))
+    assert got[19]["near_edited"] > 0
