@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortloom.llm import addressable, covering, crf, dealing, imatch, ledger, licences, mixture, packing, warc
+from cohortloom.llm import addressable, covering, crf, dealing, imatch, ledger, licences, mixture, packing, vafile, warc, whitening
 from cohortloom.session import materialise, ship_package
 
 SHARDS = 24
@@ -84,6 +84,16 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(_table(spark, folder, "documents"))
 
 
+def op11_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    """Whitened leading components of every embedding."""
+    return whitening.whiten(_table(spark, folder, "embeddings"))
+
+
+def op12_vafile(spark: SparkSession, folder: str) -> DataFrame:
+    """Clusters of every embedding."""
+    return vafile.cluster(_table(spark, folder, "embeddings"))
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     """Quality rules, near copies, personal data, mixture and packing of the documents."""
     import corpus_pipeline
@@ -112,7 +122,8 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fai
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op1_imatch, op2_licences, op3_ledger, op4_covering, op5_crf, op6_addressable, op7_warc, op8_dealing, op9_mixture, op10_packing, pipeline,
+        op1_imatch, op2_licences, op3_ledger, op4_covering, op5_crf, op6_addressable, op7_warc, op8_dealing, op9_mixture, op10_packing,
+        op11_whitening, op12_vafile, pipeline,
     )
 }
 
@@ -125,7 +136,7 @@ def oracle_sql() -> dict[str, str]:
     """SQL of the operators that DuckDB can express."""
     import corpus_pipeline
 
-    found = {"op2_licences": licences.oracle(), "op3_ledger": OP3_SQL, "op7_warc": warc.oracle(), "op9_mixture": mixture.oracle()}
+    found = {"op2_licences": licences.oracle(), "op3_ledger": OP3_SQL, "op7_warc": warc.oracle(), "op9_mixture": mixture.oracle(), "op12_vafile": vafile.oracle()}
     if corpus_pipeline.ORACLE_SQL:
         found["pipeline"] = corpus_pipeline.ORACLE_SQL
     return found
