@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortloom.llm import addressable, covering, crf, dealing, imatch, ledger, licences, mixture, packing, vafile, warc, whitening
+from cohortloom.llm import addressable, covering, crf, dealing, imatch, ledger, licences, mixture, packing, repeats, vafile, warc, whitening
 from cohortloom.session import materialise, ship_package
 
 SHARDS = 24
@@ -94,6 +94,11 @@ def op12_vafile(spark: SparkSession, folder: str) -> DataFrame:
     return vafile.cluster(_table(spark, folder, "embeddings"))
 
 
+def op13_interval_tree(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document without its bytes that repeat elsewhere."""
+    return repeats.Repeats(_table(spark, folder, "documents")).removed()
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     """Quality rules, near copies, personal data, mixture and packing of the documents."""
     import corpus_pipeline
@@ -123,7 +128,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_imatch, op2_licences, op3_ledger, op4_covering, op5_crf, op6_addressable, op7_warc, op8_dealing, op9_mixture, op10_packing,
-        op11_whitening, op12_vafile, pipeline,
+        op11_whitening, op12_vafile, op13_interval_tree, pipeline,
     )
 }
 

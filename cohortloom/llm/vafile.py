@@ -262,10 +262,10 @@ def cluster(
         counts, sums = counts + more, sums + moved
         centroids = np.where(counts[:, None] > 0, sums // np.maximum(counts, 1)[:, None], centroids)
     found = materialise(files.assigned(centroids, key), "clusters")
-    inertia = found.groupBy("cluster").agg(F.sum("distance").alias("cluster_inertia"))
-    texts = [(k, hashlib.sha256(",".join(map(str, c)).encode()).hexdigest()) for k, c in enumerate(centroids.tolist())]
-    per = inertia.join(F.broadcast(spark.createDataFrame(texts, "cluster int, centroid_sha256 string")), "cluster")
-    per = per.crossJoin(F.broadcast(found.agg(F.sum("distance").alias("inertia"))))  # one row
+    inertia = {r["cluster"]: r["inertia"] for r in found.groupBy("cluster").agg(F.sum("distance").alias("inertia")).collect()}  # one row per centroid
+    texts = [",".join(map(str, c)) for c in centroids.tolist()]
+    rows = [(k, d, sum(inertia.values()), hashlib.sha256(texts[k].encode()).hexdigest()) for k, d in inertia.items()]
+    per = spark.createDataFrame(rows, "cluster int, cluster_inertia bigint, inertia bigint, centroid_sha256 string")
     return found.join(F.broadcast(per), "cluster").select(key, "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
 
 
