@@ -232,7 +232,7 @@ def _crowded(pieces: DataFrame, length: int) -> DataFrame:
     runs = runs.withColumn("shared", F.xxhash64(F.expr(f"substring(data, from + 1, {length + 1 - RUN})"), "gram", "run"))
     runs = materialise(runs.selectExpr("gram", "body", "n", "start", "starts", "shared", f"substring(data, start + 1, {length - 1} + starts) AS data"), "runs")
     twice = runs.groupBy("shared").agg(F.sum("n").alias("_n")).where("_n > 1").select("shared")
-    kept = runs.join(twice, "shared", "left_semi")
+    kept = runs.join(materialise(twice, "twice"), "shared", "left_semi")
     place = F.explode(F.sequence(F.lit(0), F.col("starts") - 1))
     single = kept.select("gram", "body", "n", "start", "data", place.alias("_k"))
     string = F.expr(f"substring(data, _k + 1, {length})")
@@ -241,7 +241,7 @@ def _crowded(pieces: DataFrame, length: int) -> DataFrame:
     )
     single = materialise(single, "strings")
     totals = single.groupBy("h1", "h2").agg(F.sum("n").alias("occurrences")).where("occurrences > 1")
-    return single.join(totals, ["h1", "h2"]).select(
+    return single.join(materialise(totals, "totals"), ["h1", "h2"]).select(
         "gram", "body", F.col("start").cast("int").alias("start"), F.lit(length).alias("size"), F.col("h1").alias("group"), F.lit(-1).cast("long").alias("parent"), "occurrences"
     )
 
@@ -253,10 +253,12 @@ class Repeats:
         self.docs = docs.select(F.col(key).cast("long").alias("doc"), F.hash(text).alias("mark"), F.col(text).alias("text"))
         self.key, self.length = key, length
         counts = stretches(self.docs, length, gram, bodies=False).groupBy("gram").count().where("count > 1").select("gram")
+        # Counts are written before they are joined: a join straight on an aggregate cannot split a hot key.
+        counts = materialise(counts, "grams")
         self.places = materialise(stretches(self.docs, length, gram, bodies=True).join(counts, "gram", "left_semi"), "places")
         classes = self.places.groupBy("gram", "body").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "mark", "at", "more", "back")).alias("first"))
         classes = materialise(classes, "classes")
-        kinds = classes.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds"))
+        kinds = materialise(classes.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds")), "kinds")
         classes = classes.join(kinds, "gram")
         alone = classes.where("kinds = 1 AND n > 1").select(
             "gram", "body", F.lit(0).alias("start"), (F.col("first.more") + length).alias("size"), F.lit(0).cast("long").alias("group"), F.lit(-1).cast("long").alias("parent"),
@@ -281,7 +283,7 @@ class Repeats:
 
     def removed(self) -> DataFrame:
         """(key, n_bytes, n_removed, n_spans, kept_sha256) of every document without its repeated bytes."""
-        spans = self.found.groupBy("gram", "body").agg(F.collect_set(F.struct("start", "size")).alias("spans"))
+        spans = materialise(self.found.groupBy("gram", "body").agg(F.collect_set(F.struct("start", "size")).alias("spans")), "spans")
         moved = F.transform("spans", lambda s: F.struct((F.col("at") + s["start"]).alias("start"), s["size"].alias("size")))
         per = self.places.join(spans, ["gram", "body"]).select("doc", "mark", moved.alias("spans"))
         per = per.groupBy("doc", "mark").agg(F.flatten(F.collect_list("spans")).alias("spans"))
