@@ -278,7 +278,7 @@ _PREFERRED_A = {"balance": "case c_nationkey % 5 when 0 then '' when 1 then 'mis
 
 
 def _registry_rows(spark, folder):
-    a = table(spark, folder, "customer").where(F.col("c_mktsegment") != "BUILDING").select(
+    a = table(spark, folder, "customer").select(
         F.expr(V.CUSTOMER_KEY).alias("entity_id"), F.expr(_PREFERRED_A["balance"]).alias("balance"),
         F.col("c_mktsegment").alias("segment"),
     )
@@ -291,7 +291,7 @@ def _registry_rows(spark, folder):
 _MERGE_SQL = (
     ", a AS (SELECT "
     + V.CUSTOMER_KEY
-    + f" AS entity_id, {_PREFERRED_A['balance']} AS balance, c_mktsegment AS segment FROM customer WHERE c_mktsegment <> 'BUILDING'),"
+    + f" AS entity_id, {_PREFERRED_A['balance']} AS balance, c_mktsegment AS segment FROM customer),"
     " b AS (SELECT concat('C', lpad(CAST(user_id AS VARCHAR), 6, '0')) AS entity_id, CAST(max(value) AS VARCHAR) AS balance,"
     " min(event_type) AS kind FROM events GROUP BY 1), ents AS (SELECT DISTINCT entity_id FROM resolved WHERE entity_id IS NOT NULL),"
     " merged AS (SELECT e.entity_id, a.entity_id IS NOT NULL OR b.entity_id IS NOT NULL AS has_basic_data,"

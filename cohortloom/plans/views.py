@@ -52,7 +52,7 @@ CTE = {
     "splits": f"splits AS (SELECT c_custkey AS entity_id, {split_expr('c_custkey')} AS split FROM customer)",
     "raw": f"raw AS (SELECT o_orderkey AS sample_id, CAST(year(o_orderdate) AS INTEGER) AS year, {RAW_ID} AS raw_id,"
     f" {CANDIDATE} AS candidate_name FROM orders)",
-    "reg_a": f"reg_a AS (SELECT {CUSTOMER_KEY} AS entity_id FROM customer WHERE c_mktsegment <> 'BUILDING')",
+    "reg_a": f"reg_a AS (SELECT {CUSTOMER_KEY} AS entity_id FROM customer)",
     "reg_b": "reg_b AS (SELECT DISTINCT concat('C', lpad(CAST(user_id AS VARCHAR), 6, '0')) AS entity_id FROM events)",
     "known": "known AS (SELECT entity_id, bool_or(a) AS in_a, bool_or(b) AS in_b FROM (SELECT entity_id, true AS a,"
     " false AS b FROM reg_a UNION ALL SELECT entity_id, false, true FROM reg_b) GROUP BY entity_id)",
@@ -127,8 +127,7 @@ def raw_samples(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def registry_a(spark: SparkSession, folder: str) -> DataFrame:
-    rows = table(spark, folder, "customer").where(F.col("c_mktsegment") != "BUILDING")
-    return rows.select(F.expr(CUSTOMER_KEY).alias("entity_id"))
+    return table(spark, folder, "customer").select(F.expr(CUSTOMER_KEY).alias("entity_id"))
 
 
 def registry_b(spark: SparkSession, folder: str) -> DataFrame:
