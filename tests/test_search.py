@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from cohortloom.operators import blocks as B
+from cohortloom.operators import boosting as G
 from cohortloom.operators import linear as L
 
 
@@ -79,3 +80,65 @@ def test_no_rows_is_an_error(spark):
     df, _, _ = frame(spark)
     with pytest.raises(ValueError):
         L.path(B.Blocks(df.limit(0), NAMES, fold="fold"), [1.0])
+
+
+def grown(x, y, weight, setting):
+    """Raw scores of a boosted model by plain recursion: every split tried on every value, best leaf first."""
+    raw = np.full(len(y), np.log((weight * y).sum() / (weight * (1 - y)).sum()))
+    for _ in range(setting.stages):
+        prob = 1 / (1 + np.exp(-raw))
+        g, h = weight * (prob - y), weight * prob * (1 - prob)
+
+        def split(rows, depth):
+            if setting.depth is not None and depth >= setting.depth:
+                return None
+            best = None
+            score = lambda r: g[r].sum() ** 2 / h[r].sum()
+            for f in range(x.shape[1]):
+                there = rows & ~np.isnan(x[:, f])
+                for cut in np.unique(x[there, f]):
+                    for miss in (False, True):
+                        left = there & (x[:, f] <= cut) | (rows & np.isnan(x[:, f]) if miss else False)
+                        right = rows & ~left
+                        if min(left.sum(), right.sum()) < setting.min_rows or min(h[left].sum(), h[right].sum()) < setting.min_hessian:
+                            continue
+                        gain = score(left) + score(right) - score(rows)
+                        if gain > 1e-12 and (best is None or gain > best[0] + 1e-10):
+                            best = (gain, left, right)
+            return best
+
+        leaves = [(np.ones(len(y), bool), 0)]
+        found = [split(*leaves[0])]
+        while len(leaves) < setting.leaves and any(found):
+            k = max((i for i, s in enumerate(found) if s), key=lambda i: found[i][0])
+            _, left, right = found.pop(k)
+            depth = leaves.pop(k)[1] + 1
+            leaves += [(left, depth), (right, depth)]
+            found += [split(left, depth), split(right, depth)]
+        for rows, _ in leaves:
+            raw[rows] -= setting.rate * g[rows].sum() / h[rows].sum()
+    return 1 / (1 + np.exp(-raw))
+
+
+@pytest.mark.parametrize(("depth", "leaves", "stages"), [(None, 6, 1), (2, 31, 1), (None, 31, 3)])
+def test_boosting_against_plain_recursion(spark, monkeypatch, depth, leaves, stages):
+    monkeypatch.setattr(B, "BLOCK_ROWS", 64)
+    monkeypatch.setattr(G, "RECENT", 2)
+    df, x, label = frame(spark, 220)
+    blocks = B.Blocks(df, NAMES, fold="fold", weight="weight")
+    setting = G.Setting(0.3, depth, leaves, stages, min_rows=12)
+    models = G.fit(blocks, [setting], [B.WHOLE, 1])
+    weight, fold = 1.0 + np.arange(len(x)) % 3, np.arange(len(x)) % 4
+    for without in (B.WHOLE, 1):
+        rows = fold != without
+        want = grown(x[rows], label[rows], weight[rows], setting)
+        model = models[setting.text(), without]
+        assert model.probability(x[rows]) == pytest.approx(want, abs=1e-9) and len(model.trees) == stages
+        assert all(t.feature.count(-1) <= leaves for t in model.trees)
+
+
+def test_crowded_columns_share_bins(spark):
+    df = spark.range(5000).selectExpr("id AS entity_id", "CAST(id % 2 AS int) AS label", "CAST(id * id AS double) AS a", "CAST(id % 3 AS double) AS b")
+    cuts = G.cut_points(B.Blocks(df, ["a", "b"]), 255)
+    sizes = np.bincount(np.searchsorted(cuts[0], np.arange(5000.0) ** 2, side="left"))
+    assert len(cuts[0]) == 254 and sizes.max() <= 21 and sizes.min() >= 18 and cuts[1].tolist() == [0.5, 1.5]
