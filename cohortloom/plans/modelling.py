@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from cohortloom.operators import boosting as B
 from cohortloom.operators import compare as C
 from cohortloom.operators import models as M
+from cohortloom.operators import search as G
 from cohortloom.operators import split as S
 from cohortloom.operators.neighbours import knn_vote
 from cohortloom.operators.selection import nested_sets
@@ -210,15 +212,33 @@ def _fit_and_score(spark, folder, config, strategy="standard", search=False, fea
     return _scores(M.fit_model(config, _train(df), features, strategy, search=search, folds=FOLDS), df, features)
 
 
+def _search_and_score(spark, folder, family, strategy="standard"):
+    """Probabilities of val and test entities by the best setting of the family's grid over the folds."""
+    df, features = _model_table(spark, folder, family.name), _A + _B
+    blocks = G.train_blocks(_train(df), features, strategy)
+    _, model = G.fit_best(blocks, family, G.search(blocks, [family], strategy))
+    return G.score(df.where(F.col("split") != "train"), model, features).select("entity_id", "split", "label", "prob")
+
+
+_FAMILY = {f.name: f for f in G.FAMILIES}
+
+
 @query("logistic_l2", rounded="prob")
 def logistic_l2(spark, folder):
-    return _fit_and_score(spark, folder, M.ModelConfig("logistic", "logistic", select=False), "severity_weighted")
+    return _search_and_score(spark, folder, _FAMILY["LogisticRegression_L2"], "severity_weighted")
 
 
 @query("logistic_elasticnet", rounded="prob")
 def logistic_elasticnet(spark, folder):
-    config = M.ModelConfig("elasticnet", "logistic", defaults={"C": 1.0, "elasticNetParam": 0.5}, select=False)
-    return _fit_and_score(spark, folder, config)
+    return _search_and_score(spark, folder, _FAMILY["LogisticRegression_EN"])
+
+
+@query("hist_gradient_boosting", rounded="prob")
+def hist_gradient_boosting(spark, folder):
+    df, features = _model_table(spark, folder, "histograms"), _A + _B
+    setting = B.Setting(rate=0.1, depth=3, leaves=15)
+    model = B.fit(G.train_blocks(_train(df), features), [setting], [G.WHOLE])[setting.text(), G.WHOLE]
+    return G.score(df.where(F.col("split") != "train"), model, features).select("entity_id", "split", "label", "prob")
 
 
 @query("random_forest", rounded="prob")
@@ -258,10 +278,10 @@ def gaussian_nb(spark, folder):
 
 @query("grid_search_cv", rounded="cv_auc_roc")
 def grid_search_cv(spark, folder):
-    df = _model_table(spark, folder, "grid")
-    fitted = M.fit_model(M.COMPARISON_MODELS[0], _train(df), _A + _B, folds=FOLDS, parallelism=4)
-    row = [(M.params_text(fitted.params), fitted.cv_auc)]
-    return spark.createDataFrame(row, "best_params string, cv_auc_roc double")
+    df = _train(_model_table(spark, folder, "grid"))
+    plain = G.search(G.train_blocks(df, _A + _B))
+    weighted = G.search(G.train_blocks(df, _A + _B, "severity_weighted"), [f for f in G.FAMILIES if f.takes_weights], "severity_weighted")
+    return plain.unionByName(weighted)
 
 
 @query("predict_prob", rounded="prob")

@@ -6,6 +6,7 @@ import pytest
 from cohortloom.operators import blocks as B
 from cohortloom.operators import boosting as G
 from cohortloom.operators import linear as L
+from cohortloom.operators import search as S
 
 
 def frame(spark, n=260, seed=4):
@@ -142,3 +143,47 @@ def test_crowded_columns_share_bins(spark):
     cuts = G.cut_points(B.Blocks(df, ["a", "b"]), 255)
     sizes = np.bincount(np.searchsorted(cuts[0], np.arange(5000.0) ** 2, side="left"))
     assert len(cuts[0]) == 254 and sizes.max() <= 21 and sizes.min() >= 18 and cuts[1].tolist() == [0.5, 1.5]
+
+
+FAMILIES = (
+    S.Family("L2", "linear", strengths=(0.1, 1.0), percentiles=(50, 100)),
+    S.Family("trees", "boosting", settings=(G.Setting(0.3, 2, 4, 3, min_rows=5), G.Setting(0.3, 1, 4, 3, min_rows=5))),
+    S.Family("bayes", "bayes", smoothing=(1e-9, 1e-1), takes_weights=False),
+)
+
+
+def auc(label, prob):
+    pairs = prob[label == 1][:, None] - prob[label == 0][None, :]
+    return ((pairs > 0) + 0.5 * (pairs == 0)).mean()
+
+
+def test_search_scores_rows_no_model_saw(spark, tmp_path, monkeypatch):
+    df, x, label = frame(spark)
+    blocks = S.train_blocks(df.withColumn("severity", df["label"]), NAMES)
+    store = f"file://{tmp_path}/results"
+    found = S.search(blocks, FAMILIES, store=store)
+    rows = {(r["model"], r["setting"]): r for r in found.collect()}
+    assert len(rows) == 8 and sum(r["best"] for r in rows.values()) == 3 and all(0.6 < r["cv_auc_roc"] < 1 for r in rows.values())
+    fold = np.arange(len(x)) % 4
+    for family in FAMILIES:
+        own = [r for (m, _), r in rows.items() if m == family.name]
+        assert max(own, key=lambda r: r["cv_auc_roc"])["cv_auc_roc"] == next(r["cv_auc_roc"] for r in own if r["best"])
+    for smoothing in (1e-9, 1e-1):
+        each = []
+        for k in range(4):
+            rest, fill = fold != k, np.nanmedian(x[fold != k], axis=0)
+            full = np.where(np.isnan(x), fill, x)
+            score = np.zeros((2, len(x)))
+            for y in (0, 1):
+                part = full[rest & (label == y)]
+                var = part.var(axis=0) + smoothing * full[rest].var(axis=0).max()
+                score[y] = np.log(len(part) / rest.sum()) - 0.5 * (np.log(2 * np.pi * var) + (full - part.mean(axis=0)) ** 2 / var).sum(axis=1)
+            each.append(auc(label[~rest], (score[1] - score[0])[~rest]))
+        setting = next(s for m, s in rows if m == "bayes" and float(s.split(": ")[1][:-1]) == smoothing)
+        assert rows["bayes", setting]["cv_auc_roc"] == pytest.approx(np.mean(each), abs=1e-12)
+    # A second run with the same store reads the finished tables and fits nothing.
+    monkeypatch.setattr(S, "scored_settings", None)
+    assert sorted(map(tuple, S.search(blocks, FAMILIES, store=store).collect())) == sorted(map(tuple, rows.values()))
+    setting, model = S.fit_best(blocks, FAMILIES[0], found)
+    scored = S.score(df, model, NAMES).collect()
+    assert auc(label, np.array([r["prob"] for r in sorted(scored, key=lambda r: r["entity_id"])])) > 0.75
