@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortloom.operators.ranking import running_totals
-from cohortloom.operators.scoring import SCORE_ORDER, best_first
+from cohortloom.operators.ranking import average_ranks, running_totals
+from cohortloom.operators.scoring import SCORE_ORDER, best_first, long_form
 from cohortloom.session import materialise
 
 
@@ -42,31 +44,65 @@ def nested_sets(ranked: Sequence[str], sizes: Sequence[int | str]) -> dict[str,
 
 
 def pair_spearman(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    """Spearman rho of every feature pair, ranks taken over rows where both are present.
+    """(feature_a, feature_b, n, rho): Spearman rho of every feature pair over the rows where both are present.
 
-    Pairs come from the (short) feature list, not from rows: one explode of k(k-1)/2 structs per row,
-    reduced at once to distinct (pair, x, y) cells.
+    Columns without gaps are ranked once and all their pairs come from one pass that adds up products of ranks; only
+    pairs with a gap are ranked again, over the rows that they share.
     """
-    pairs = list(combinations(sorted(features), 2))
+    names = sorted(features)
+    spark = df.sparkSession
+    numbers = {c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in names}
+    rows = materialise(df.select(F.monotonically_increasing_id().alias("_row"), *[v.alias(c) for c, v in numbers.items()]), "pair-rows")
+    seen = rows.agg(F.count(F.lit(1)).alias("_n"), *[F.count(c).alias(c) for c in names]).first()
+    whole = [c for c in names if seen[c] == seen["_n"]]
+    found = []
+    if len(whole) > 1 and seen["_n"]:
+        sums = rank_products(rows, whole)
+        for i, j in combinations(range(len(whole)), 2):
+            spread = float(np.sqrt(sums[i, i] * sums[j, j]))
+            found.append((whole[i], whole[j], seen["_n"], float(sums[i, j]) / spread if spread else None))
+    out = spark.createDataFrame(found, "feature_a string, feature_b string, n bigint, rho double")
+    gaps = [(a, b) for a, b in combinations(names, 2) if not {a, b} <= set(whole) and seen[a] and seen[b]]
+    return out.unionByName(_gap_pairs(rows, gaps)) if gaps else out
+
+
+def rank_products(rows: DataFrame, features: Sequence[str]) -> np.ndarray:
+    """Sums of products of centred average ranks of columns without gaps; `rows` has a unique `_row`.
+
+    Each task keeps one matrix of features by features; blocks of rows are ranked columns brought together by row.
+    """
+    places = {c: k for k, c in enumerate(features)}
+    long = long_form(rows, features, ["_row"])
+    ranks = average_ranks(long, ["feature_name"], "value")
+    ranks = ranks.select("feature_name", "value", (F.col("avg_rank") - (F.col("n_total") + 1) / 2.0).alias("rank"))
+    joined = long.join(ranks, ["feature_name", "value"]).groupBy("_row").pivot("feature_name", list(features)).agg(F.first("rank"))
+    k = len(places)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((k, k))
+        for batch in batches:
+            x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
+            total += x.T @ x
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["part"])
+
+    parts = joined.select(F.array(*features)).mapInArrow(add, "part binary").collect()
+    return sum((np.frombuffer(r["part"], float).reshape(k, k) for r in parts), np.zeros((k, k)))
+
+
+def _gap_pairs(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    """The same for single pairs: one explode of the pairs per row, reduced at once to distinct (pair, x, y) cells."""
     cells = df.select(
         F.explode(
             F.array(
                 *[
-                    F.struct(
-                        F.lit(a).alias("feature_a"),
-                        F.lit(b).alias("feature_b"),
-                        F.col(a).cast("double").alias("x"),
-                        F.col(b).cast("double").alias("y"),
-                    )
+                    F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"), F.col(a).alias("x"), F.col(b).alias("y"))
                     for a, b in pairs
                 ]
             )
         ).alias("p")
     ).select("p.*")
     keys = ["feature_a", "feature_b"]
-    present = cells.where(
-        F.col("x").isNotNull() & F.col("y").isNotNull() & ~F.isnan("x") & ~F.isnan("y")
-    )
+    present = cells.where(F.col("x").isNotNull() & F.col("y").isNotNull())
     # Written once: the cells and both rank tables below read the counts, not the table again.
     cells = materialise(present.groupBy(*keys, "x", "y").agg(F.count("*").alias("n")), "pair-cells")
 

@@ -9,7 +9,7 @@ from cohortloom.operators import compare as C
 from cohortloom.operators import models as M
 from cohortloom.operators import search as G
 from cohortloom.operators import split as S
-from cohortloom.operators.neighbours import knn_vote
+from cohortloom.operators.neighbours import knn_vote, knn_votes
 from cohortloom.operators.selection import nested_sets
 from cohortloom.operators.weights import sample_counts
 from cohortloom.plans import views as V
@@ -149,20 +149,34 @@ def _vectors(rows, name):
     )
 
 
-@query(
-    "knn_classify",
+_NEAR_SQL = (
     "WITH v AS (SELECT vec_id, list_transform(embedding, lambda z: z::DOUBLE) AS e, CAST(label < 3 AS INTEGER) AS label FROM embeddings),"
     f" part AS (SELECT *, {V.split_expr('vec_id')} AS split FROM v),"
-    " d AS (SELECT q.vec_id AS query_id, t.vec_id, t.label, list_distance(q.e, t.e) AS dist FROM part q, part t WHERE q.split = 'test' AND t.split = 'train')"
-    " SELECT query_id, avg(label) AS prob FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(dist, 12), vec_id) AS r FROM d)"
-    " WHERE r <= 9 GROUP BY query_id",
-    rounded="prob",
+    " d AS (SELECT q.vec_id AS query_id, t.vec_id, t.label, list_distance(q.e, t.e) AS dist FROM part q, part t WHERE q.split = 'test' AND t.split = 'train'),"
+    " r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(dist, 12), vec_id) AS r FROM d)"
 )
-def knn_classify(spark, folder):
-    split = F.expr(V.split_expr("vec_id"))
-    rows = table(spark, folder, "embeddings").withColumn("split", split)
+
+
+def _neighbour_parts(spark, folder):
+    rows = table(spark, folder, "embeddings").withColumn("split", F.expr(V.split_expr("vec_id")))
     queries = _vectors(rows.where("split = 'test'"), "query_id").drop("label")
-    return knn_vote(queries, _vectors(rows.where("split = 'train'"), "train_id"), 9)
+    return queries, _vectors(rows.where("split = 'train'"), "train_id")
+
+
+@query("knn_classify", f"{_NEAR_SQL} SELECT query_id, avg(label) AS prob FROM r WHERE r <= 9 GROUP BY query_id", rounded="prob")
+def knn_classify(spark, folder):
+    return knn_vote(*_neighbour_parts(spark, folder), 9)
+
+
+_KS = (3, 5, 9, 15)
+
+
+@query(
+    "knn_grid", f"{_NEAR_SQL} SELECT query_id, " + ", ".join(f"avg(label) FILTER (WHERE r <= {k}) AS prob_{k}" for k in _KS) + " FROM r GROUP BY query_id",
+    rounded=" ".join(f"prob_{k}" for k in _KS),
+)
+def knn_grid(spark, folder):
+    return knn_votes(*_neighbour_parts(spark, folder), _KS)
 
 
 _WIDTH = 64

@@ -8,7 +8,7 @@ from cohortloom.operators import models as M
 from cohortloom.operators import scoring as S
 from cohortloom.operators import selection as L
 from cohortloom.operators import split as P
-from cohortloom.operators.neighbours import knn_vote
+from cohortloom.operators import neighbours as N
 
 
 def test_split_sizes_and_disjointness(spark):
@@ -92,17 +92,42 @@ def test_preparation_uses_train_rows_only(spark):
     assert sorted(round(float(r.prepared[0]), 4) for r in prepared.where("train").collect()) == [-1.2247, 0.0, 1.2247]
 
 
-def test_knn_matches_brute_force_in_a_crowded_cell(spark):
+def test_knn_matches_brute_force_across_tiles(spark, monkeypatch):
+    monkeypatch.setattr(N, "TILE_ROWS", 90)
+    monkeypatch.setattr(N, "BLOCK_ROWS", 25)
     rng = np.random.default_rng(6)
-    train = np.vstack([rng.normal(0, 0.01, (400, 3)), rng.normal(0, 5, (200, 3))])
+    train = np.vstack([rng.normal(0, 0.01, (300, 3)), rng.normal(0, 5, (200, 3)), np.ones((100, 3))])  # a crowded cell, and ties
     label = rng.integers(0, 2, len(train))
-    query = np.vstack([rng.normal(0, 0.01, (30, 3)), rng.normal(0, 6, (30, 3))])
+    query = np.vstack([rng.normal(0, 0.01, (30, 3)), rng.normal(0, 6, (30, 3)), np.ones((2, 3))])
     t = spark.createDataFrame([(i, v.tolist(), int(label[i])) for i, v in enumerate(train)], "train_id int, vec array<double>, label int")
     q = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(query)], "query_id int, vec array<double>")
-    got = {r.query_id: r.prob for r in knn_vote(q, t, 5).collect()}
+    got = {r.query_id: r for r in N.knn_votes(q, t, [3, 5, 150]).collect()}
+    assert len(got) == len(query)
     for i, v in enumerate(query):
-        best = np.argsort(np.sqrt(((train - v) ** 2).sum(axis=1)), kind="stable")[:5]
-        assert got[i] == pytest.approx(label[best].mean())
+        best = np.argsort(np.sqrt(((train - v) ** 2).sum(axis=1)).round(12), kind="stable")
+        for k in (3, 5, 150):
+            assert got[i][f"prob_{k}"] == pytest.approx(label[best[:k]].mean())
+    assert {r.query_id: r.prob for r in N.knn_vote(q, t.limit(2), 5).collect()}.keys() == got.keys()  # fewer train rows than k
+    assert N.knn_vote(q, t.limit(0), 5).count() == 0 and N.knn_vote(q.limit(0), t, 5).count() == 0
+
+
+def test_pairs_with_and_without_gaps(spark):
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 9, (200, 5)).astype(float)
+    x[:, 1] += x[:, 0]
+    x[:, 4] = 3.0
+    x[::7, 2], x[::5, 3] = np.nan, np.nan
+    names = list("abcde")
+    df = spark.createDataFrame([tuple(None if np.isnan(v) and k % 2 else float(v) for v in r) for k, r in enumerate(x)], ", ".join(f"{n} double" for n in names))
+    import pandas as pd
+
+    got = {(r.feature_a, r.feature_b): r for r in L.pair_spearman(df, names).collect()}
+    assert len(got) == 10
+    for (a, b), r in got.items():
+        both = pd.DataFrame({"a": x[:, names.index(a)], "b": x[:, names.index(b)]}).dropna()
+        assert r.n == len(both)
+        assert r.rho is None if "e" in (a, b) else r.rho == pytest.approx(both.a.rank().corr(both.b.rank()), abs=1e-12)
+    assert L.pair_spearman(df.limit(0), names).count() == 0
 
 
 def model_frame(spark):
