@@ -229,3 +229,23 @@ def family_summary(results: DataFrame, family: str, metric: str) -> DataFrame:
         F.max(metric).alias("best_score"),
         F.stddev_pop(metric).alias("std_score"),
     )
+
+
+def result_summary(results: DataFrame, groups: Sequence[str], auc: str, tuned: str, run: str) -> DataFrame:
+    """(kind, name, runs, mean_score, best_score, best_run, best_tuned, best_tuned_run) of all runs and of each group's.
+
+    One scan with grouping sets; `kind` is 'all' or the group's column. Of equal scores the first run by name is best.
+    """
+    first = lambda c: F.min_by(run, F.when(F.col(c).isNotNull(), F.struct((-F.col(c)).alias("a"), F.col(run).alias("b"))))
+    # A NULL group is a group of its own: its place in the grouping is known by the grouping's number alone.
+    sets = [[], *[[g] for g in groups]]
+    number = F.grouping_id(*groups)
+    found = results.groupingSets(sets, *groups).agg(
+        number.alias("_set"), F.count(auc).alias("runs"), F.avg(auc).alias("mean_score"), F.max(auc).alias("best_score"), first(auc).alias("best_run"),
+        F.max(tuned).alias("best_tuned"), first(tuned).alias("best_tuned_run"),
+    )
+    kind, name = F.lit("all"), F.lit(None).cast("string")
+    for k, g in enumerate(groups):
+        here = F.col("_set") == (1 << len(groups)) - 1 - (1 << (len(groups) - 1 - k))
+        kind, name = F.when(here, g).otherwise(kind), F.when(here, F.col(g).cast("string")).otherwise(name)
+    return found.select(kind.alias("kind"), name.alias("name"), "runs", "mean_score", "best_score", "best_run", "best_tuned", "best_tuned_run")

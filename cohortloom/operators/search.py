@@ -10,7 +10,7 @@ import hashlib
 import json
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass
+from dataclasses import dataclass, fields, is_dataclass
 
 import numpy as np
 import pandas as pd
@@ -18,8 +18,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortloom.operators import boosting, linear
-from cohortloom.operators.blocks import WHOLE, Blocks
-from cohortloom.operators.evaluate import roc_auc
+from cohortloom.operators.blocks import WHOLE, Blocks, Prepared
+from cohortloom.operators.compare import _result_table, split_metrics
+from cohortloom.operators.evaluate import roc_auc, threshold_grid
 from cohortloom.operators.models import ModelConfig, with_training_weight
 from cohortloom.operators.split import percentile_choice
 from cohortloom.session import materialise, path_exists
@@ -182,3 +183,85 @@ def train_blocks(train: DataFrame, features: Sequence[str], strategy: str = "sta
     """Blocks of train rows (with `fold`) weighted for the strategy; class balance is left to each fold's fit."""
     weighted = with_training_weight(train, ModelConfig("rows", "", balanced=False), strategy, label, severity)
     return Blocks(weighted, features, label, "fold", "weight", key)
+
+
+def compare_sets(
+    df: DataFrame, feature_sets: dict[str, Sequence[str]], families: Sequence[Family], strategies: Sequence[str] = ("standard", "severity_weighted"),
+    tune: str | None = None,
+) -> DataFrame:
+    """Feature set x family x weighting: the best setting of the grid, its fold score, and metrics on val and test.
+
+    `df` has entity_id, split, label, severity, fold and the features. With `tune`, metrics at the threshold that is
+    best for that metric on val are added. Sets and weightings run at the same time, POOL at most.
+    """
+    train, rest = df.where(F.col("split") == "train"), df.where(F.col("split") != "train")
+
+    def one(task: tuple[str, str]) -> list[dict]:
+        set_name, strategy = task
+        features = feature_sets[set_name]
+        blocks, out = train_blocks(train, features, strategy), []
+        for family in families:
+            if strategy != "standard" and not family.takes_weights:
+                continue
+            found = search(blocks, [family], strategy)
+            setting, model = fit_best(blocks, family, found)
+            scored = score(rest, model, features).select("entity_id", "split", "label", "prob")
+            row = {"feature_set": set_name, "feature_count": len(features), "model": family.name, "strategy": strategy, "best_params": setting}
+            row |= {"cv_auc_roc": found.where("best").first()["cv_auc_roc"]} | split_metrics(scored)
+            if tune:
+                cut = float(threshold_grid(scored.where("split = 'val'"), "label", "prob", tune).first().threshold)
+                row |= {"tuned_threshold": cut} | split_metrics(scored, threshold=cut, tag="tuned_")
+            out.append(row)
+        return out
+
+    with ThreadPoolExecutor(POOL) as pool:
+        rows = [r for part in pool.map(one, [(n, s) for n in feature_sets for s in strategies]) for r in part]
+    return _result_table(df.sparkSession, rows)
+
+
+# ---- saved models ----------------------------------------------------------------------------------
+
+
+def _plain(value):
+    """Arrays as lists, with their kind, for JSON."""
+    if isinstance(value, np.ndarray):
+        return {"array": value.tolist(), "kind": value.dtype.str}
+    if is_dataclass(value):
+        return {"class": type(value).__name__, "fields": {f.name: _plain(getattr(value, f.name)) for f in fields(value)}}
+    if isinstance(value, list):
+        return [_plain(v) for v in value]
+    return value
+
+
+def _back(value):
+    if isinstance(value, list):
+        return [_back(v) for v in value]
+    if isinstance(value, dict) and "array" in value:
+        return np.array(value["array"], dtype=value["kind"])
+    if isinstance(value, dict):
+        return _SAVED[value["class"]](**{n: _back(v) for n, v in value["fields"].items()})
+    return value
+
+
+_SAVED = {c.__name__: c for c in (linear.Linear, Prepared, Bayes, boosting.Tree, boosting.Setting)}
+
+
+def save_model(spark, model, features: Sequence[str], path: str) -> None:
+    """Write a fitted model with its feature names as a table of one row."""
+    if isinstance(model, boosting.Boosted):
+        text = {"boosted": [model.without, _plain(model.setting), model.base, _plain(model.cuts), _plain(model.trees)]}
+    else:
+        text = _plain(model)
+    spark.createDataFrame([(json.dumps(text), list(features))], "model string, features array<string>").coalesce(1).write.parquet(path)
+
+
+def load_model(spark, path: str) -> tuple[object, list[str]]:
+    """The model and feature names that `save_model` wrote."""
+    row = spark.read.parquet(path).first()
+    text = json.loads(row["model"])
+    if "boosted" not in text:
+        return _back(text), list(row["features"])
+    without, setting, base, cuts, trees = text["boosted"]
+    model = boosting.Boosted(without, _back(setting), base, _back(cuts))
+    model.trees = _back(trees)
+    return model, list(row["features"])

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from cohortloom.operators import boosting as B
 from cohortloom.operators import compare as C
+from cohortloom.operators import linear
 from cohortloom.operators import models as M
 from cohortloom.operators import search as G
 from cohortloom.operators import split as S
@@ -15,7 +16,7 @@ from cohortloom.operators.weights import sample_counts
 from cohortloom.plans import views as V
 from cohortloom.plans.registry import query, table
 from cohortloom.plans.views import with_
-from cohortloom.session import materialise
+from cohortloom.session import materialise, scratch_path
 
 # ---- splits ----------------------------------------------------------------------------------------
 
@@ -305,6 +306,16 @@ def predict_prob(spark, folder):
     return _scores(fitted, df, _A)
 
 
+@query("saved_model_prob", rounded="prob")
+def saved_model_prob(spark, folder):
+    df, features = _model_table(spark, folder, "saved"), _A + _B
+    found = linear.path(G.train_blocks(_train(df), features), [1.0])
+    place = scratch_path(spark, "model")
+    G.save_model(spark, found[G.WHOLE, 1.0, 0.0, 0], features, place)
+    model, names = G.load_model(spark, place)
+    return G.score(df.where(F.col("split") != "train"), model, names).select("entity_id", "split", "label", "prob")
+
+
 _PLAIN = M.ModelConfig("LogisticRegression", "logistic", select=False)
 _TREES = M.ModelConfig("RandomForest", "forest", defaults={"numTrees": 100, "maxDepth": 5}, scale=False, select=False)
 
@@ -343,14 +354,18 @@ def fused_patient_eval(spark, folder):
     return C.fused_entity_eval(samples, structured, list(_A), _PLAIN, late_year=2000)
 
 
+_GRIDS = [_FAMILY[n] for n in ("LogisticRegression_L2", "LogisticRegression_EN", "GaussianNB")]
+
+
 @query("compare_feature_sets")
 def compare_feature_sets(spark, folder):
     df = _model_table(spark, folder, "compare")
-    return C.compare_feature_sets(df, {"a_only": _A, "fusion": _A + _B}, [_PLAIN, _TREES], search=False)
+    return G.compare_sets(df, {"a_only": _A, "b_only": _B, "fusion": _A + _B}, _GRIDS)
 
 
 @query("refined_search")
 def refined_search(spark, folder):
     df = _model_table(spark, folder, "refined")
-    sets = nested_sets(["balance", "mean_price", "nation", "n_orders", "max_price"], [2, "all"])
-    return C.refined_search(df, sets, [_PLAIN], search=False)
+    sets = nested_sets(["balance", "mean_price", "nation", "n_orders", "max_price"], [2, 3, "all"])
+    rows = G.compare_sets(df, sets, _GRIDS[:2], ["standard"], tune="f1")
+    return rows.orderBy(F.desc_nulls_last("test_auc_roc"), F.desc_nulls_last("test_tuned_f1"))

@@ -296,24 +296,21 @@ def bilateral_assign(spark, folder):
     return R.bilateral_assign(_detections(spark, folder), _det_boxes(spark, folder))
 
 
+_REGIONS = ("left_eye", "right_eye", "left_cheek", "right_cheek", "nose", "forehead")
 _MISSING_SQL = (
-    f"WITH {_DET_SQL}, found AS (SELECT sample_id, 'left_eye' AS region FROM det WHERE class = 'Eye' AND confidence > 200 UNION SELECT sample_id, 'nose' FROM det"
-    " WHERE class = 'Nose' AND confidence > 200), st AS (SELECT sample_id, CASE WHEN sample_id % 10 = 3 THEN 'no_face' ELSE 'ok' END AS status FROM face)"
-    " SELECT sample_id, status, CASE WHEN status = 'ok' THEN concat_ws(',', CASE WHEN sample_id NOT IN (SELECT sample_id FROM found WHERE region = 'left_eye')"
-    " THEN 'left_eye' END, CASE WHEN sample_id NOT IN (SELECT sample_id FROM found WHERE region = 'nose') THEN 'nose' END) ELSE '' END AS missing_regions FROM st"
+    f"WITH {_DET_SQL}, {_ASSIGN_SQL}, found AS (SELECT sample_id, list(region) AS regions FROM named GROUP BY sample_id),"
+    " st AS (SELECT sample_id, CASE WHEN sample_id % 10 = 3 THEN 'no_face' ELSE 'ok' END AS status FROM face)"
+    " SELECT sample_id, status, CASE WHEN status = 'ok' THEN concat_ws(',', "
+    + ", ".join(f"CASE WHEN NOT list_contains(coalesce(regions, []), '{r}') THEN '{r}' END" for r in _REGIONS)
+    + ") ELSE '' END AS missing_regions FROM st LEFT JOIN found USING (sample_id)"
 )
 
 
 def _missing(spark, folder):
-    det = _detections(spark, folder)
-    strong = F.col("confidence") > 200
-    found = det.where((F.col("class") == "Eye") & strong).select("sample_id", F.lit("left_eye").alias("region")).unionByName(
-        det.where((F.col("class") == "Nose") & strong).select("sample_id", F.lit("nose").alias("region"))
-    )
-    states = _det_boxes(spark, folder).select(
-        "sample_id", F.when(F.col("sample_id") % 10 == 3, "no_face").otherwise("ok").alias("status")
-    )
-    return R.missing_regions(states, found, ["left_eye", "nose"])
+    boxes = _det_boxes(spark, folder)
+    found = R.bilateral_assign(_detections(spark, folder), boxes).select("sample_id", "region")
+    states = boxes.select("sample_id", F.when(F.col("sample_id") % 10 == 3, "no_face").otherwise("ok").alias("status"))
+    return R.missing_regions(states, found, _REGIONS)
 
 
 @query("missing_regions", _MISSING_SQL)

@@ -328,3 +328,28 @@ def leaderboard(spark, folder):
         F.lit("top").alias("kind"), F.col("run_id").alias("name"), F.col("auc").alias("best_score"), "place"
     )
     return families.unionByName(top, allowMissingColumns=True)
+
+
+_SUMMARY_SQL = (
+    "runs AS (SELECT o_orderpriority AS family, o_orderstatus AS strategy, 'p' || (o_custkey % 5) AS profile, avg(o_totalprice) / 500000 AS auc,"
+    " count(*) FILTER (WHERE o_totalprice > 150000) / CAST(count(*) AS DOUBLE) AS f1, o_orderpriority || '/' || o_orderstatus || '/' || (o_custkey % 5) AS run_id"
+    " FROM orders GROUP BY 1, 2, 3, 6)"
+)
+
+
+@query(
+    "result_summary",
+    f"WITH {_SUMMARY_SQL}, g AS (SELECT 'all' AS kind, CAST(NULL AS VARCHAR) AS name, * FROM runs UNION ALL SELECT 'family', family, * FROM runs"
+    " UNION ALL SELECT 'strategy', strategy, * FROM runs UNION ALL SELECT 'profile', profile, * FROM runs), r AS (SELECT *,"
+    " row_number() OVER (PARTITION BY kind, name ORDER BY auc DESC, run_id) AS a, row_number() OVER (PARTITION BY kind, name ORDER BY f1 DESC, run_id) AS b FROM g)"
+    " SELECT kind, name, count(auc) AS runs, avg(auc) AS mean_score, max(auc) AS best_score, max(run_id) FILTER (WHERE a = 1) AS best_run,"
+    " max(f1) AS best_tuned, max(run_id) FILTER (WHERE b = 1) AS best_tuned_run FROM r GROUP BY kind, name",
+    rounded="mean_score best_score best_tuned",
+)
+def result_summary(spark, folder):
+    profile = F.concat(F.lit("p"), (F.col("o_custkey") % 5).cast("string")).alias("profile")
+    rows = table(spark, folder, "orders").groupBy(F.col("o_orderpriority").alias("family"), F.col("o_orderstatus").alias("strategy"), profile).agg(
+        (F.avg("o_totalprice") / 500000).alias("auc"), (F.count_if(F.col("o_totalprice") > 150000) / F.count("*")).alias("f1")
+    )
+    rows = rows.withColumn("run_id", F.concat_ws("/", "family", "strategy", F.expr("substring(profile, 2)")))
+    return C.result_summary(rows, ["family", "strategy", "profile"], "auc", "f1", "run_id")

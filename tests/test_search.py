@@ -5,6 +5,7 @@ import pytest
 
 from cohortloom.operators import blocks as B
 from cohortloom.operators import boosting as G
+from cohortloom.operators import compare as C
 from cohortloom.operators import linear as L
 from cohortloom.operators import search as S
 
@@ -187,3 +188,25 @@ def test_search_scores_rows_no_model_saw(spark, tmp_path, monkeypatch):
     setting, model = S.fit_best(blocks, FAMILIES[0], found)
     scored = S.score(df, model, NAMES).collect()
     assert auc(label, np.array([r["prob"] for r in sorted(scored, key=lambda r: r["entity_id"])])) > 0.75
+
+
+def test_saved_models_score_the_same(spark, tmp_path):
+    df, x, _ = frame(spark)
+    blocks = S.train_blocks(df.withColumn("severity", df["label"]), NAMES)
+    models = [
+        L.path(blocks, [1.0], [0.5])[B.WHOLE, 1.0, 0.5, 0], S.bayes(blocks, [1e-9], [B.WHOLE])[1e-9, B.WHOLE],
+        G.fit(blocks, [G.Setting(0.3, 2, 4, 3, min_rows=5)], [B.WHOLE]).popitem()[1],
+    ]
+    for k, model in enumerate(models):
+        S.save_model(spark, model, NAMES, f"file://{tmp_path}/m{k}")
+        again, names = S.load_model(spark, f"file://{tmp_path}/m{k}")
+        assert names == list(NAMES) and (again.probability(x) == model.probability(x)).all()
+
+
+def test_summary_of_runs_in_one_scan(spark):
+    rows = [("r1", "x", "s", 0.7, 0.6), ("r2", "x", "t", 0.75, 0.58), ("r3", "y", "s", 0.75, 0.66), ("r4", None, "t", None, 0.1)]
+    runs = spark.createDataFrame(rows, "run string, family string, strategy string, auc double, f1 double")
+    got = {(r.kind, r.name): r for r in C.result_summary(runs, ["family", "strategy"], "auc", "f1", "run").collect()}
+    assert got.keys() == {("all", None), ("family", "x"), ("family", "y"), ("family", None), ("strategy", "s"), ("strategy", "t")}
+    assert (got["all", None].best_run, got["all", None].best_tuned_run, got["all", None].runs) == ("r2", "r3", 3)
+    assert (got["strategy", "s"].best_run, got["strategy", "t"].best_run, got["family", None].best_run) == ("r3", "r2", None)
