@@ -76,6 +76,31 @@ def test_communication_matrix_is_exact_and_unbiased():
     assert [sum(r) for r in big] == [10**10, 3 * 10**9] and [sum(c) for c in zip(*big)] == D.exact_sizes(13 * 10**9, 4)
 
 
+def test_large_draws_follow_the_law(monkeypatch):
+    rng = np.random.default_rng(4)
+    good, bad, draws = 3 * 10**9, 7 * 10**9, 200_000
+    got = np.array([D._hypergeometric(rng, good, bad, draws) for _ in range(4000)])
+    spread = (draws * 0.3 * 0.7 * (good + bad - draws) / (good + bad - 1)) ** 0.5
+    assert got.mean() == pytest.approx(draws * 0.3, abs=4 * spread / 4000**0.5) and got.std() == pytest.approx(spread, rel=0.06)
+    rare = np.array([D._hypergeometric(rng, 3, 10**10, 10**9) for _ in range(4000)])
+    assert set(rare) <= {0, 1, 2, 3} and rare.mean() == pytest.approx(3 * 10**9 / (10**10 + 3), abs=0.04)
+    # The inversion on a small population, against numpy's draws of the same law.
+    exact = np.bincount(rng.hypergeometric(6, 14, 7, 40000), minlength=7) / 40000
+    monkeypatch.setattr(D, "_NUMPY", 0)
+    own = np.bincount([D._hypergeometric(rng, 6, 14, 7) for _ in range(40000)], minlength=7) / 40000
+    assert own == pytest.approx(exact, abs=0.012)
+
+
+def test_groups_of_blocks_keep_sizes(spark, docs_of, monkeypatch):
+    monkeypatch.setattr(D, "BLOCK_BITS", 3)
+    monkeypatch.setattr(D, "GROUP", 4)
+    docs = docs_of([(k, f"t{k}") for k in range(700)]).drop("shard")
+    dealt = D.deal(docs, 5).collect()
+    assert sorted(r["doc_id"] for r in dealt) == list(range(700))
+    for s in range(5):
+        assert sorted(r["slot"] for r in dealt if r["shard"] == s) == list(range(140))
+
+
 def test_dealt_rows_are_whole_and_even(docs_of):
     docs = docs_of(EDGE_TEXTS + [(100 + k, f"t{k}") for k in range(500)])
     dealt = D.deal(docs.drop("shard"), 7)
