@@ -43,6 +43,10 @@ def _pack(values: np.ndarray, width: int) -> bytes:
     """Values below 2^width in `width` bits each, low bits first."""
     if width == 8:
         return values.astype(np.uint8).tobytes()
+    if width == 4:
+        halves = np.zeros(len(values) + len(values) % 2, np.uint8)
+        halves[: len(values)] = values
+        return (halves[0::2] | halves[1::2] << 4).tobytes()
     bits = (values[:, None] >> np.arange(width, dtype=values.dtype)) & 1
     return np.packbits(bits.astype(np.uint8).ravel(), bitorder="little").tobytes()
 
@@ -51,16 +55,36 @@ def _unpack(data: memoryview, count: int, width: int) -> np.ndarray:
     raw = np.frombuffer(data, np.uint8)
     if width == 8:
         return raw[:count].astype(np.uint32)
+    if width == 4:
+        out = np.empty(2 * len(raw), np.uint32)
+        out[0::2], out[1::2] = raw & 15, raw >> 4
+        return out[:count]
     bits = np.unpackbits(raw, count=count * width, bitorder="little").reshape(count, width)
     return bits @ (1 << np.arange(width, dtype=np.uint32))
 
 
+class Span:
+    """A stretch of an open file; slices are read when they are asked for."""
+
+    def __init__(self, source, at: int, size: int):
+        self.source, self.at, self.size = source, at, size
+
+    def __getitem__(self, part: slice | int) -> bytes | int:
+        if isinstance(part, int):
+            return self.source.read_at(1, self.at + part)[0]
+        first, last, _ = part.indices(self.size)
+        return self.source.read_at(max(0, last - first), self.at + first)
+
+
+def _part(data: memoryview | Span, at: int, size: int) -> memoryview | Span:
+    return Span(data.source, data.at + at, size) if isinstance(data, Span) else data[at : at + size]
+
+
 class Level:
-    """Chunks of one level with their continuation bitmap and its rank directory."""
+    """Chunks of one level with their continuation bitmap and its rank directory, in memory or in a file."""
 
-    def __init__(self, width: int, count: int, chunks: memoryview, bitmap: memoryview, ranks: memoryview):
-        self.width, self.count, self.chunks, self.bitmap = width, count, chunks, bitmap
-        self.ranks = np.frombuffer(ranks, "<u4")
+    def __init__(self, width: int, count: int, chunks: memoryview | Span, bitmap: memoryview | Span, ranks: memoryview | Span):
+        self.width, self.count, self.chunks, self.bitmap, self.ranks = width, count, chunks, bitmap, ranks
 
     def chunk(self, i: int) -> int:
         first = i * self.width
@@ -74,7 +98,7 @@ class Level:
         """Set bits before place i."""
         step = i // RANK_STEP
         inside = int.from_bytes(self.bitmap[step * RANK_STEP // 8 : (i + 7) // 8], "little")
-        return int(self.ranks[step]) + (inside & ((1 << (i - step * RANK_STEP)) - 1)).bit_count()
+        return int.from_bytes(self.ranks[4 * step : 4 * step + 4], "little") + (inside & ((1 << (i - step * RANK_STEP)) - 1)).bit_count()
 
 
 def encode_ids(ids: np.ndarray, widths: Sequence[int] = WIDTHS) -> tuple[list[dict], list[bytes]]:
@@ -97,24 +121,35 @@ def encode_ids(ids: np.ndarray, widths: Sequence[int] = WIDTHS) -> tuple[list[di
 
 
 class Segment:
-    """Ids of consecutive documents, read from the bytes of a segment."""
-
-    def __init__(self, data: bytes):
-        view = memoryview(data)
-        (size,) = struct.unpack_from("<Q", view)
-        head = json.loads(bytes(view[8 : 8 + size]))
-        at = 8 + size
-
-        def take(n: int) -> memoryview:
-            nonlocal at
-            at += n
-            return view[at - n : at]
-
-        docs = head["docs"]
-        self.keys = np.frombuffer(take(8 * docs), "<i8")
-        self.missing = np.frombuffer(take(docs), np.uint8).astype(bool)
-        self.lengths = np.frombuffer(take(4 * docs), "<u4").astype(np.int64)
-        self.levels = [Level(x["width"], x["count"], *[take(n) for n in x["sizes"]]) for x in head["levels"]]
+    """Ids of consecutive documents, from the bytes of a segment or from its stretch of a file."""
+
+    def __init__(self, data: memoryview | Span):
+        (size,) = struct.unpack("<Q", data[:8])
+        head = json.loads(bytes(data[8 : 8 + size]))
+        self._data, self._docs, self._at = data, head["docs"], 8 + size
+        self.levels, at = [], self._at + 13 * self._docs
+        for x in head["levels"]:
+            own = []
+            for n in x["sizes"]:
+                own.append(_part(data, at, n))
+                at += n
+            self.levels.append(Level(x["width"], x["count"], *own))
+
+    def _column(self, first: int, width: int, kind: str) -> np.ndarray:
+        at = self._at + first * self._docs
+        return np.frombuffer(self._data[at : at + width * self._docs], kind)
+
+    @property
+    def keys(self) -> np.ndarray:
+        return self._column(0, 8, "<i8")
+
+    @property
+    def missing(self) -> np.ndarray:
+        return self._column(8, 1, "u1").astype(bool)
+
+    @property
+    def lengths(self) -> np.ndarray:
+        return self._column(9, 4, "<u4").astype(np.int64)
 
     def get(self, i: int) -> int:
         """The i-th id; only its own chunks and one directory step per level are read."""
@@ -182,7 +217,7 @@ class FileWriter:
 
 
 class TokenFile:
-    """Segments of a written file; `get` finds any id of the file."""
+    """Segments of a written file; `get` finds any id of the file without reading a segment."""
 
     def __init__(self, source):
         self.source = source
@@ -195,12 +230,13 @@ class TokenFile:
 
     def segments(self) -> Iterator[Segment]:
         for x in self.index:
-            yield Segment(self.source.read_at(x["size"], x["at"]))
+            yield Segment(memoryview(self.source.read_at(x["size"], x["at"])))
 
     def get(self, i: int) -> int:
+        """The i-th id of the file: its segment's head, then a chunk, a directory step and a rank per level are read."""
         for x in self.index:
-            if i < x["ids"]:
-                return Segment(self.source.read_at(x["size"], x["at"])).get(i)
+            if 0 <= i < x["ids"]:
+                return Segment(Span(self.source, x["at"], x["size"])).get(i)
             i -= x["ids"]
         raise IndexError("past the last id of the file")
 
@@ -241,10 +277,11 @@ def read_tokens(manifest: DataFrame, folder: str, key: str = "doc_id") -> DataFr
                 with open_file(folder, file) as source:
                     for s in TokenFile(source).segments():
                         raw = memoryview(s.ids().astype("<u4").tobytes())
-                        ends = np.cumsum(s.lengths)
-                        crcs = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(ends - s.lengths, ends)]
+                        lengths = s.lengths
+                        ends = np.cumsum(lengths)
+                        crcs = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(ends - lengths, ends)]
                         columns = [
-                            pa.array(s.keys, mask=s.missing), pa.array(start + ends - s.lengths), pa.array(s.lengths), pa.array(crcs, pa.int64()),
+                            pa.array(s.keys, mask=s.missing), pa.array(start + ends - lengths), pa.array(lengths), pa.array(crcs, pa.int64()),
                         ]
                         start += int(ends[-1])
                         yield pa.RecordBatch.from_arrays(columns, names=[key, "start", "n_tokens", "ids_crc32"])

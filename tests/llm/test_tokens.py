@@ -1,5 +1,6 @@
 """The word memory, the directly addressable codes and the packing against the tokenizer itself."""
 
+import io
 import random
 import zlib
 
@@ -57,6 +58,40 @@ def test_files_round_trip(spark, docs_of, encoder, monkeypatch):
     assert A.round_trip(docs.limit(0)).count() == 0
 
 
+class Counted:
+    """A file in memory that adds up the bytes read from it."""
+
+    def __init__(self, data):
+        self.data, self.read = data, 0
+
+    def size(self):
+        return len(self.data)
+
+    def read_at(self, n, at):
+        self.read += n
+        return self.data[at : at + n]
+
+
+def test_one_id_reads_a_step_of_each_level():
+    r = np.random.default_rng(2)
+    out = io.BytesIO()
+    out.close = lambda: None
+    writer = A.FileWriter(out)
+    every = r.integers(0, 49408, 60000).astype("<u4")
+    for k in range(600):
+        writer.add(k, every[100 * k : 100 * k + 100].tobytes())
+    assert writer.close() == (600, 60000)
+    source = Counted(out.getvalue())
+    found = A.TokenFile(source)
+    opened = source.read
+    for i in (0, 1, 511, 512, 31234, 59999):
+        assert found.get(i) == every[i]
+    # The head of the segment, then at most two chunk bytes, a rank and one directory step for each level.
+    assert source.read - opened < 6 * (500 + 3 * (2 + 1 + 4 + A.RANK_STEP // 8)) < len(source.data) / 20
+    with pytest.raises(IndexError):
+        found.get(60000)
+
+
 def test_random_access_into_a_file(spark, docs_of, encoder, monkeypatch):
     monkeypatch.setattr(A, "SEGMENT_IDS", 300)
     folder = scratch_path(spark, "test")
