@@ -288,19 +288,18 @@ def source_samples_views(images: DataFrame, measures: DataFrame, year: str, fron
 def entity_summary(rows: DataFrame, years: Sequence[int] = (2024, 2025)) -> DataFrame:
     """Per entity: samples, samples per year, sorted distinct match methods and source ids.
 
-    Source ids are the distinct spellings of one id, reduced to distinct rows before they are listed.
+    Source ids are the distinct spellings of one id. Rows are counted per spelling first, so an entity's
+    list is built from one row for each spelling, however many samples it has.
     """
-    counts = rows.groupBy("entity_id").agg(
-        F.count("*").alias("sample_count"), *[F.count_if(F.col("year") == y).alias(f"n_{y}") for y in years],
-        F.array_join(F.array_sort(F.collect_set("matched_by")), ";").alias("matched_by_values"),
+    per_spelling = rows.groupBy("entity_id", "source_id").agg(
+        F.count("*").alias("n"), *[F.count_if(F.col("year") == y).alias(f"n_{y}") for y in years],
+        F.collect_set("matched_by").alias("methods"),
     )
-    spellings = (
-        rows.select("entity_id", "source_id")
-        .distinct()
-        .groupBy("entity_id")
-        .agg(F.array_join(F.array_sort(F.collect_list("source_id")), ";").alias("source_ids"))
+    return per_spelling.groupBy("entity_id").agg(
+        F.sum("n").alias("sample_count"), *[F.sum(f"n_{y}").alias(f"n_{y}") for y in years],
+        F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list("methods")))), ";").alias("matched_by_values"),
+        F.array_join(F.array_sort(F.collect_list("source_id")), ";").alias("source_ids"),
     )
-    return counts.join(spellings, "entity_id")
 
 
 def merge_sources(
@@ -426,21 +425,6 @@ def excluded_rollup(excluded: DataFrame) -> DataFrame:
     )
 
 
-def build_counters(included: DataFrame, excluded: DataFrame, merged: DataFrame, issues: DataFrame) -> DataFrame:
-    """Run counters as (counter, n) rows."""
-
-    def one(df: DataFrame, name: str, agg: Column) -> DataFrame:
-        return df.agg(agg.cast("long").alias("n")).select(F.lit(name).alias("counter"), "n")
-
-    return (
-        one(included, "included_samples", F.count("*"))
-        .unionByName(one(excluded, "excluded_samples", F.count("*")))
-        .unionByName(one(merged, "included_entities", F.count("*")))
-        .unionByName(one(merged, "with_basic_data", F.count_if("has_basic_data")))
-        .unionByName(one(issues, "source_issues", F.count("*")))
-    )
-
-
 # ---- feature joins ----------------------------------------------------------------------------
 
 

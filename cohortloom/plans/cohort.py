@@ -8,12 +8,16 @@ from cohortloom.functions.text import name_candidates, norm_id
 from cohortloom.operators import pairing as P
 from cohortloom.operators import resolve as R
 from cohortloom.operators import weights as W
+from cohortloom.operators.counters import run_counters
 from cohortloom.operators.selection import modeling_subset
 from cohortloom.operators.split import split_overlaps
 from cohortloom.plans import views as V
+from cohortloom.plans.jobs import missing_folders
 from cohortloom.plans.registry import query, table
 from cohortloom.plans.scalars import CJK_NAME, CJK_TYPE, clean_sql
 from cohortloom.plans.views import RESOLVED, with_
+from cohortloom.session import materialise, scratch_path
+from cohortloom.sources.tabular import append_new
 
 # ---- registries and lookups ---------------------------------------------------------------------
 
@@ -190,24 +194,37 @@ def front_view_gate(spark, folder):
     )
 
 
+# Folders that a build expects under the data folder; the first is there.
+_FOLDERS = (
+    ("missing_photo_dir", "2024", "orders.parquet"), ("missing_year_dir", "2023", "2023"),
+    ("missing_photo_dir", "2025", "2025/photos"), ("missing_temperature_dir", "2025", "2025/measures"),
+)
+# In the layout with views, every thirteenth picture has a name that cannot be read.
 _LOGGED_SQL = (
-    f"WITH {_IMAGES_SQL},{_GATE}, first AS (SELECT entity_id, min(path) AS path, count(*) > 1 AS several FROM images"
-    " WHERE sequence = 1 GROUP BY entity_id), logged AS ("
+    f"WITH {_IMAGES_SQL}, first AS (SELECT entity_id, min(path) AS path, count(*) > 1 AS several FROM images"
+    " WHERE sequence = 1 GROUP BY entity_id), readable AS (SELECT * FROM images WHERE o_orderkey % 13 <> 0),"
+    " gate AS (SELECT entity_id, bool_or(view = '正') AS fr, bool_or(view = '正' AND sequence = 1) AS fi FROM readable GROUP BY entity_id), logged AS ("
     " SELECT 'missing_sequence_1_image' AS code, '2024' AS year, entity_id, '' AS path FROM (SELECT entity_id FROM images GROUP BY 1 HAVING NOT bool_or(sequence = 1))"
     " UNION ALL SELECT 'multiple_sequence_1_images', '2024', entity_id, path FROM first WHERE several"
     " UNION ALL SELECT 'missing_temperature_csv', '2024', entity_id, path FROM first f JOIN images i USING (entity_id, path) WHERE i.stem NOT IN (SELECT stem FROM measures)"
+    " UNION ALL SELECT 'unparseable_image_name', '2025', '', path FROM images WHERE o_orderkey % 13 = 0"
     " UNION ALL SELECT CASE WHEN fr THEN 'missing_front_sequence_1' ELSE 'missing_front_image' END, '2025', entity_id, '' FROM gate WHERE NOT fi"
-    " UNION ALL SELECT 'missing_temperature_csv', '2025', i.entity_id, i.path FROM images i JOIN gate g USING (entity_id) WHERE i.view = '正' AND g.fi"
+    " UNION ALL SELECT 'missing_temperature_csv', '2025', i.entity_id, i.path FROM readable i JOIN gate g USING (entity_id) WHERE i.view = '正' AND g.fi"
     " AND i.stem NOT IN (SELECT stem FROM measures)"
-    " UNION ALL SELECT 'orphan_temperature_csv', '2025', '', path FROM measures WHERE stem NOT IN (SELECT stem FROM images))"
+    " UNION ALL SELECT 'orphan_temperature_csv', '2025', '', path FROM measures WHERE stem NOT IN (SELECT stem FROM images)"
+    + "".join(f" UNION ALL SELECT '{code}', '{year}', '', '{path}'" for code, year, path in _FOLDERS[1:])
+    + ")"
 )
 
 
 def _issues(spark, folder):
     images, measures = _images(spark, folder), _measures(spark, folder)
     _, flat = R.source_samples_flat(images, measures, "2024")
-    _, views = R.source_samples_views(images, measures, "2025", "正")
-    return flat.unionByName(views)
+    named = images.withColumn("view", F.when(F.col("stem").try_cast("bigint") % 13 != 0, F.col("view")))
+    _, views = R.source_samples_views(named, measures, "2025", "正")
+    absent = missing_folders(spark, [(code, year, f"{folder}/{path}") for code, year, path in _FOLDERS])
+    absent = absent.withColumn("path", F.substr("path", F.lit(len(folder) + 2)))
+    return flat.unionByName(views).unionByName(absent)
 
 
 @query("issue_log", f"{_LOGGED_SQL} SELECT code, year, entity_id, path FROM logged")
@@ -259,8 +276,8 @@ def entity_summary(spark, folder):
     " HAVING count(*) > 0",
 )
 def quality_distributions(spark, folder):
-    resolved = _resolved(spark, folder)
-    included = _included(spark, folder)
+    resolved = materialise(_resolved(spark, folder), "resolved")
+    included = R.matched_rows(resolved).withColumn("source_id", norm_id(F.col("raw_id")))
     return R.quality_distributions(included, R.excluded_rows(resolved), R.entity_summary(included, _YEARS), _YEARS)
 
 
@@ -318,17 +335,30 @@ def merge_sources(spark, folder):
     "build_counters",
     with_(*RESOLVED)
     + _MERGE_SQL
-    + f", {_IMAGES_SQL}"
-    " SELECT 'included_samples' AS counter, (SELECT count(*) FROM resolved WHERE entity_id IS NOT NULL) AS n"
+    + _LOGGED_SQL.replace("WITH ", ", ", 1)
+    + ", chosen AS (SELECT DISTINCT norm_id AS entity_id FROM tried)"
+    " SELECT 'selected_samples' AS counter, (SELECT count(*) FROM resolved) AS n"
+    " UNION ALL SELECT 'included_samples', (SELECT count(*) FROM resolved WHERE entity_id IS NOT NULL)"
     " UNION ALL SELECT 'excluded_samples', (SELECT count(*) FROM resolved WHERE entity_id IS NULL)"
+    " UNION ALL SELECT 'selected_entities', (SELECT count(*) FROM chosen)"
+    " UNION ALL SELECT 'registry_rows', (SELECT count(*) FROM reg_a)"
+    " UNION ALL SELECT 'selected_missing_registry', (SELECT count(*) FROM chosen WHERE entity_id NOT IN (SELECT entity_id FROM reg_a))"
+    " UNION ALL SELECT 'registry_missing_sample', (SELECT count(*) FROM reg_a WHERE entity_id NOT IN (SELECT entity_id FROM chosen))"
     " UNION ALL SELECT 'included_entities', (SELECT count(*) FROM merged)"
     " UNION ALL SELECT 'with_basic_data', (SELECT count(*) FROM merged WHERE has_basic_data)"
-    " UNION ALL SELECT 'source_issues', (SELECT count(*) FROM measures WHERE stem NOT IN (SELECT stem FROM images))",
+    " UNION ALL SELECT 'source_issues', (SELECT count(*) FROM logged)"
+    " UNION ALL SELECT 'copied', (SELECT count(*) FROM orders WHERE o_orderstatus <> 'F')"
+    " UNION ALL SELECT 'skipped_existing', (SELECT count(*) FROM orders WHERE o_orderstatus = 'F')",
 )
 def build_counters(spark, folder):
-    resolved = _resolved(spark, folder)
-    orphans = R.orphan_artifacts(_measures(spark, folder), _images(spark, folder))
-    return R.build_counters(R.matched_rows(resolved), R.excluded_rows(resolved), _merged(spark, folder), orphans)
+    """Every counter of a build whose finished orders had been copied by a run before."""
+    rows = V.samples(spark, folder).select("sample_id", "entity_id", "year", "status")
+    path = scratch_path(spark, "copies")
+    append_new(rows.where(F.col("status") == "F"), path, "sample_id")
+    copies = append_new(rows, path, "sample_id").first()
+    a, b = _registry_rows(spark, folder)
+    columns = (["balance"], ["segment"], ["kind"])
+    return run_counters(_resolved(spark, folder), a, b, _issues(spark, folder), columns, (copies.copied, copies.skipped))
 
 
 @query(

@@ -10,7 +10,7 @@ from cohortloom.plans import views as V
 from cohortloom.plans.rasters import BOXES
 from cohortloom.plans.registry import query, table, wide_table
 from cohortloom.plans.views import with_
-from cohortloom.session import scratch_path
+from cohortloom.session import materialise, scratch_path
 from cohortloom.sources import rasters as W
 from cohortloom.sources import tabular as T
 
@@ -172,6 +172,31 @@ def sink_raster_columnar(spark, folder):
     return first.unionByName(second).unionByName(sizes)
 
 
+@query(
+    "sink_raster_stream",
+    "WITH v AS (SELECT *, CASE WHEN label % 2 = 0 THEN 1 ELSE 2 END AS wave FROM embeddings WHERE label <> 9)"
+    " SELECT CAST(run AS INTEGER) AS run, CASE WHEN label = 8 THEN 'inconsistent row widths' ELSE 'success' END AS outcome, count(*) AS n,"
+    " CAST(sum(CASE WHEN label = 8 THEN 67 ELSE 64 END) AS BIGINT) AS n_values FROM v, range(1, 4) r(run) WHERE wave <= run GROUP BY 1, 2",
+)
+def sink_raster_stream(spark, folder):
+    """Rasters in two waves of files, read by one checkpointed stream; the third run finds nothing new."""
+    docs = _raster_documents(spark, folder, ragged=True)
+    excluded = docs.where(F.col("label") == 9)
+    source, target, checkpoint = (scratch_path(spark, f"stream-{x}") for x in ("source", "target", "checkpoint"))
+    out = None
+    for run, wave in enumerate((docs.where(F.col("label") % 2 == 0), docs.where(F.col("label") % 2 != 0), docs.limit(0)), 1):
+        wave.select("sample_id", "content").write.mode("append").json(source)
+        arrived = spark.readStream.schema("sample_id string, content string").json(source)
+        table_now = W.stream_rasters(arrived, target, checkpoint, excluded)
+        counted = table_now.groupBy(F.coalesce("error", F.lit("success")).alias("outcome")).agg(
+            F.count("*").alias("n"), F.sum(F.size(F.flatten("scan"))).cast("long").alias("n_values")
+        )
+        # Counted now: the next run adds to the same table.
+        counted = materialise(counted.select(F.lit(run).alias("run"), "outcome", "n", "n_values"), "stream-counts")
+        out = counted if out is None else out.unionByName(counted)
+    return out
+
+
 @query(
     "src_file_listing",
     "SELECT DISTINCT 'c_mktsegment=' || c_mktsegment AS entity_dir, '.csv' AS suffix, true AS has_bytes FROM customer",

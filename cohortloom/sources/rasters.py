@@ -65,19 +65,53 @@ def convert_rasters(documents: DataFrame, excluded: DataFrame, target: str) -> D
     def cached() -> DataFrame:
         return spark.read.parquet(target).select("sample_id").distinct()
 
-    wanted = documents.join(excluded.select("sample_id"), "sample_id", "left_anti")
-    todo, before, skipped = wanted, 0, 0
+    out, before, skipped = excluded.select("sample_id"), 0, 0
+    wanted = documents.select("sample_id").join(out, "sample_id", "left_anti")
     if path_exists(spark, target):
         done = cached()
         before, skipped = done.count(), wanted.join(done, "sample_id", "left_semi").count()
-        todo = wanted.join(done, "sample_id", "left_anti")
-    parse_rasters(todo)[0].write.mode("append").parquet(target)
+        out = out.unionByName(done)
+    # The texts meet the ids to leave out once, whichever reason they have.
+    parse_rasters(documents.join(out, "sample_id", "left_anti"))[0].write.mode("append").parquet(target)
     success = cached().count() - before
     failed = wanted.count() - skipped - success
     outcome = [("success", success), ("skipped", skipped), ("failed", failed)]
     return spark.createDataFrame(outcome, "outcome string, n long")
 
 
+def stream_rasters(documents: DataFrame, target: str, checkpoint: str, excluded: DataFrame | None = None) -> DataFrame:
+    """Convert the raster files that arrived since the last call; the table of all rasters converted so far.
+
+    `documents` is a streaming (sample_id, content). The checkpoint remembers which files were read, and the
+    target's log lists the files of committed batches: a call reads new files only, and a call that died is
+    taken up at its batch without a raster lost or doubled. The table has one row per raster: sample_id, scan
+    (array of scan lines) and error, so a ragged file is a row with its reason. Excluded samples are left
+    out for good; nothing of the cached rasters is joined or read.
+    """
+    if excluded is not None:
+        documents = documents.join(excluded.select("sample_id").distinct(), "sample_id", "left_anti")
+    scanned = _scanned(documents)
+    run = (
+        scanned.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True).start()
+    )
+    run.awaitTermination()
+    if not path_exists(documents.sparkSession, target):  # no file has arrived yet
+        return documents.sparkSession.createDataFrame([], scanned.schema)
+    return documents.sparkSession.read.schema(scanned.schema).parquet(target)
+
+
+def raster_stream(spark: SparkSession, path: str, files_per_batch: int = 10_000) -> DataFrame:
+    """Streaming (sample_id, content) of the CSV files under a folder; one file is one row."""
+    return (
+        spark.readStream.format("text")
+        .option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv")
+        .option("maxFilesPerTrigger", files_per_batch)
+        .load(path)
+        .select(file_stem(F.col("_metadata.file_name")).alias("sample_id"), F.col("value").alias("content"))
+    )
+
+
 def size_histogram(lines: DataFrame) -> DataFrame:
     """Number of rasters per (width, height)."""
     shape = lines.groupBy("sample_id").agg(F.max(F.size("temps")).alias("width"), F.count("*").cast("int").alias("height"))

@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from cohortloom.operators.counters import run_counters
 from cohortloom.plans import jobs as J
 from cohortloom.sources.tabular import ANNOTATION_SCHEMA, describe_paths
 
@@ -31,6 +32,22 @@ def test_dataset_build(spark):
     assert {r.entity_id: r.source_ids for r in data.summary.collect()}["QQ005"] == "QQOO5"
 
 
+def test_run_counters(spark):
+    schema = "sample_id int, raw_id string, entity_id string"
+    resolved = spark.createDataFrame([(1, "q1", "Q1"), (2, " Q1", "Q1"), (3, "QO", "Q0"), (4, "Z", None), (5, None, None)], schema)
+    a = spark.createDataFrame([("Q1", "5"), ("Q7", "6")], "entity_id string, age string")
+    issues = spark.range(3)
+    args = (a, a.limit(0), issues, (["age"], [], []), (4, 1))
+    got = {r.counter: r.n for r in run_counters(resolved, *args).collect()}
+    assert got == {
+        "selected_samples": 5, "included_samples": 3, "excluded_samples": 2, "selected_entities": 3, "registry_rows": 2,
+        "selected_missing_registry": 2, "registry_missing_sample": 1, "included_entities": 2, "with_basic_data": 1,
+        "source_issues": 3, "copied": 4, "skipped_existing": 1,
+    }
+    empty = {r.counter: r.n for r in run_counters(resolved.limit(0), a.limit(0), a.limit(0), issues.limit(0), args[3], (0, 0)).collect()}
+    assert set(empty) == set(got) and not any(empty.values())
+
+
 def test_missing_folders(spark, tmp_path):
     got = J.missing_folders(spark, [("missing_photo_dir", "2025", str(tmp_path / "no")), ("missing_year_dir", "2024", str(tmp_path))])
     assert [(r.code, r.year) for r in got.collect()] == [("missing_photo_dir", "2025")]

@@ -1,5 +1,9 @@
 import json
+import shutil
+import time
 
+import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from cohortloom.sources import rasters as W
@@ -63,6 +67,38 @@ def test_rasters_from_files(spark, tmp_path):
     assert [tuple(r) for r in W.size_histogram(spark.read.parquet(target)).collect()] == [(2, 2, 1)]
 
 
+def test_raster_stream_takes_new_files_and_survives_a_lost_run(spark, tmp_path):
+    head = "rule,max\nr,1\n\n,1,2,\n"
+    files, target, checkpoint = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "log")
+    files.mkdir()
+
+    def put(name, body):
+        (files / f"{name}.csv").write_text(head + body, encoding="utf-8")
+
+    def convert(fail=None):
+        docs = W.raster_stream(spark, str(files), files_per_batch=1)
+        if fail:
+            broken = F.raise_error(F.lit("lost")).cast("string")
+            docs = docs.withColumn("content", F.when(F.col("sample_id") == fail, broken).otherwise(F.col("content")))
+        out = W.stream_rasters(docs, target, checkpoint, spark.createDataFrame([("x",)], "sample_id string"))
+        return sorted((r.sample_id, r.error, r.scan) for r in out.collect())
+
+    assert convert() == []
+    put("a", "1,1,2,\n2,3,4,\n")
+    put("x", "1,9,\n")
+    assert convert() == [("a", None, [[1.0, 2.0], [3.0, 4.0]])]
+    put("b", "1,5,6,\n2,7,\n")
+    time.sleep(1.1)  # files are taken in the order of their times
+    put("c", "1,8,\n")
+    with pytest.raises(StreamingQueryException):
+        convert(fail="c")
+    # What a lost task leaves behind is not in the log.
+    stray = next(f for f in (tmp_path / "out").glob("*.parquet"))
+    shutil.copy(stray, stray.with_name("part-99999-stray.parquet"))
+    want = [("a", None, [[1.0, 2.0], [3.0, 4.0]]), ("b", "inconsistent row widths", [[5.0, 6.0], [7.0]]), ("c", None, [[8.0]])]
+    assert convert() == want and convert() == want
+
+
 def test_listing(spark, tmp_path):
     (tmp_path / "d").mkdir()
     for name in ("a.JPG", "b.csv", "c.txt"):
