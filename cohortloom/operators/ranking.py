@@ -1,8 +1,9 @@
 """Exact ranks, running sums and quantiles that never put one whole group into one task.
 
 A plain `rank() over (partition by feature order by value)` sorts all rows of a feature in one task.
-Here every group is first reduced to its distinct values, then cut into ordered buckets whose totals
-fit a small window; ranks inside a bucket are shifted by the total of the buckets before it.
+Here groups are first reduced to their distinct values; these are range-partitioned by group and value
+over sampled splitters, totals per range fit a small window, and ranks inside a range are shifted by the
+total of the ranges before it.
 """
 
 from __future__ import annotations
@@ -12,47 +13,18 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_BUCKETS_PER_OCTAVE = 1024
-#: Distinct values from which a bucket is cut again, into as many even steps between its ends.
-CROWDED = 65_536
+from cohortloom.session import materialise
 
 
-def magnitude_bucket(value: Column) -> Column:
-    """Order-preserving bucket number of a double: its power of two and 1024 steps inside it.
+def ordered_ranges(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """`df` with `_range`, the number of its range of (keys, value): larger values never have a smaller one.
 
-    A group has at most ~2,100 octaves x 1024 x 2 signs buckets, whatever its row count. Rounding in
-    log2 next to a power of two moves a value across neighbouring formulas that give the same number.
+    Spark samples the splitters, so ranges are even however the values crowd, and a group is as many
+    ranges as its share of the rows. Another run would sample others: the table is written with the
+    numbers, and all later steps read that.
     """
-    size = F.abs(value)
-    octave = F.floor(F.log2(size))
-    step = F.floor((size / F.pow(F.lit(2.0), octave) - 1.0) * _BUCKETS_PER_OCTAVE)
-    bucket = (octave + 1100) * _BUCKETS_PER_OCTAVE + step
-    big = F.lit(2**40)
-    return (
-        F.when(value == 0, F.lit(0))
-        .when(value == float("inf"), big)
-        .when(value == float("-inf"), -big)
-        .when(value > 0, bucket)
-        .otherwise(-bucket)
-        .cast("long")
-    )
-
-
-def ordered_buckets(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """`df` with `_bucket` and `_step`: ordered cells of a group's values, none of which is crowded.
-
-    Values with a large common offset (seconds since an epoch, ids) share one magnitude bucket. Such a
-    bucket is cut evenly between its smallest and largest value. Few buckets are crowded (at most one per
-    CROWDED rows); where none is, the join meets an empty side.
-    """
-    at = [*keys, "_bucket"]
-    # coalesce makes the bucket non-nullable: otherwise the join adds a null filter on one side only and
-    # the two reads of the counts no longer share one exchange.
-    cut = df.withColumn("_bucket", F.coalesce(magnitude_bucket(F.col(value)), F.lit(0)))
-    crowds = cut.groupBy(*at).agg(F.count("*").alias("_n"), F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-    crowds = crowds.where((F.col("_n") > CROWDED) & (F.col("_lo") < F.col("_hi"))).drop("_n")
-    place = F.floor((F.col(value) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * CROWDED)
-    return cut.join(crowds, at, "left").withColumn("_step", F.coalesce(place, F.lit(0))).drop("_lo", "_hi")
+    ranged = df.repartitionByRange(*keys, value).withColumn("_range", F.spark_partition_id())
+    return materialise(ranged, "ranges")
 
 
 def running_totals(df: DataFrame, keys: Sequence[str], value: str, counts: Sequence[str]) -> DataFrame:
@@ -61,11 +33,11 @@ def running_totals(df: DataFrame, keys: Sequence[str], value: str, counts: Seque
     `df` must hold one row per (keys, value); values must be non-NULL doubles.
     """
     keys = list(keys)
-    cells = [*keys, "_bucket", "_step"]
-    cut = ordered_buckets(df, keys, value)
+    cells = [*keys, "_range"]
+    cut = ordered_ranges(df, keys, value)
     totals = cut.groupBy(*cells).agg(*[F.sum(c).alias(c) for c in counts])
-    # Windows over bucket totals: bounded by the number of buckets, not by rows.
-    before = Window.partitionBy(*keys).orderBy("_bucket", "_step").rowsBetween(Window.unboundedPreceding, -1)
+    # Windows over range totals: bounded by the number of ranges, not by rows.
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*keys)
     offsets = totals.select(
         *cells,

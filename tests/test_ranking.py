@@ -2,21 +2,24 @@ import hashlib
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from cohortloom.operators import ranking
-from cohortloom.operators.ranking import average_ranks, exact_quantiles, hash_ordinals, magnitude_bucket
+from cohortloom.operators.ranking import average_ranks, exact_quantiles, hash_ordinals, ordered_ranges, running_totals
 
 
-def test_bucket_keeps_the_order(spark):
+def test_ranges_keep_the_order(spark):
     rng = random.Random(5)
-    values = [0.0, -0.0, float("inf"), float("-inf"), 5e-324, 1.7e308, 1.0, np.nextafter(1.0, 0), np.nextafter(1.0, 2)]
+    values = [0.0, float("inf"), float("-inf"), 5e-324, 1.7e308, 1.0, np.nextafter(1.0, 0), np.nextafter(1.0, 2)]
     for p in range(-60, 60):
         values += [2.0**p, np.nextafter(2.0**p, 0), -(2.0**p)]
     values += [rng.uniform(-1, 1) * 10 ** rng.randint(-12, 12) for _ in range(500)]
-    df = spark.createDataFrame([(float(v),) for v in values], "v double")
-    rows = sorted((r.v, r.b) for r in df.select("v", magnitude_bucket(F.col("v")).alias("b")).collect())
-    assert all(x[1] <= y[1] for x, y in zip(rows, rows[1:]))
+    values = sorted({float(v) for v in values})
+    df = spark.createDataFrame([(v, 1) for v in values], "v double, n long")
+    cells = sorted((r["v"], r["_range"]) for r in ordered_ranges(df, [], "v").collect())
+    assert all(x[1] <= y[1] for x, y in zip(cells, cells[1:]))
+    found = sorted((r["v"], r["n_below"], r["n_total"]) for r in running_totals(df, [], "v", ["n"]).collect())
+    assert found == [(v, i, len(values)) for i, v in enumerate(values)]
 
 
 def test_quantiles_with_one_group_holding_most_rows(spark):
@@ -43,10 +46,32 @@ def test_hash_ordinals_are_the_global_order(spark):
     assert got == {i: p for p, i in enumerate(order)}
 
 
-def test_a_large_common_offset_is_cut_again(spark, monkeypatch):
-    monkeypatch.setattr(ranking, "CROWDED", 50)
-    rows = spark.range(4000).select(F.lit("g").alias("k"), (1.7e9 + F.col("id") * 7 % 4001).cast("double").alias("v"), F.lit(1).cast("long").alias("n"))
-    cells = ranking.ordered_buckets(rows, ["k"], "v").groupBy("_bucket", "_step").count().agg(F.max("count"), F.count("*")).first()
-    assert cells[0] <= 2 * 4001 / 50 and cells[1] >= 50
-    found = [(r["v"], r["n_below"]) for r in ranking.running_totals(rows, ["k"], "v", ["n"]).collect()]
+@pytest.mark.parametrize("step", [7.0, 1e-9], ids=["common offset", "nested cluster"])
+def test_crowded_values_spread_over_ranges(spark, step):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        base = F.when(F.col("id") % 100 == 0, F.col("id") * 1e6).otherwise(1.0 + F.col("id") * step / 4000)
+        rows = spark.range(4000).select(F.lit("g").alias("k"), base.cast("double").alias("v"), F.lit(1).cast("long").alias("n"))
+        sizes = [r["count"] for r in ordered_ranges(rows, ["k"], "v").groupBy("_range").count().collect()]
+        found = [(r["v"], r["n_below"]) for r in running_totals(rows, ["k"], "v", ["n"]).collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(sizes) > 1 and max(sizes) <= 2 * 4000 / len(sizes)
     assert [b for _, b in sorted(found)] == list(range(4000))
+
+
+def test_one_hot_group_among_small_ones(spark):
+    key = F.when(F.col("id") % 3 > 0, "hot").otherwise(F.concat(F.lit("k"), (F.col("id") % 50).cast("string")))
+    rows = spark.range(6000).select(key.alias("k"), (-F.col("id")).cast("double").alias("v"), F.lit(2).cast("long").alias("n"))
+    of_key = {}
+    for r in rows.collect():
+        of_key.setdefault(r["k"], []).append(r["v"])
+    want = {(k, v): (2 * i, 2 * len(vs)) for k, vs in of_key.items() for i, v in enumerate(sorted(vs))}
+    found = {(r["k"], r["v"]): (r["n_below"], r["n_total"]) for r in running_totals(rows, ["k"], "v", ["n"]).collect()}
+    assert found == want
+
+
+def test_ranks_of_an_empty_table(spark):
+    empty = spark.createDataFrame([], "k string, v double")
+    assert average_ranks(empty, ["k"], "v").collect() == []
+    assert exact_quantiles(empty, ["k"], "v", {"m": 0.5}).collect() == []
