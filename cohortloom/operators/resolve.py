@@ -130,30 +130,57 @@ def match_unique_name(samples: DataFrame, names: DataFrame, known: DataFrame) ->
     return keyed.join(named, "_key", "left").drop("_key")
 
 
-def resolve_identity(samples: DataFrame, known: DataFrame, names: DataFrame) -> DataFrame:
-    """Canonical id per sample by id, then corrected id, then unique name; NULL when none applies.
+def identity_lookup(known: DataFrame, names: DataFrame) -> DataFrame:
+    """One table of all keys a sample may carry: ids, and unique names marked by `_named`.
 
-    All three lookups are left equi-joins on one plan; the first that hits wins.
+    A name brings its id and that id's availability, so nothing is looked up after the match.
     """
-    tried = match_unique_name(match_ocr(match_id(samples, known), known), names, known)
-    by_id, by_ocr, by_name = (
-        F.coalesce(F.col("id_hit"), F.lit(False)),
-        F.coalesce(F.col("ocr_hit"), F.lit(False)),
-        F.col("name_id").isNotNull(),
+    ids = known.select(F.lit(False).alias("_named"), F.col("entity_id").alias("_key"), "entity_id", "in_a", "in_b")
+    named = names.join(known, "entity_id", "left").select(
+        F.lit(True).alias("_named"), F.col("name").alias("_key"), "entity_id", "in_a", "in_b"
     )
+    found = ids.unionByName(named).select("_named", "_key", F.struct("entity_id", "in_a", "in_b").alias("_found"))
+    return found.where(F.col("_key").isNotNull())
 
-    def first(a: str, b: str, c: str) -> Column:
-        return F.when(by_id, F.col(a)).when(by_ocr, F.col(b)).when(by_name, F.col(c))
 
-    return tried.select(
+def resolve_identity(samples: DataFrame, known: DataFrame, names: DataFrame) -> DataFrame:
+    """Canonical id per sample by id, then corrected id, then unique name; NULL when none applies.
+
+    A sample sends one row per key it has (always its id, the corrected id where that differs, a name that is
+    not empty); these meet the lookup in one equi-join, and of the keys that hit the first wins by `min_by`.
+    A hot id or name is split by the adaptive skew join, as is any large partition. Rows are put together
+    again by all their columns (no map columns); repeated rows stay, by the number of ids sent.
+    """
+    norm = norm_id(F.col("raw_id"))
+    fixed = digits_for_lookalikes(norm)
+    name = F.col("candidate_name")
+
+    def sent(rank: int, key: Column) -> Column:
+        return F.struct(F.lit(rank).alias("rank"), key.alias("key"))
+
+    keys = F.array(sent(0, norm), F.when(fixed != norm, sent(1, fixed)), F.when(name != "", sent(2, name)))
+    rows = samples.select(*samples.columns, F.explode(F.array_compact(keys)).alias("_sent"))
+    rows = rows.select(
+        *samples.columns, F.col("_sent.rank").alias("_rank"), (F.col("_sent.rank") == 2).alias("_named"),
+        _spread_key(F.col("_sent.key"), samples.columns).alias("_key"),
+    )
+    met = rows.join(identity_lookup(known, names), ["_named", "_key"], "left")
+    rank = F.when(F.col("_found.entity_id").isNotNull(), F.col("_rank"))
+    best = met.groupBy(*samples.columns).agg(
+        F.count_if(F.col("_rank") == 0).alias("_copies"), F.min(rank).alias("_best"), F.min_by("_found", rank).alias("_found")
+    )
+    by_name = F.col("_best") == 2
+    resolved = best.select(
         *samples.columns,
-        first("norm_id", "ocr_id", "name_id").alias("entity_id"),
-        F.when(by_id | by_ocr, "patient_id").when(by_name, "name").alias("matched_by"),
-        F.when(by_id | by_ocr | ~by_name, "").otherwise(F.col("candidate_name")).alias("matched_name"),
-        F.coalesce(first("id_in_a", "ocr_in_a", "name_in_a"), F.lit(False)).alias("in_a"),
-        F.coalesce(first("id_in_b", "ocr_in_b", "name_in_b"), F.lit(False)).alias("in_b"),
-        F.when(~by_id & by_ocr, F.concat(F.lit("normalized_from:"), "norm_id")).otherwise("").alias("notes"),
+        "_copies",
+        F.col("_found.entity_id").alias("entity_id"),
+        F.when(by_name, "name").when(F.col("_best") < 2, "patient_id").alias("matched_by"),
+        F.when(by_name, name).otherwise("").alias("matched_name"),
+        F.coalesce("_found.in_a", F.lit(False)).alias("in_a"),
+        F.coalesce("_found.in_b", F.lit(False)).alias("in_b"),
+        F.when(F.col("_best") == 1, F.concat(F.lit("normalized_from:"), norm)).otherwise("").alias("notes"),
     )
+    return resolved.withColumn("_copies", F.explode(F.sequence(F.lit(1), F.col("_copies")))).drop("_copies")
 
 
 def matched_rows(resolved: DataFrame) -> DataFrame:

@@ -30,6 +30,24 @@ def test_three_step_resolution(spark, known):
     assert R.excluded_rows(resolved).count() == 2
 
 
+def test_resolution_is_one_pass_and_keeps_repeated_rows(spark, known):
+    names = spark.createDataFrame([("甲乙", "QQ007"), ("戊", "QQ999")], "name string, entity_id string")
+    rows = [(1, "QQ006", "甲乙"), (1, "QQ006", "甲乙"), (2, None, None), (2, None, None), (2, None, None),
+            (3, "QQOO5", "甲乙"), (4, None, "戊"), (5, "", "")]
+    samples = spark.createDataFrame(rows, "sample_id int, raw_id string, candidate_name string")
+    resolved = R.resolve_identity(samples, known, names)
+    got = sorted(((r.sample_id, r.entity_id, r.matched_by, r.matched_name, r.in_a, r.in_b) for r in resolved.collect()), key=str)
+    assert got == [
+        (1, "QQ006", "patient_id", "", True, True), (1, "QQ006", "patient_id", "", True, True),
+        *[(2, None, None, "", False, False)] * 3,
+        (3, "QQ005", "patient_id", "", True, False), (4, "QQ999", "name", "戊", False, False), (5, None, None, "", False, False),
+    ]
+    assert R.resolve_identity(samples.limit(0), known, names).collect() == []
+    # The lookup's own join of names and ids, and one join of the samples with it.
+    plan = resolved._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 2
+
+
 def test_sources_to_samples_and_issues(spark):
     images = spark.createDataFrame(
         [("A", "A1", "/A/A1.jpg", 1), ("A", "A-1", "/A/A-1.jpg", 1), ("B", "B2", "/B/B2.jpg", 2), ("C", "C1", "/C/C1.jpg", 1)],
