@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression
+from pyspark.ml.classification import DecisionTreeClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -19,7 +19,7 @@ from cohortloom.operators.evaluate import (
     threshold_grid,
     threshold_observed,
 )
-from cohortloom.operators.models import Fitted, MAX_ITERATIONS, ModelConfig, fit_model, params_text, predict_prob, whole_fit
+from cohortloom.operators.models import DetachedLogistic, Fitted, MAX_ITERATIONS, ModelConfig, fit_model, params_text, predict_prob, whole_fit
 from cohortloom.operators.split import stratified_group_folds
 from cohortloom.operators.weights import class_weights
 from cohortloom.session import materialise
@@ -152,7 +152,7 @@ def fit_stack(val: DataFrame, probs: Sequence[str], kind: str = "logistic", labe
     rows = rows.withColumn("weight", F.when(F.col(label) == 1, cw.weight_pos).otherwise(cw.weight_neg))
     # Balanced weights add up to the row count, so C = 1 is a penalty of 1 / rows.
     n = max(cw.n_neg + cw.n_pos, 1)
-    lr = LogisticRegression(maxIter=MAX_ITERATIONS, regParam=1.0 / n, standardization=False, labelCol=label, weightCol="weight")
+    lr = DetachedLogistic(maxIter=MAX_ITERATIONS, regParam=1.0 / n, standardization=False, labelCol=label, weightCol="weight")
     return whole_fit(Pipeline(stages=[assembler, lr]).fit(rows))
 
 

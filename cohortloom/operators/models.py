@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from cohortloom.operators.split import percentile_choice, train_medians, train_moments
 from cohortloom.operators.weights import balanced_label_weights, severity_weights
+from cohortloom.session import scratch_path
 
 #: Deepest tree that the engine grows; `None` in a grid means this, and a tree that gets there is an error.
 _TREE_DEPTH_LIMIT = 30
@@ -97,6 +98,31 @@ class AnovaPercentile(Estimator):
         return VectorSlicer(inputCol=self.inputs, outputCol=self.output, indices=keep)
 
 
+class _Detached:
+    """Estimator whose model is written and read back, which leaves its training summary behind.
+
+    A summary holds the session, and a model is part of every scoring task: what the session has gathered in a long
+    process would have to be serializable. The number of iterations is kept as `iterations`.
+    """
+
+    def _fit(self, df: DataFrame):
+        model = super()._fit(df)
+        iterations = model.summary.totalIterations if model.hasSummary and isinstance(model, LogisticRegressionModel) else None
+        path = scratch_path(df.sparkSession, "classifier")
+        model.write().save(path)
+        bare = type(model).load(path)
+        bare.iterations = iterations
+        return bare
+
+
+class DetachedLogistic(_Detached, LogisticRegression):
+    pass
+
+
+class DetachedForest(_Detached, RandomForestClassifier):
+    pass
+
+
 @dataclass
 class ModelConfig:
     """One model of a comparison. `grid` maps parameter names to values; `C` means inverse L2 strength."""
@@ -146,9 +172,9 @@ def _classifier(kind: str, label: str, weight: str | None, seed: int):
     if weight:
         common["weightCol"] = weight
     if kind == "logistic":
-        return LogisticRegression(maxIter=MAX_ITERATIONS, standardization=False, elasticNetParam=0.0, **common)
+        return DetachedLogistic(maxIter=MAX_ITERATIONS, standardization=False, elasticNetParam=0.0, **common)
     if kind == "forest":
-        return RandomForestClassifier(numTrees=100, maxDepth=10, seed=seed, **common)
+        return DetachedForest(numTrees=100, maxDepth=10, seed=seed, **common)
     if kind == "boosting":
         return GBTClassifier(maxIter=100, stepSize=0.1, maxDepth=3, seed=seed, **common)
     if kind == "tree":
@@ -200,7 +226,7 @@ def with_training_weight(
 def whole_fit(model: PipelineModel) -> PipelineModel:
     """The fitted pipeline, once its classifier is known to have stopped by itself and not at a limit."""
     last = model.stages[-1]
-    if isinstance(last, LogisticRegressionModel) and last.hasSummary and last.summary.totalIterations >= MAX_ITERATIONS:
+    if isinstance(last, LogisticRegressionModel) and (last.iterations or 0) >= MAX_ITERATIONS:
         raise ArithmeticError(f"no convergence in {MAX_ITERATIONS} iterations")
     if isinstance(last, RandomForestClassificationModel) and last.getMaxDepth() == _TREE_DEPTH_LIMIT:
         if max(t.depth for t in last.trees) == _TREE_DEPTH_LIMIT:

@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from cohortloom.functions.distributions import chi2_tail, incomplete_beta
@@ -147,6 +148,18 @@ def test_search_and_comparison(spark):
         M.fit_model(tree, df, ("a",), "severity_weighted")
 
 
+def test_models_score_in_a_session_that_was_observed(spark):
+    # An observation puts a part into the session that cannot be serialized; a model must not carry the session.
+    seen = Observation("seen")
+    spark.range(5).observe(seen, F.count("*").alias("n")).collect()
+    assert seen.get == {"n": 5}
+    df = spark.range(200).selectExpr("id", "cast(id % 5 < 2 as int) label", "cast(id % 7 + id % 5 as double) a", "0 severity", "if(id % 2 = 0, 'val', 'test') split")
+    for config in (M.ModelConfig("lr", "logistic", select=False), M.ModelConfig("rf", "forest", defaults={"numTrees": 3}, scale=False, select=False)):
+        model = M.fit_model(config, df, ["a"], search=False).model
+        assert not model.stages[-1].hasSummary and M.predict_prob(model, df).where("prob between 0 and 1").count() == 200
+    assert C.stack_metrics(df.withColumn("p", F.col("a") / 20), ["p"], "logistic").first()["test_auc_roc"] > 0.5
+
+
 def test_leaderboard(spark):
     runs = spark.createDataFrame([("r1", "x", 0.70, 0.60), ("r2", "x", 0.75, 0.58), ("r3", "y", 0.72, 0.66)], "run string, family string, auc double, f1 double")
     assert [r.run for r in C.leaderboard(runs, "auc", "run", 2).collect()] == ["r2", "r3"]
