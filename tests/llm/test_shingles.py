@@ -88,3 +88,29 @@ def test_large_buckets_are_not_paired(spark, docs_of, monkeypatch):
     want = heads(rows)
     assert len(got ^ want) <= 2 and not got & {200 + k for k in range(20)}
     assert sum(seen) < len(rows) * S.FINE_BANDS and len(seen) == 3 + S.ROUNDS
+
+
+def test_covering_tables_alone_propose_links(spark, docs_of):
+    import numpy as np
+
+    from cohortloom.llm.covering import fingerprint
+    from cohortloom.session import ship_package
+
+    ship_package(spark)
+    r = random.Random(5)
+    base = [[f"w{r.randint(0, 5000)}" for _ in range(400)] for _ in range(6)]
+    rows = [(k, " ".join(b)) for k, b in enumerate(base)] + [(10 + k, " ".join(b + ["more"])) for k, b in enumerate(base)]
+    close = {k for k in range(6) if (fingerprint(rows[k][1]) ^ fingerprint(rows[6 + k][1])).bit_count() <= S.RADIUS}
+    assert close
+    docs = docs_of(rows).selectExpr("doc_id id", "text")
+    signed = S.signatures(docs).selectExpr("id", "node", "size", f"slice(bands, {S.BANDS + 1}, 1000) bands")
+    assert {len(x["bands"]) for x in signed.collect()} == {2 ** (S.RADIUS + 1) - 1}
+    ids = {x["node"]: x["id"] for x in signed.collect()}
+    found = {min(ids[x["a"]], ids[x["b"]]) for x in S.links(signed, docs).collect()}
+    assert close <= found
+    # Two prints within the radius share a table, whatever bits differ.
+    for _ in range(200):
+        p = r.getrandbits(64)
+        q = p ^ sum(1 << k for k in r.sample(range(64), S.RADIUS))
+        keys = S.table_buckets([x - 2**64 if x >> 63 else x for x in (p, q)])
+        assert (keys[0] == keys[1]).any() and len(np.unique(keys[0])) == 31
