@@ -112,6 +112,13 @@ def test_knn_matches_brute_force_across_tiles(spark, monkeypatch):
     assert N.knn_vote(q, t.limit(0), 5).count() == 0 and N.knn_vote(q.limit(0), t, 5).count() == 0
 
 
+def test_tiles_are_not_broadcast_through_the_driver(spark):
+    rows = spark.range(50).selectExpr("id train_id", "array(cast(id as double), 1D) vec", "cast(id % 2 as double) label")
+    found = N.nearest_rows(rows.selectExpr("train_id query_id", "vec"), rows, 3)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_pairs_with_and_without_gaps(spark):
     rng = np.random.default_rng(3)
     x = rng.integers(0, 9, (200, 5)).astype(float)
