@@ -50,6 +50,35 @@ def test_norm_text_and_profile(spark):
     assert empty.norm_char_count == 0 and empty.unique_char_ratio is None and empty.chars_per_second is None
 
 
+ODD = [
+    "", None, " ", "啊啊嗯 hello,, World！！aa\u3000bb\u00a0c", "a" * 700, "😀😀a😀a", "\x1c\x85x\u2028y", "Ａａ１ éé àà __ 99", "\n\na\nb", "呃哦。" * 400, "zz一一Z", "{[`@^~",
+] + [f"t{k}" for k in range(600)]
+
+
+def test_profile_and_kept_text_equal_the_expressions(spark):
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(ODD)], "k int, t string").repartition(2)
+    raw, body = F.coalesce("t", F.lit("")), X.norm_text(F.col("t"))
+    size = F.length(body).cast("double")
+    want = {
+        "norm_char_count": size, "unique_char_count": F.when(size > 0, F.size(F.array_distinct(F.split(body, "")))).otherwise(0).cast("double"),
+        "token_count": F.size(F.filter(F.split(raw, f"[{X.PUNCTUATION}{X._BLANK_CLASS}]+"), lambda x: x != "")).cast("double"),
+        "filler_count": size - F.length(F.translate(body, X.FILLERS, "")), "repeat_count": size - F.length(F.regexp_replace(body, r"(.)(?=\1)", "")),
+    }
+    cols = X.text_profile(F.col("t"), F.lit(1), F.lit(1.0))
+    differ = [~cols[n].eqNullSafe(w) for n, w in want.items()] + [~X._kept_text(raw).eqNullSafe(body)]
+    profile = df.select(*[c.alias(n) for n, c in cols.items()])
+    assert "regexp_replace" not in profile._jdf.queryExecution().optimizedPlan().toString()
+    assert df.select("*", F.array(*differ).alias("d")).where(F.array_contains("d", True)).collect() == []
+
+
+def test_distance_of_texts_without_a_common_character(spark):
+    prompt = "啊。阿姨。一二三"
+    df = spark.createDataFrame([("",), ("xyz" * 9,), ("xy一z",), (None,), ("三二一",), ("a",)], "t string")
+    cols = X.reference_deviation(F.col("t"), F.lit(prompt))
+    plain = F.levenshtein(X.norm_text(F.col("t")), X.norm_text(F.lit(prompt))).cast("double")
+    assert df.select((cols["edit_distance"] == plain).alias("same")).where("same").count() == 6
+
+
 def test_coerce_and_prefer(spark):
     texts = ["1.5", " 2 ", "missing", "", "1d", "nan", "0x1p3", "1e3"]
     assert [one(spark, coerce_numeric(F.col("t")), t=t) for t in texts] == [1.5, 2.0, None, None, None, None, None, 1000.0]
