@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cohortloom.functions.numeric import blend, logit, sigmoid
 from cohortloom.operators.ranking import running_totals
 from cohortloom.operators.scoring import auc_from_counts
+from cohortloom.session import materialise
 
 FUSION_STRATEGIES = ("prob_mean", "prob_max", "logit_mean", "year_weighted_mean")
 # 33 even thresholds from .1 to .9, and eleven blend weights.
@@ -161,17 +162,23 @@ def threshold_grid(
 def alpha_search(
     df: DataFrame, label: str, prob_a: str, prob_b: str, grid: Sequence[float] = ALPHA_GRID
 ) -> DataFrame:
-    """AUC of the blend for every weight; rows are reduced to class counts per pair of scores before the weights multiply them."""
-    at = F.explode(F.array(*[F.struct(F.lit(i).alias("pos_in_grid"), F.lit(float(a)).alias("alpha")) for i, a in enumerate(grid)]))
+    """AUC of the blend for every weight, over class counts per pair of scores.
+
+    The counts are written once and each weight ranks them by itself: a task holds its share of one weight's rows, not
+    of all weights'.
+    """
     pairs = df.groupBy(prob_a, prob_b).agg(
         F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg")
     )
-    blended = pairs.select("*", at.alias("g")).select(
-        "pos", "neg", "g.*", blend(F.col(prob_a), F.col(prob_b), F.col("g.alpha")).cast("double").alias("score")
-    )
-    keys = ["pos_in_grid", "alpha"]
-    counts = blended.groupBy(*keys, "score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    return auc_from_counts(counts, keys, "score").select("pos_in_grid", "alpha", "auc")
+    pairs = materialise(pairs, "score-pairs")
+    found = None
+    for i, a in enumerate(grid):
+        at = [F.lit(i).alias("pos_in_grid"), F.lit(float(a)).alias("alpha")]
+        score = blend(F.col(prob_a), F.col(prob_b), F.lit(float(a))).cast("double").alias("score")
+        counts = pairs.select(score, "pos", "neg").groupBy("score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+        one = materialise(auc_from_counts(counts, [], "score").select(*at, "auc"), "alpha")
+        found = one if found is None else found.unionByName(one)
+    return found
 
 
 def best_alpha(search: DataFrame) -> DataFrame:

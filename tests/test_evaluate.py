@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from cohortloom.functions.numeric import blend
 from cohortloom.operators import evaluate as E
+from cohortloom.operators import ranking
 
 
 @pytest.fixture(scope="module")
@@ -91,6 +92,24 @@ def test_perfect_and_single_class(spark):
     assert E.roc_auc(df.where("label = 1"), "label", "prob").first().auc is None
 
 
+def test_alpha_search_ranks_one_weight_at_a_time(spark, monkeypatch):
+    written, write = [], ranking.materialise
+
+    def seen(df, label):
+        out = write(df, label)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(ranking, "materialise", seen)
+    df = spark.range(60).selectExpr("cast(id % 3 = 0 as int) label", "(id * 7 % 60) / 60 a", "(id * 11 % 60) / 60 b")
+    rows = sorted(E.alpha_search(df, "label", "a", "b").collect())
+    assert [r.alpha for r in rows] == list(E.ALPHA_GRID) and max(written) <= 60
+    for r in rows:
+        pairs = [(x.label, r.alpha * x.a + (1.0 - r.alpha) * x.b) for x in df.collect()]
+        won = [(p > q) + (p == q) / 2 for y, p in pairs if y for z, q in pairs if not z]
+        assert abs(r.auc - sum(won) / len(won)) < 1e-12
+
+
 def test_alpha_search_takes_the_first_best(spark):
     rows = [(0, 0.1, 0.9), (0, 0.2, 0.8), (1, 0.8, 0.3), (1, 0.9, 0.1)]
     df = spark.createDataFrame(rows, "label int, a double, b double")
