@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 
 from cohortloom.functions.numeric import prefer
 from cohortloom.functions.text import digits_for_lookalikes, norm_id, norm_name, strip
+from cohortloom.session import materialise
+
+#: Rows of the issue log that one task groups, on average.
+ISSUE_ROWS = 500_000
 
 NO_MATCH = ("no_patient_info_match", "neither the id nor a unique name is in a registry")
 # The issue codes. What they mean is said in this package's words.
@@ -219,11 +223,20 @@ def issue_counts(issues: DataFrame) -> DataFrame:
 def issues_per_entity(issues: DataFrame) -> DataFrame:
     """Issues per year, entity and code with the first and the last of their paths.
 
-    The paths themselves stay rows of the log: an entity may have any number of them.
+    The paths themselves stay rows of the log: an entity may have any number of them. Text minima are found by sorting,
+    so the log is written and dealt into tasks of about ISSUE_ROWS rows by its count, a large group in as many shares.
     """
-    return issues.groupBy("year", "entity_id", "code").agg(
+    keys = ["year", "entity_id", "code"]
+    rows = materialise(issues.select(*keys, "path"), "issues")
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // ISSUE_ROWS))
+    share = F.pmod(F.xxhash64("path"), F.lit(parts)).alias("_share")
+    dealt = rows.select("*", share).repartition(parts, *keys, "_share")
+    some = dealt.groupBy(*keys, "_share").agg(
         F.count("*").alias("n"), F.min("path").alias("first_path"), F.max("path").alias("last_path")
     )
+    return some.repartition(parts, *keys).groupBy(*keys).agg(
+        F.sum("n").alias("n"), F.min("first_path").alias("first_path"), F.max("last_path").alias("last_path")
+    )
 
 
 def first_in_sorted(images: DataFrame, entity: str = "entity_id", path: str = "path") -> DataFrame:

@@ -74,6 +74,16 @@ def test_views_gate_and_orphans(spark):
     ]
 
 
+def test_issues_of_a_large_group_are_dealt_by_their_count(spark, monkeypatch):
+    monkeypatch.setattr(R, "ISSUE_ROWS", 10)
+    log = spark.range(400).selectExpr("'2024' year", "if(id < 300, '', string(id % 7)) entity_id", "'c' code", "concat('/', id) path")
+    found = R.issues_per_entity(log)
+    assert "_share" in found._jdf.queryExecution().optimizedPlan().toString()
+    assert "_share#" in str(found._jdf.queryExecution().executedPlan()) and ", 40)" in str(found._jdf.queryExecution().executedPlan())
+    plain = log.groupBy("year", "entity_id", "code").agg(F.count("*").alias("n"), F.min("path").alias("first_path"), F.max("path").alias("last_path"))
+    assert sorted(found.collect()) == sorted(plain.collect()) and found.dtypes == plain.dtypes
+
+
 def test_merge_prefers_primary_and_lists_sources(spark):
     e = spark.createDataFrame([("1",), ("2",), ("3",)], "entity_id string")
     a = spark.createDataFrame([("1", "missing", "x")], "entity_id string, age string, name string")
