@@ -32,17 +32,28 @@ class Block:
     ids: pa.Array
     label: np.ndarray
     fold: np.ndarray
-    weight: np.ndarray
+    weights: np.ndarray  # a row per weighting
     x: np.ndarray
 
+    @property
+    def weight(self) -> np.ndarray:
+        return self.weights[0]
+
 
 class Blocks:
-    """Blocks of `df` (id, label 0/1, features, and fold and weight where given); rows without a label are left out."""
+    """Blocks of `df` (id, label 0/1, features, and fold and weight where given); rows without a label are left out.
+
+    `weight` may name several columns, so fits with different weightings share the blocks and their passes.
+    """
 
-    def __init__(self, df: DataFrame, features: Sequence[str], label: str = "label", fold: str | None = None, weight: str | None = None, key: str = "entity_id"):
+    def __init__(
+        self, df: DataFrame, features: Sequence[str], label: str = "label", fold: str | None = None, weight: str | Sequence[str] | None = None, key: str = "entity_id"
+    ):
         self.features, self.key, self.kind = list(features), key, df.schema[key].dataType.simpleString()
-        width = len(self.features) + 3
-        numbers = [F.col(label), F.col(fold) if fold else F.lit(WHOLE), F.col(weight) if weight else F.lit(1.0), *[F.col(c) for c in self.features]]
+        weights = [F.lit(1.0)] if weight is None else [F.col(c) for c in ([weight] if isinstance(weight, str) else weight)]
+        self.head = 2 + len(weights)
+        width = len(self.features) + self.head
+        numbers = [F.col(label), F.col(fold) if fold else F.lit(WHOLE), *weights, *[F.col(c) for c in self.features]]
         rows = df.where(F.col(label).isNotNull()).select(F.col(key).alias("id"), F.array(*[F.coalesce(c.cast("double"), F.lit(float("nan"))) for c in numbers]).alias("v"))
 
         def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -54,16 +65,20 @@ class Blocks:
                     yield pa.RecordBatch.from_arrays([ids, pa.array([data.tobytes()], pa.binary())], names=["ids", "data"])
 
         self.table = materialise(rows.mapInArrow(pack, f"ids array<{self.kind}>, data binary"), "blocks")
-        self.folds = sorted(int(r[0]) for r in df.where(F.col(label).isNotNull()).select(fold).distinct().collect()) if fold else []
+        sizes = df.where(F.col(label).isNotNull()).groupBy(fold).count().collect() if fold else []
+        #: Rows of each fold.
+        self.sizes = {int(r[0]): r[1] for r in sorted(sizes)}
+        self.folds = list(self.sizes)
         self._medians: dict[int, np.ndarray] | None = None
+        self._prepared: dict[int, Prepared] | None = None
 
     def _each(self) -> Callable[[pa.RecordBatch], Iterator[Block]]:
-        width = len(self.features) + 3
+        width, head = len(self.features) + self.head, self.head
 
         def each(batch: pa.RecordBatch) -> Iterator[Block]:
             for k in range(batch.num_rows):
                 data = np.frombuffer(batch.column(1)[k].as_buffer(), float).reshape(width, -1)
-                yield Block(batch.column(0)[k].values, data[0], data[1].astype(int), data[2], data[3:].T)
+                yield Block(batch.column(0)[k].values, data[0], data[1].astype(int), data[2:head], data[head:].T)
 
         return each
 
@@ -78,12 +93,14 @@ class Blocks:
 
     def map(self, step: Callable[[Block], dict[str, pa.Array]], schema: str) -> DataFrame:
         """Rows that `step` makes of each block."""
+        return self.stream(lambda blocks: (pa.RecordBatch.from_pydict(step(b)) for b in blocks), schema)
+
+    def stream(self, step: Callable[[Iterator[Block]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+        """Rows that `step` makes of the blocks of a task, which come one after the other."""
         each = self._each()
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for block in each(batch):
-                    yield pa.RecordBatch.from_pydict(step(block))
+            yield from step(block for batch in batches for block in each(batch))
 
         return self.table.mapInArrow(run, schema)
 
@@ -111,6 +128,11 @@ class Blocks:
 
     def prepared(self) -> dict[int, "Prepared"]:
         """Medians, means, deviations and F values without each fold (and of all rows), from one pass."""
+        if self._prepared is None:
+            self._prepared = self._prepare()
+        return self._prepared
+
+    def _prepare(self) -> dict[int, "Prepared"]:
         medians, outs, p = self.medians(), [WHOLE, *self.folds], len(self.features)
         places, shift = {k: i for i, k in enumerate(outs)}, self.medians()[WHOLE]
 

@@ -75,9 +75,9 @@ def roc_auc(df: DataFrame, label: str, prob: str, keys: Sequence[str] = ()) -> D
 
 
 def binary_metrics(
-    df: DataFrame, label: str, prob: str, threshold: float = 0.5, keys: Sequence[str] = (), prefix: str = ""
+    df: DataFrame, label: str, prob: str, threshold: float | Column = 0.5, keys: Sequence[str] = (), prefix: str = ""
 ) -> DataFrame:
-    """Point metrics at a threshold, ROC AUC and average precision, all from one pass over score counts.
+    """Point metrics at a threshold (a column of the keys where groups have their own), ROC AUC and average precision, all from one pass over score counts.
 
     Average precision is the step-wise sum of precision times recall gained over distinct scores from the
     top. Both rank metrics are NULL when a class is missing.

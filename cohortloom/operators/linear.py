@@ -3,18 +3,18 @@
 The objective is `(1 - ratio) / 2 |w|^2 + ratio |w|_1 + C * sum of weighted log losses`, the intercept free. A pass
 returns loss, gradient and weighted Gram matrix of every unfinished problem (a fold left out, or none; a ratio); the
 driver minimises the quadratic model with the penalty by coordinate descent, halves the step until the objective
-falls enough, and stops when the optimality conditions hold. The path goes from the strongest penalty to the weakest
-and starts each C where the one before ended.
+falls enough, and stops when the optimality conditions hold. A path goes from the strongest penalty to the weakest and
+starts each C where the one before ended, with what its last pass found there (that holds for every C and needs no pass).
+Paths of several ratios, column choices and weightings advance in the same passes, each at its own pace; the fit of all
+rows comes first, and the folds start at its solution. Problems on the same rows share the scaled rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Hashable, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame
 
 from cohortloom.operators.blocks import WHOLE, Block, Blocks, Prepared
 
@@ -36,11 +36,12 @@ class Linear:
     classes: np.ndarray
     w: np.ndarray = field(default=None)  # coefficients, then the intercept
     done: bool = False
+    weighting: int = 0
 
     def __post_init__(self):
         if self.w is None:
             self.w = np.zeros(len(self.keep) + 1)
-        self.at, self.value, self.gradient, self.gram = self.w, np.inf, None, None
+        self.at, self.value, self.gradient, self.gram, self.got = self.w, np.inf, None, None, None
         self.step, self.toward, self.fall, self.scale = 1.0, None, 0.0, None
 
     def design(self, x: np.ndarray) -> np.ndarray:
@@ -52,15 +53,16 @@ class Linear:
     def probability(self, x: np.ndarray) -> np.ndarray:
         return 1.0 / (1.0 + np.exp(-np.clip(self.margins(x), -700, 700)))
 
-    def pass_(self, b: Block) -> np.ndarray:
-        rows = b.fold != self.without if self.without != WHOLE else slice(None)
-        x, y = self.design(b.x[rows]), b.label[rows]
-        f = x @ self.at
-        weight = b.weight[rows] * self.classes[y.astype(int)]
-        p = 1.0 / (1.0 + np.exp(-np.clip(f, -700, 700)))
-        loss = (weight * (np.logaddexp(0.0, f) - y * f)).sum()
-        gram = x.T @ ((weight * p * (1 - p))[:, None] * x)
-        return np.concatenate([[loss], x.T @ (weight * (p - y)), gram.ravel()])
+    def follow(self, c: float) -> "Linear":
+        """This solved problem at another C, from its solution and from what its last pass found there."""
+        after = Linear(self.without, self.prepared, self.keep, c, self.ratio, self.classes, self.w, weighting=self.weighting)
+        after.take(self.got)
+        return after
+
+    def started(self, solved: "Linear") -> None:
+        """Start at the solution of a problem on other rows; columns it does not have start at zero."""
+        known = dict(zip(solved.keep.tolist(), solved.w))
+        self.w = self.at = np.array([*(known.get(k, 0.0) for k in self.keep.tolist()), solved.w[-1]])
 
     def penalty(self, w: np.ndarray) -> float:
         return (1 - self.ratio) / 2 * float(w[:-1] @ w[:-1]) + self.ratio * float(np.abs(w[:-1]).sum())
@@ -82,7 +84,7 @@ class Linear:
                 raise ArithmeticError("the objective does not fall along the step")
             self.at = self.w + self.step * self.toward
             return
-        self.w, self.value, self.gradient, self.gram = self.at, value, got[1 : 1 + m], got[1 + m :].reshape(m, m)
+        self.w, self.value, self.gradient, self.gram, self.got = self.at, value, got[1 : 1 + m], got[1 + m :].reshape(m, m), got
         self.scale = self.scale or max(1.0, self.C * float(np.abs(self.gradient).max()))
         if self.violation() <= TOLERANCE * self.scale:
             self.done = True
@@ -118,17 +120,81 @@ def descend(gram: np.ndarray, gradient: np.ndarray, w: np.ndarray, ratio: float,
     return v
 
 
-def solve(blocks: Blocks, problems: Sequence[Linear]) -> None:
-    """Fit all problems in shared passes."""
-    for _ in range(MAX_PASSES):
-        live = [p for p in problems if not p.done]
-        if not live:
-            return
-        sizes = np.cumsum([0] + [1 + len(p.w) + len(p.w) ** 2 for p in live])
-        got = blocks.reduce(lambda b: np.concatenate([p.pass_(b) for p in live]))
-        for p, a, z in zip(live, sizes, sizes[1:]):
-            p.take(got[a:z])
-    raise ArithmeticError(f"no convergence in {MAX_PASSES} passes")
+def _pass(live: Sequence[Linear]) -> Callable[[Block], np.ndarray]:
+    """Loss, gradient and Gram matrix of every live problem at its point, for the rows of a block."""
+    plan: dict[int, tuple[Prepared, dict[tuple, list]]] = {}
+    count = len(live)
+    for number, p in enumerate(live):
+        _, same = plan.setdefault(p.without, (p.prepared, {}))
+        same.setdefault(tuple(p.keep.tolist()), []).append((number, p.at, p.weighting, p.classes))
+
+    def step(b: Block) -> np.ndarray:
+        out = [None] * count
+        for without, (prepared, same) in plan.items():
+            rows = np.flatnonzero(b.fold != without) if without != WHOLE else np.arange(len(b.label))
+            columns = prepared.scaled(b.x[rows]).T
+            columns = np.vstack([columns, np.ones((1, len(rows)))])
+            y, weights = b.label[rows], b.weights[:, rows]
+            for keep, problems in same.items():
+                x = columns[[*keep, -1]]
+                f = np.stack([at for _, at, _, _ in problems]) @ x
+                weight = np.stack([weights[w] * classes[y.astype(int)] for _, _, w, classes in problems])
+                e = np.exp(-np.abs(f))
+                p = np.where(f >= 0, 1.0, e) / (1.0 + e)
+                loss = (weight * (np.maximum(f, 0.0) + np.log1p(e) - y * f)).sum(axis=1)
+                slope = (weight * (p - y)) @ x.T
+                curve = weight * p * (1.0 - p)
+                for i, (number, *_) in enumerate(problems):
+                    out[number] = np.concatenate([[loss[i]], slope[i], ((curve[i] * x) @ x.T).ravel()])
+        return np.concatenate(out)
+
+    return step
+
+
+@dataclass(frozen=True)
+class Path:
+    """Fits of one penalty ratio and weighting over several C, with the columns kept per left-out fold."""
+
+    strengths: tuple[float, ...]
+    ratio: float
+    keep: dict[int, np.ndarray]
+    weighting: int = 0
+
+
+def paths(blocks: Blocks, lines: dict[Hashable, Path], outs: Sequence[int], balanced: bool = True) -> dict[tuple[Hashable, int, float], Linear]:
+    """Fitted problems by (name of the path, left-out fold, C), all paths in shared passes."""
+    prepared = blocks.prepared()
+    found: dict[tuple[Hashable, int, float], Linear] = {}
+    # The fit of all rows first: its solutions are close to those without a fold.
+    for batch in ([k for k in outs if k == WHOLE], [k for k in outs if k != WHOLE]):
+        live = {}
+        for name, line in lines.items():
+            for k in batch:
+                classes, first = prepared[k].balance() if balanced else np.ones(2), min(line.strengths)
+                problem = Linear(k, prepared[k], line.keep[k], first, line.ratio, classes, weighting=line.weighting)
+                if (name, WHOLE, first) in found:
+                    problem.started(found[name, WHOLE, first])
+                live[name, k] = problem
+        passes = dict.fromkeys(live, 0)
+        while live:
+            step = _pass(list(live.values()))
+            sizes = np.cumsum([0] + [1 + len(p.w) + len(p.w) ** 2 for p in live.values()])
+            got = blocks.reduce(step)
+            for (place, p), a, z in zip(list(live.items()), sizes, sizes[1:]):
+                p.take(got[a:z])
+                passes[place] += 1
+                name, k = place
+                left = sorted(c for c in lines[name].strengths if c > p.C)
+                while p.done:
+                    found[name, k, p.C], passes[place] = p, 0
+                    if not left:
+                        break
+                    p = p.follow(left.pop(0))
+                live[place] = p
+                if passes[place] >= MAX_PASSES:
+                    raise ArithmeticError(f"no convergence in {MAX_PASSES} passes")
+            live = {place: p for place, p in live.items() if not p.done}
+    return found
 
 
 def path(
@@ -139,42 +205,8 @@ def path(
 
     `keeps` names column choices per left-out fold, such as percentiles; None keeps all columns.
     """
-    prepared, everything = blocks.prepared(), np.arange(len(blocks.features))
     outs = [*blocks.folds, *([WHOLE] if refit or not blocks.folds else [])]
+    everything = np.arange(len(blocks.features))
     keeps = keeps or {0: {k: everything for k in outs}}
-    before: dict[tuple[int, float, int], np.ndarray] = {}
-    found = {}
-    for c in sorted(strengths):
-        batch = {}
-        for name, choice in keeps.items():
-            for k in outs:
-                for ratio in ratios:
-                    classes = prepared[k].balance() if balanced else np.ones(2)
-                    batch[k, c, ratio, name] = Linear(k, prepared[k], choice[k], c, ratio, classes, before.get((k, ratio, name)))
-        solve(blocks, list(batch.values()))
-        before = {(k, ratio, name): p.w for (k, _, ratio, name), p in batch.items()}
-        found |= batch
-    return found
-
-
-def held_out_scores(blocks: Blocks, models: dict[tuple[str, int], object]) -> DataFrame:
-    """(setting, fold, label, prob) of each row by the models that did not see it; `models` by (setting, left-out fold).
-
-    A model has `probability(x)`.
-    """
-    names = sorted({n for n, _ in models})
-
-    def step(b: Block) -> dict[str, pa.Array]:
-        prob = np.full((len(names), len(b.label)), np.nan)
-        for s, name in enumerate(names):
-            for k in np.unique(b.fold):
-                if (name, int(k)) in models:
-                    rows = b.fold == k
-                    prob[s, rows] = models[name, int(k)].probability(b.x[rows])
-        n = len(b.label)
-        return {
-            "setting": pa.array(np.repeat(names, n)), "fold": pa.array(np.tile(b.fold.astype(np.int32), len(names))),
-            "label": pa.array(np.tile(b.label.astype(np.int32), len(names))), "prob": pa.array(prob.ravel()),
-        }
-
-    return blocks.map(step, "setting string, fold int, label int, prob double")
+    lines = {(ratio, name): Path(tuple(strengths), ratio, choice) for name, choice in keeps.items() for ratio in ratios}
+    return {(k, c, ratio, name): p for ((ratio, name), k, c), p in paths(blocks, lines, outs, balanced).items()}

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Sequence
+from collections.abc import Hashable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, fields, is_dataclass
 
@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 
 from cohortloom.operators import boosting, linear
 from cohortloom.operators.blocks import WHOLE, Blocks, Prepared
-from cohortloom.operators.compare import _result_table, split_metrics
-from cohortloom.operators.evaluate import roc_auc, threshold_grid
+from cohortloom.operators.compare import METRICS, _result_table
+from cohortloom.operators.evaluate import binary_metrics, threshold_grid
+from cohortloom.operators.heldout import held_out_auc
 from cohortloom.operators.models import ModelConfig, with_training_weight
 from cohortloom.operators.split import percentile_choice
 from cohortloom.session import materialise, path_exists
@@ -73,8 +74,25 @@ class Bayes:
         return 1.0 / (1.0 + np.exp(np.clip(score[0] - score[1], -700, 700)))
 
 
+@dataclass
+class Columns:
+    """A model of some of the columns that a row has."""
+
+    model: object
+    columns: np.ndarray
+
+    def probability(self, x: np.ndarray) -> np.ndarray:
+        return self.model.probability(x[:, self.columns])
+
+
 def bayes(blocks: Blocks, smoothing: Sequence[float], outs: Sequence[int]) -> dict[tuple[float, int], Bayes]:
     """Models by (smoothing, left-out fold); class moments of all folds in two passes."""
+    everything = np.arange(len(blocks.features))
+    return {(s, k): m for (_, s, k), m in bayes_sets(blocks, smoothing, outs, {0: everything}).items()}
+
+
+def bayes_sets(blocks: Blocks, smoothing: Sequence[float], outs: Sequence[int], sets: dict[Hashable, np.ndarray]) -> dict[tuple[Hashable, float, int], Bayes]:
+    """Models of each set of columns by (set, smoothing, left-out fold): a column's moments are the same in all."""
     medians, p = blocks.medians(), len(blocks.features)
 
     def sums(center: np.ndarray, power: int) -> np.ndarray:
@@ -101,25 +119,39 @@ def bayes(blocks: Blocks, smoothing: Sequence[float], outs: Sequence[int]) -> di
     for i, k in enumerate(outs):
         share = n[i, :, 0] / n[i, :, 0].sum()
         grand = (share[:, None] * mean[i]).sum(axis=0)
-        widest = float((share[:, None] * (var[i] + (mean[i] - grand) ** 2)).sum(axis=0).max())
-        for s in smoothing:
-            found[s, k] = Bayes(medians[k], share, mean[i], var[i] + s * widest)
+        wide = (share[:, None] * (var[i] + (mean[i] - grand) ** 2)).sum(axis=0)
+        for name, columns in sets.items():
+            for s in smoothing:
+                found[name, s, k] = Bayes(medians[k][columns], share, mean[i][:, columns], var[i][:, columns] + s * float(wide[columns].max()))
     return found
 
 
+def _lines(blocks: Blocks, family: Family, columns: np.ndarray | None = None, weighting: int = 0, only: str | None = None) -> dict[tuple, linear.Path]:
+    """Paths of a linear family on some columns, by (ratio, percentile); with `only`, what leads to that setting."""
+    columns, outs = np.arange(len(blocks.features)) if columns is None else columns, (*blocks.folds, WHOLE)
+    keeps = {None: dict.fromkeys(outs, columns)}
+    if family.percentiles:
+        f = {k: blocks.prepared()[k].f[columns] for k in outs}
+        keeps = {q: {k: columns[percentile_choice(list(f[k]), q)] for k in outs} for q in family.percentiles}
+    lines = {}
+    for q, keep in keeps.items():
+        for ratio in family.ratios:
+            strengths = [c for c in sorted(family.strengths) if only in (None, _setting(family, c, ratio, q))]
+            if strengths:
+                lines[ratio, q] = linear.Path(tuple(c for c in family.strengths if c <= strengths[-1]), ratio, keep, weighting)
+    return lines
+
+
+def _setting(family: Family, c: float, ratio: float, percentile: int | None) -> str:
+    text = {"C": c} | ({"l1_ratio": ratio} if family.ratios != (0.0,) else {}) | ({"percentile": percentile} if family.percentiles else {})
+    return json.dumps(text, sort_keys=True)
+
+
 def _models(blocks: Blocks, family: Family, outs: Sequence[int], only: str | None = None) -> dict[tuple[str, int], object]:
     """Fitted models by (setting, left-out fold)."""
     if family.kind == "linear":
-        keeps = None
-        if family.percentiles:
-            prepared = blocks.prepared()
-            keeps = {q: {k: np.array(percentile_choice(list(prepared[k].f), q)) for k in (*blocks.folds, WHOLE)} for q in family.percentiles}
-        found = linear.path(blocks, family.strengths, family.ratios, keeps, balanced=True, refit=WHOLE in outs)
-        named = {}
-        for (k, c, ratio, keep), model in found.items():
-            text = {"C": c} | ({"l1_ratio": ratio} if family.ratios != (0.0,) else {}) | ({"percentile": keep} if family.percentiles else {})
-            if k in outs:
-                named[json.dumps(text, sort_keys=True), k] = model
+        found = linear.paths(blocks, _lines(blocks, family, only=only), outs)
+        named = {(_setting(family, c, *line), k): model for (line, k, c), model in found.items()}
     elif family.kind == "boosting":
         settings = [s for s in family.settings if only in (None, s.text())]
         named = boosting.fit(blocks, settings, outs)
@@ -132,8 +164,7 @@ def _models(blocks: Blocks, family: Family, outs: Sequence[int], only: str | Non
 
 def scored_settings(blocks: Blocks, family: Family) -> DataFrame:
     """(setting, fold, auc) on held-out rows."""
-    models = _models(blocks, family, blocks.folds)
-    return roc_auc(materialise(linear.held_out_scores(blocks, models), "held-out"), "label", "prob", ["setting", "fold"])
+    return held_out_auc(blocks, _models(blocks, family, blocks.folds))
 
 
 def search(blocks: Blocks, families: Sequence[Family] = FAMILIES, strategy: str = "standard", store: str | None = None) -> DataFrame:
@@ -179,10 +210,62 @@ def score(df: DataFrame, model, features: Sequence[str], name: str = "prob") ->
     return df.withColumn(name, probability(values))
 
 
-def train_blocks(train: DataFrame, features: Sequence[str], strategy: str = "standard", label: str = "label", severity: str = "severity", key: str = "entity_id") -> Blocks:
-    """Blocks of train rows (with `fold`) weighted for the strategy; class balance is left to each fold's fit."""
-    weighted = with_training_weight(train, ModelConfig("rows", "", balanced=False), strategy, label, severity)
-    return Blocks(weighted, features, label, "fold", "weight", key)
+def train_blocks(
+    train: DataFrame, features: Sequence[str], strategy: str | Sequence[str] = "standard", label: str = "label", severity: str = "severity", key: str = "entity_id"
+) -> Blocks:
+    """Blocks of train rows (with `fold`) weighted for each strategy; class balance is left to each fold's fit."""
+    strategies = [strategy] if isinstance(strategy, str) else list(strategy)
+    config, names = ModelConfig("rows", "", balanced=False), []
+    for i, one in enumerate(strategies):
+        names.append(f"_weight{i}")
+        train = with_training_weight(train, config, one, label, severity).withColumnRenamed("weight", names[-1])
+    return Blocks(train, features, label, "fold", names, key)
+
+
+def _set_models(
+    blocks: Blocks, train: DataFrame, families: Sequence[Family], runs: Sequence[tuple], columns: dict[str, np.ndarray], strategies: Sequence[str]
+) -> dict[tuple[int, str, int], object]:
+    """Models by (number of the run, setting, left-out fold or WHOLE); a run is (set, strategy, family).
+
+    All linear fits share their passes and all naive Bayes of a family its two. Boosting has blocks of its own per run.
+    """
+    outs, found, lines = [*blocks.folds, WHOLE], {}, {}
+    for number, (set_name, strategy, family) in enumerate(runs):
+        if family.kind == "linear":
+            part = _lines(blocks, family, columns[set_name], strategies.index(strategy))
+            lines |= {(number, *line): path for line, path in part.items()}
+        elif family.kind != "bayes":
+            own = train_blocks(train, [blocks.features[k] for k in columns[set_name]], strategy)
+            found |= {(number, n, k): Columns(m, columns[set_name]) for (n, k), m in _models(own, family, outs).items()}
+    if lines:
+        fits = linear.paths(blocks, lines, outs)
+        found |= {(number, _setting(runs[number][2], c, *line), k): m for ((number, *line), k, c), m in fits.items()}
+    for family in families:
+        if family.kind == "bayes":
+            own = {number: columns[r[0]] for number, r in enumerate(runs) if r[2] is family}
+            for (number, s, k), m in bayes_sets(blocks, family.smoothing, outs, own).items():
+                found[number, json.dumps({"var_smoothing": s}), k] = Columns(m, own[number])
+    return found
+
+
+def score_each(df: DataFrame, models: Sequence, features: Sequence[str], keep: Sequence[str]) -> DataFrame:
+    """(run, prob, kept columns): a row per model and row of `df`, whose features are brought to the models once."""
+
+    @F.pandas_udf("array<double>")
+    def probabilities(rows: pd.Series) -> pd.Series:
+        x = np.stack(rows.to_numpy()).astype(float)
+        return pd.Series(list(np.stack([m.probability(x) for m in models], axis=1)), index=rows.index)
+
+    values = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))) for c in features])
+    return df.select(*keep, probabilities(values).alias("_probs")).select(*keep, F.posexplode("_probs").alias("run", "prob"))
+
+
+def _run_metrics(scored: DataFrame, threshold, tag: str = "") -> dict[int, dict[str, float]]:
+    """`val_<tag><metric>` and `test_<tag><metric>` of each run."""
+    out: dict[int, dict[str, float]] = {}
+    for r in sorted(binary_metrics(scored, "label", "prob", threshold, keys=["run", "split"]).collect(), key=lambda r: r.split, reverse=True):
+        out.setdefault(r.run, {}).update({f"{r.split}_{tag}{m}": r[m] for m in METRICS})
+    return out
 
 
 def compare_sets(
@@ -192,30 +275,41 @@ def compare_sets(
     """Feature set x family x weighting: the best setting of the grid, its fold score, and metrics on val and test.
 
     `df` has entity_id, split, label, severity, fold and the features. With `tune`, metrics at the threshold that is
-    best for that metric on val are added. Sets and weightings run at the same time, POOL at most.
+    best for that metric on val are added. One table of blocks has the columns of all sets and the weights of all
+    strategies, and fits, fold scores and metrics of all of them share their passes.
     """
     train, rest = df.where(F.col("split") == "train"), df.where(F.col("split") != "train")
-
-    def one(task: tuple[str, str]) -> list[dict]:
-        set_name, strategy = task
-        features = feature_sets[set_name]
-        blocks, out = train_blocks(train, features, strategy), []
-        for family in families:
-            if strategy != "standard" and not family.takes_weights:
-                continue
-            found = search(blocks, [family], strategy)
-            setting, model = fit_best(blocks, family, found)
-            scored = score(rest, model, features).select("entity_id", "split", "label", "prob")
-            row = {"feature_set": set_name, "feature_count": len(features), "model": family.name, "strategy": strategy, "best_params": setting}
-            row |= {"cv_auc_roc": found.where("best").first()["cv_auc_roc"]} | split_metrics(scored)
-            if tune:
-                cut = float(threshold_grid(scored.where("split = 'val'"), "label", "prob", tune).first().threshold)
-                row |= {"tuned_threshold": cut} | split_metrics(scored, threshold=cut, tag="tuned_")
-            out.append(row)
-        return out
-
-    with ThreadPoolExecutor(POOL) as pool:
-        rows = [r for part in pool.map(one, [(n, s) for n in feature_sets for s in strategies]) for r in part]
+    features = list(dict.fromkeys(f for names in feature_sets.values() for f in names))
+    columns = {name: np.array([features.index(f) for f in names]) for name, names in feature_sets.items()}
+    runs = [(n, s, f) for n in feature_sets for s in strategies for f in families if s == "standard" or f.takes_weights]
+    blocks = train_blocks(train, features, strategies)
+    models = _set_models(blocks, train, families, runs, columns, strategies)
+
+    texts = {f"{number} {setting}": (number, setting) for number, setting, _ in models}
+    aucs = held_out_auc(blocks, {(f"{number} {setting}", k): m for (number, setting, k), m in models.items() if k != WHOLE})
+    settings: dict[int, list[tuple]] = {}
+    for r in aucs.groupBy("setting").agg(F.avg("auc").alias("auc")).collect():
+        number, setting = texts[r.setting]
+        settings.setdefault(number, []).append((r.auc is not None, -(r.auc or 0.0), setting, r.auc))
+    # Best mean first; of equal ones the first by name.
+    best = [min(settings[number]) for number in range(len(runs))]
+    chosen = [models[number, setting, WHOLE] for number, (_, _, setting, _) in enumerate(best)]
+    scored = materialise(score_each(rest, chosen, features, ["split", "label"]), "scored")
+    plain, cuts, tuned = _run_metrics(scored, 0.5), {}, {}
+    if tune:
+        for number in range(len(runs)):
+            val = scored.where((F.col("split") == "val") & (F.col("run") == number))
+            cuts[number] = float(threshold_grid(val, "label", "prob", tune).first().threshold)
+        own = F.element_at(F.array(*[F.lit(cuts[number]) for number in range(len(runs))]), F.col("run") + 1)
+        tuned = _run_metrics(scored, own, "tuned_")
+    rows = []
+    for number, (set_name, strategy, family) in enumerate(runs):
+        _, _, setting, auc = best[number]
+        row = {"feature_set": set_name, "feature_count": len(feature_sets[set_name]), "model": family.name, "strategy": strategy, "best_params": setting}
+        row |= {"cv_auc_roc": auc} | plain.get(number, {})
+        if tune:
+            row |= {"tuned_threshold": cuts[number]} | tuned.get(number, {})
+        rows.append(row)
     return _result_table(df.sparkSession, rows)
 
 

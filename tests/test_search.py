@@ -2,10 +2,12 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cohortloom.operators import blocks as B
 from cohortloom.operators import boosting as G
 from cohortloom.operators import compare as C
+from cohortloom.operators import heldout as H
 from cohortloom.operators import linear as L
 from cohortloom.operators import search as S
 
@@ -210,3 +212,67 @@ def test_summary_of_runs_in_one_scan(spark):
     assert got.keys() == {("all", None), ("family", "x"), ("family", "y"), ("family", None), ("strategy", "s"), ("strategy", "t")}
     assert (got["all", None].best_run, got["all", None].best_tuned_run, got["all", None].runs) == ("r2", "r3", 3)
     assert (got["strategy", "s"].best_run, got["strategy", "t"].best_run, got["family", None].best_run) == ("r3", "r2", None)
+
+
+def test_held_out_auc_of_pieces_and_ties(spark, monkeypatch):
+    monkeypatch.setattr(B, "BLOCK_ROWS", 32)
+    for name, rows in (("PIECE_ROWS", 16), ("TOGETHER", 64), ("SAMPLE", 60)):
+        monkeypatch.setattr(H, name, rows)
+    df, _, label = frame(spark)
+    df = df.withColumn("b", F.round("a", 1))
+    x = np.array([[np.nan if v is None else v for v in r] for r in df.orderBy("entity_id").select(*NAMES).collect()], float)
+    blocks = B.Blocks(df.repartition(3), NAMES, fold="fold")
+    sets = {"distinct": np.array([0, 2]), "ties": np.array([1])}
+    models = {(name, k): S.Columns(m, sets[name]) for (name, _, k), m in S.bayes_sets(blocks, [1e-9], blocks.folds, sets).items()}
+    flat = S.Bayes(np.zeros(4), np.full(2, 0.5), np.zeros((2, 4)), np.ones((2, 4)))
+    models |= {("constant", k): flat for k in blocks.folds}
+    assert max(len(c) for c in H._splitters(blocks, models).values()) > 1
+    got = {(r.setting, r.fold): r.auc for r in H.held_out_auc(blocks, models).collect()}
+    fold = np.arange(len(x)) % 4
+    assert got.keys() == models.keys() and all(got["constant", k] == 0.5 for k in blocks.folds)
+    for (name, k), value in got.items():
+        assert value == pytest.approx(auc(label[fold == k], models[name, k].probability(x[fold == k])), abs=1e-12)
+    one_class = B.Blocks(df.where("label = 1"), NAMES, fold="fold")
+    assert [r.auc for r in H.held_out_auc(one_class, models).collect()] == [None] * len(models)
+
+
+def compared(spark, monkeypatch):
+    """Rows with a split, and the passes that a call makes over blocks."""
+    df, _, _ = frame(spark)
+    df = df.withColumn("severity", F.col("label") * (1 + F.col("entity_id") % 3))
+    df = df.withColumn("split", F.expr("CASE entity_id % 5 WHEN 0 THEN 'val' WHEN 1 THEN 'test' ELSE 'train' END")).cache()
+    passes, reduce = [], B.Blocks.reduce
+    monkeypatch.setattr(B.Blocks, "reduce", lambda self, step: passes.append(1) or reduce(self, step))
+    return df, passes
+
+
+GRIDS = (
+    S.Family("L2", "linear", strengths=(0.1, 1.0, 10.0)), S.Family("EN", "linear", strengths=(0.1, 1.0), ratios=(0.2, 0.8)),
+    S.Family("bayes", "bayes", smoothing=(1e-9, 1e-1), takes_weights=False),
+)
+
+
+def test_sets_are_compared_in_shared_passes(spark, monkeypatch):
+    df, passes = compared(spark, monkeypatch)
+    S.compare_sets(df, {"ab": ("a", "b")}, GRIDS[:1], ["standard"])
+    alone = len(passes)
+    S.compare_sets(df, {"ab": ("a", "b"), "a": ("a",), "abc": ("a", "b", "c")}, GRIDS)
+    assert len(passes) - alone < 2 * alone
+
+
+def test_compared_sets_equal_their_own_searches(spark, monkeypatch):
+    df, _ = compared(spark, monkeypatch)
+    families = {f.name: f for f in (*GRIDS, S.Family("chosen", "linear", (0.1, 1.0), percentiles=(50, 100)), S.Family("trees", "boosting", settings=(G.Setting(0.3, 2, 4, 1, min_rows=5),)))}
+    sets = {"ba": ("b", "a"), "abc": ("a", "b", "c")}
+    rows = {(r.feature_set, r.strategy, r.model): r for r in S.compare_sets(df, sets, families.values(), tune="f1").collect()}
+    assert len(rows) == 2 * (5 + 4)
+    train, rest = df.where("split = 'train'"), df.where("split <> 'train'")
+    for (name, strategy, model), r in rows.items():
+        if (name, strategy) == ("ba", "standard") or model == "L2" and strategy != "standard":
+            blocks = S.train_blocks(train, sets[name], strategy)
+            found = S.search(blocks, [families[model]], strategy)
+            setting, fitted = S.fit_best(blocks, families[model], found)
+            scored = S.score(rest, fitted, sets[name])
+            want = C.split_metrics(scored) | C.split_metrics(scored, threshold=r.tuned_threshold, tag="tuned_")
+            assert r.best_params == setting and r.cv_auc_roc == pytest.approx(found.where("best").first().cv_auc_roc, abs=1e-9)
+            assert {k: r[k] for k in want} == pytest.approx(want, abs=1e-9)
