@@ -95,8 +95,9 @@ def op12_vafile(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op13_interval_tree(spark: SparkSession, folder: str) -> DataFrame:
-    """Every document without its bytes that repeat elsewhere."""
-    return repeats.Repeats(_table(spark, folder, "documents")).removed()
+    """Every document without its bytes that repeat elsewhere, and how many of its words lie in passages of over 50 that do."""
+    documents = _table(spark, folder, "documents")
+    return repeats.Repeats(documents).removed(repeats.Repeats(documents, words=True))
 
 
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:

@@ -2,11 +2,13 @@
 
 import hashlib
 import random
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 
+from cohortloom.llm import queries
 from cohortloom.llm import repeats as R
 from tests.llm.conftest import EDGE_TEXTS
 
@@ -106,3 +108,35 @@ def test_occurrences_name_places(spark, docs_of):
     for r in found:
         by_group[r["group"]].add(byte[r["doc_id"]][r["start"] : r["start"] + r["size"]])
     assert all(len(v) == 1 and len(next(iter(v))) >= 100 for v in by_group.values())
+
+
+def brute_words(rows, length):
+    data = [re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode()) for _, t in rows]
+    seen = Counter(tuple(w[p : p + length]) for w in data for p in range(len(w) - length + 1))
+    out = []
+    for (key, _), w in zip(rows, data):
+        shared = {p + k for p in range(len(w) - length + 1) if seen[tuple(w[p : p + length])] > 1 for k in range(length)}
+        out.append((key, len(shared)))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize(("length", "gram", "crowd"), [(17, 4, 512), (17, 4, 1), (20, 20, 3), (51, 8, 512)])
+def test_passage_words_against_brute_force(spark, docs_of, monkeypatch, length, gram, crowd):
+    monkeypatch.setattr(R, "SEGMENT", 1 << 9)
+    monkeypatch.setattr(R, "ARRAY_BYTES", 1 << 11)
+    rows = corpus(length + crowd)
+    long_ = " ".join(f"{k * k % 97}" for k in range(140))
+    rows += [(600, long_), (601, "before " + long_.replace(" ", "\n\t ")), (602, long_[:150] + "é" + long_[150:]), (603, long_ + " " + long_)]
+    docs = docs_of(rows)
+    got = R.Repeats(docs, length=40, gram=12).removed(R.Repeats(docs, length=length, gram=gram, crowd=crowd, words=True)).collect()
+    assert sorted(((r["doc_id"], r["n_passage_words"]) for r in got), key=str) == brute_words(rows, length)
+    assert sorted((tuple(r)[:5] for r in got), key=str) == brute(rows, 40)
+
+
+def test_passages_of_over_50_words_below_400_bytes(spark, tmp_path, docs_of):
+    passage = [f"w{k}" for k in range(51)]
+    rows = [(1, "first " + " ".join(passage) + " tail"), (2, "\n".join(passage)), (3, "third " + " ".join(passage[1:])), (4, None), (5, "other " * 9)]
+    docs_of(rows).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r for r in queries.op13_interval_tree(spark, str(tmp_path)).collect()}
+    assert [got[k]["n_passage_words"] for k in range(1, 6)] == [51, 51, 0, 0, 0]
+    assert all(r["n_removed"] == 0 for r in got.values())
