@@ -131,14 +131,12 @@ class Anchors:
 
     def stretches(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(first start, last start, anchor) of the stretches of the texts between `offsets`, ascending."""
-        lengths = np.diff(offsets)
-        ends = np.repeat(offsets[1:], lengths)
-        first = int(offsets[0])
-        for at in range(first, int(offsets[-1]) - self.length + 1, SEGMENT):
+        for at in range(int(offsets[0]), int(offsets[-1]) - self.length + 1, SEGMENT):
             last = min(at + SEGMENT, int(offsets[-1]) - self.length + 1)
             anchor = self.of(data[at : last + self.length - 1]) + at
             places = np.arange(at, last)
-            inside = np.flatnonzero(places + self.length <= ends[at - first : last - first])
+            ends = np.repeat(offsets[1:], np.diff(np.clip(offsets, at, last)))
+            inside = np.flatnonzero(places + self.length <= ends)
             if not len(inside):
                 continue
             places, anchor = places[inside], anchor[inside]
