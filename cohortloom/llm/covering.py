@@ -16,6 +16,9 @@ Linking works on distinct fingerprints and emits no pairs of a bucket:
 Every step is exact, so the choice between them changes the work and not the links. Components are found
 by contraction to a hashed first neighbour, one shuffle of the remaining edges per round.
 
+Tables made by an explode are joined by merging: the optimiser sizes them like the rows before it, up to 2,081
+times too low, and would send them through the driver.
+
 Defined cases: NULL, empty and blank texts have fingerprint zero and are linked like any other. Repeated
 rows stay and share a component. A component's id is its smallest non-NULL doc_id (NULL if it has none).
 Extra columns are ignored by the fingerprints.
@@ -135,7 +138,7 @@ def _balls(fps: DataFrame, radius: int) -> DataFrame:
         points = points.select("fp", F.col("point").bitwiseXOR(F.col("bit")).alias("point"), (F.col("at") + F.col("more")).alias("at"))
     points = points.select("fp", "point")
     shared = points.groupBy("point").agg(F.min("fp").alias("first"), F.max("fp").alias("last")).where("first < last")
-    return points.join(shared, "point").select(F.col("fp").alias("a"), F.col("first").alias("b")).where("a <> b").distinct()
+    return points.join(shared.hint("merge"), "point").select(F.col("fp").alias("a"), F.col("first").alias("b")).where("a <> b").distinct()
 
 
 def link(weighted: DataFrame, radius: int = 4) -> DataFrame:
@@ -153,16 +156,16 @@ def link(weighted: DataFrame, radius: int = 4) -> DataFrame:
     buckets = members.groupBy(*at).agg(
         F.count(F.lit(1)).alias("size"), F.max_by("fp", F.struct("n", "fp")).alias("pivot")
     ).where("size > 1")
-    shared = materialise(members.join(buckets, at).select(*at, "fp", "size", "pivot"), "buckets")
+    shared = materialise(members.join(buckets.hint("merge"), at).select(*at, "fp", "size", "pivot"), "buckets")
     stars = shared.where((F.col("fp") != F.col("pivot")) & _near("fp", "pivot", radius))
     first = contract(stars.select(F.col("fp").alias("a"), F.col("pivot").alias("b")))
     roots = first.withColumnRenamed("node", "fp")
     labelled = shared.join(roots, "fp", "left").select(*at, "fp", "size", F.coalesce("root", "fp").alias("root"))
     split = labelled.groupBy(*at).agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select(*at)
-    rest = materialise(labelled.join(split, at), "buckets")
+    rest = materialise(labelled.join(split.hint("merge"), at), "buckets")
     small = rest.where(F.col("size") <= SMALL_BUCKET)
     other = small.select(*at, F.col("fp").alias("fp2"), F.col("root").alias("root2"))
-    pairs = small.join(other, at).where((F.col("root") < F.col("root2")) & _near("fp", "fp2", radius))
+    pairs = small.join(other.hint("merge"), at).where((F.col("root") < F.col("root2")) & _near("fp", "fp2", radius))
     wide = rest.where(F.col("size") > SMALL_BUCKET).select("fp").distinct()
     more = pairs.select(F.col("fp").alias("a"), F.col("fp2").alias("b")).unionByName(_balls(wide, radius))
     chained = first.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more.select("a", "b"))
@@ -177,7 +180,7 @@ def components(prints: DataFrame, key: str = "doc_id", radius: int = 4) -> DataF
     rooted = distinct.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     by_print = rooted.join(named, "root").select("fp", "component_id")
-    return prints.join(by_print, "fp").select(key, "fp", "component_id")
+    return prints.join(by_print.hint("merge"), "fp").select(key, "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 4, distinct: bool = False, radius: int = 4) -> DataFrame:

@@ -108,3 +108,21 @@ def test_keep_one_leaves_one_row_of_each_component(docs_of):
     assert kept.columns == docs.columns
     assert rows_of(kept.select("doc_id", "text")) == rows_of(docs.where("doc_id in (5, 7) or text = 'x y z'").select("doc_id", "text").union(docs.where("doc_id = 3").limit(1).select("doc_id", "text")))
     assert C.keep_one(docs.where(F.lit(False))).count() == 0
+
+
+def test_exploded_tables_are_not_sent_through_the_driver(spark, monkeypatch):
+    # The optimiser sizes them like the few prints they come from, so by its threshold they would be broadcast.
+    prints = spark.range(400).selectExpr("id * id as fp", "1L as n")
+    plans, kept = [], C.materialise
+
+    def seen(df, label):
+        plans.extend([df._jdf.queryExecution().sparkPlan().toString()] if label == "buckets" else [])
+        return kept(df, label)
+
+    monkeypatch.setattr(C, "materialise", seen)
+    C.link(prints, 4).count()
+    plans.append(C._balls(prints.select("fp"), 4)._jdf.queryExecution().sparkPlan().toString())
+    joins = [line for plan in plans for line in plan.splitlines() if "Join" in line]
+    assert len(plans) == 3 and all("SortMergeJoin" in plan for plan in plans)
+    # Only the written table of roots may be small enough.
+    assert all("SortMergeJoin" in line for line in joins if "LeftOuter" not in line), joins
