@@ -96,6 +96,20 @@ def test_matching_blocks_equal_the_standard_library():
         assert matched_characters(a, b) == want
 
 
+def test_registered_ratio_of_whole_documents(spark, tmp_path):
+    from cohortloom.plans import load_catalogue
+
+    rng = random.Random(6)
+    prompt = one(spark, X.norm_text(F.col("t")), t=X.READING_PROMPT)
+    piece = lambda: X.READING_PROMPT[(k := rng.randrange(200)) : k + rng.randint(1, 90)]
+    texts = [*ODD[:12], X.READING_PROMPT, X.READING_PROMPT * 3, "x" * 30_000 + X.READING_PROMPT[40:90]]
+    texts += [" ".join(rng.choice([piece(), "some words ", "9"]) for _ in range(rng.randint(1, 12))) for _ in range(40)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.sequence_ratio for r in load_catalogue()[0]["sequence_ratio"](spark, str(tmp_path)).collect()}
+    bodies = [one(spark, X.norm_text(F.col("t")), t=t) if t else "" for t in texts]
+    assert got == {k: round(SequenceMatcher(None, t, prompt).ratio(), 6) for k, t in enumerate(bodies)} and sum(v > 0 for v in got.values()) > 30
+
+
 def test_reference_deviation_of_the_prompt_itself(spark):
     df = spark.createDataFrame([("e", X.READING_PROMPT, [])], f"entity_id string, {TRANSCRIPT_SCHEMA.replace('source_file string,', '')}")
     row = transcript_features(df).first()
