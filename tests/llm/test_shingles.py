@@ -3,6 +3,8 @@
 import itertools
 import random
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as P
 from cohortloom.llm import shingles as S
 
@@ -114,3 +116,38 @@ def test_covering_tables_alone_propose_links(spark, docs_of):
         q = p ^ sum(1 << k for k in r.sample(range(64), S.RADIUS))
         keys = S.table_buckets([x - 2**64 if x >> 63 else x for x in (p, q)])
         assert (keys[0] == keys[1]).any() and len(np.unique(keys[0])) == 31
+
+
+def test_links_that_no_bucket_proposes_are_found(spark, docs_of):
+    from cohortloom.session import ship_package
+
+    ship_package(spark)
+    r = random.Random(7)
+    rows, d = [], 0
+    for n in (8, 40, 150, 151, 600):
+        base = [f"w{r.randint(0, 900)}" for _ in range(n)]
+        for _ in range(25):
+            d += 1
+            rows.append((d, " ".join(edited(r, base, r.randint(0, max(1, n // 12))))))
+    passage = " ".join(f"p{k}" for k in range(70))
+    rows += [(500 + k, f"{passage} " + " ".join(f"v{r.randint(0, 10**6)}" for _ in range(r.choice([5, 12, 20, 90])))) for k in range(40)]
+    rows += [(900, None), (901, ""), (902, "a b"), (903, "A B")]
+    docs = docs_of(rows).selectExpr("doc_id id", "text")
+    alone = S.signatures(docs).groupBy("node").agg(F.min("id").alias("id"), F.min("size").alias("size")).selectExpr("*", "array(node) bands")
+    nodes = {x["node"]: x["id"] for x in alone.collect()}
+    partnered = {i for i, t in rows if i in nodes.values() and any(grams(u) != grams(t) and jaccard(t, u) >= 0.8 for _, u in rows)}
+    left = {x["id"] for x in S.unsettled(alone, docs, 0.8).collect()}
+    assert partnered <= left and len(left) < len(nodes)
+    top = {n: n for n in nodes}
+
+    def find(x):
+        while top[x] != x:
+            x = top[x]
+        return x
+
+    for x in S.links(alone, docs).collect():
+        top[find(x["a"])] = find(x["b"])
+    least = {}
+    for n, i in nodes.items():
+        least[find(n)] = min(least.get(find(n), i), i)
+    assert set(least.values()) == heads(rows) and len(least) < len(nodes)
